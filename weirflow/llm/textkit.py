@@ -11,7 +11,7 @@ single text but not the partition.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,9 @@ _WORD[128:] = True
 for _r in (b"0123456789", b"abcdefghijklmnopqrstuvwxyz"):
     _WORD[list(_r)] = True
 
+_UPPER = np.zeros(256, bool)
+_UPPER[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
+
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 _Q = np.uint64(0xD6E8FEB86659FD93)
@@ -80,16 +83,25 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
             at = to
 
 
+def span_hash(raw: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function that gives the 64-bit hash of each span (start, end) of the bytes."""
+    pw, inv = _powers(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * pw[: len(raw)], dtype=np.uint64, out=sums[1:])
+    return lambda start, end: mix((sums[end] - sums[start]) * inv[start] + (end - start).astype(np.uint64))
+
+
 class Words:
     """Words of a slice of texts: ``doc`` row of each, byte span, ``first`` word
     index of each row (length rows + 1) and 64-bit ``hash`` of each word."""
 
-    def __init__(self, arr: pa.Array, lower: bool = True, hashed: bool = True):
+    def __init__(self, arr: pa.Array, hashed: bool = True, any_case: bool = False):
+        """any_case: the same words, as spans of the text as it is and not of its lower-cased form."""
         arr = pc.fill_null(arr, "") if arr.null_count else arr
-        self.raw, self.off = buffers(pc.utf8_lower(arr) if lower else arr)
+        self.raw, self.off = buffers(arr if any_case else pc.utf8_lower(arr))
         raw, off = self.raw, self.off
         n = len(raw)
-        isw = _WORD[raw]
+        isw = (_WORD | _UPPER if any_case else _WORD)[raw]
         before = np.zeros(n + 1, bool)
         before[1:] = isw
         before[off] = False  # a word never spans two texts
@@ -100,13 +112,11 @@ class Words:
         self.end = np.flatnonzero(isw & ~after[1:]) + 1
         self.first = np.searchsorted(self.start, off)
         if hashed:
-            self.hash = self.span_hash(self.start, self.end)
+            self._hashed = span_hash(raw)
+            self.hash = self._hashed(self.start, self.end)
 
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        pw, inv = _powers(len(self.raw) + 1)
-        sums = np.zeros(len(self.raw) + 1, np.uint64)
-        np.cumsum((self.raw.astype(np.uint64) + np.uint64(1)) * pw[: len(self.raw)], dtype=np.uint64, out=sums[1:])
-        return mix((sums[end] - sums[start]) * inv[start] + (end - start).astype(np.uint64))
+        return self._hashed(start, end)
 
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))

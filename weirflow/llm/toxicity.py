@@ -136,4 +136,4 @@ def keep(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
             out = [f(b.column(0)) for b in slices([pa.record_batch([pa.array(t, pa.string())], ["text"])], "text")]
             yield pd.Series(np.concatenate(out) >= THRESHOLD if out else np.zeros(0, bool))
 
-    return docs.where(~toxic(docs["text"].cast("string")))
+    return docs.where(~F.coalesce(toxic(docs["text"].cast("string")), F.lit(False)))
