@@ -10,11 +10,12 @@ their prefixes, the first |A| - ceil(t |A|) + 1 members.
    positional filter. An entry carries a print of the n-gram before it in its
    prefix: where two entries agree in that too, the pair comes up at the
    earlier n-gram already, so a run of common n-grams gives a pair once.
-3. The pairs left are expanded to members and verified on the whole sets.
-   Documents with equal sets are verified once, as one class.
+3. The pairs left are expanded to members; a bitmap of each set, about 2 bits a
+   member, drops pairs that can't match, and the rest are verified on the whole
+   sets. Documents with equal sets are verified once, as one class.
 
 The global order needs no exact counts: n-grams found in several documents of
-one stretch of input are counted and the most frequent 2^17 come last, by
+one stretch of input are counted and the most frequent 2^19 come last, by
 count; all others by hash. A different order changes the work, never the result.
 
 Defined results: null ids, null texts and texts without words match nothing; a
@@ -41,8 +42,8 @@ from weirflow.session import cut, width, written
 
 N = 3
 NUM, DEN = 3, 5  # threshold
-FREQUENT = 1 << 17
-LOCAL = 3
+FREQUENT = 1 << 19
+LOCAL = 2
 STRETCH = 1 << 22
 BLOCK_PAIRS = 1 << 20
 
@@ -131,14 +132,56 @@ class Order:
 
 
 ENTRY = [np.uint64, np.uint32, np.uint16, np.uint64, np.uint32]  # key, print of the one before, position, group, size
-MEMBER = [np.int64, np.uint64, np.uint64, np.uint32]  # doc_id, group, class, size
+MEMBER = [np.int64, np.int64, np.uint64, np.uint64, np.uint32]  # doc_id, text hash, group, class, size
 
 
-def parts_of(bucket: np.ndarray, cols: list[np.ndarray]) -> dict[int, bytes]:
+def parts_of(bucket: np.ndarray, cols: list[np.ndarray], tail: list[bytes] | None = None) -> dict[int, bytes]:
+    """Rows packed by bucket, columns one after another, then the tail of each row."""
     o = np.argsort(bucket, kind="stable")
     b, cols = bucket[o], [c[o] for c in cols]
     cutting = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else []
-    return {int(b[x]): np.int64(y - x).tobytes() + b"".join(c[x:y].tobytes() for c in cols) for x, y in zip(cutting, [*cutting[1:], len(b)])}
+    return {int(b[x]): b"".join([np.int64(y - x).tobytes(), *(c[x:y].tobytes() for c in cols), *([tail[r] for r in o[x:y]] if tail else [])]) for x, y in zip(cutting, [*cutting[1:], len(b)])}
+
+
+def bits_of(size: np.ndarray) -> np.ndarray:
+    """Length of a set's bitmap: the power of two from 2 size on, 64 to 2^16."""
+    return 1 << np.clip(np.ceil(np.log2(np.maximum(2 * size, 1))).astype(np.int64), 6, 16)
+
+
+def bitmaps(key: np.ndarray, off: np.ndarray) -> list[bytes]:
+    """Parity bitmaps (Sandes et al., 2020): bit i is the parity of the members that hash to i. Two bitmaps differ in
+    at most as many bits as their sets in members, also when the longer is folded by exclusive or."""
+    m = bits_of(np.diff(off))
+    begin = np.concatenate([[0], np.cumsum(m)])
+    doc = np.repeat(np.arange(len(m)), np.diff(off))
+    at = begin[:-1][doc] + (mix(key ^ np.uint64(0x77)) & (m[doc] - 1).astype(np.uint64)).astype(np.int64)
+    flat = np.packbits((np.bincount(at, minlength=begin[-1]) & 1).astype(np.uint8), bitorder="little")
+    return [flat[x // 8 : y // 8].tobytes() for x, y in zip(begin, begin[1:])]
+
+
+def may_match(m: int, x: bytes, n: int, y: bytes) -> bool:
+    """False only where sets of m and n members with these bitmaps can't reach the threshold."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    need = (NUM * (m + n) + NUM + DEN - 1) // (NUM + DEN)
+    return min(m, n) >= need and int(np.bitwise_count(a ^ b).sum()) <= m + n - 2 * need
+
+
+def members_of(payloads: list[bytes]) -> tuple:
+    cols: list[list[np.ndarray]] = [[] for _ in MEMBER]
+    marks: list[bytes] = []
+    for p in payloads:
+        n, at = int(np.frombuffer(p, np.int64, 1)[0]), 8
+        for c, d in zip(cols, MEMBER):
+            c.append(np.frombuffer(p, d, n, at))
+            at += n * np.dtype(d).itemsize
+        for m in (bits_of(cols[-1][-1].astype(np.int64)) // 8).tolist():
+            marks.append(p[at : at + m])
+            at += m
+    return *(np.concatenate(c) if c else np.zeros(0, d) for c, d in zip(cols, MEMBER)), marks
 
 
 def indexed(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
@@ -147,7 +190,7 @@ def indexed(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], buckets: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_key = Order(sent.value)
-        for b in slices(batches, "text", 4 << 20):
+        for b in slices(batches, "text"):
             doc, h = grams(b.column("text"))
             doc, key, off = distinct_sorted(doc, to_key(h), b.num_rows)
             size = np.diff(off)
@@ -156,12 +199,14 @@ def indexed(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], buckets: int)
             on = pos < pre[doc]
             group = mix(sums(np.where(on, mix(key ^ np.uint64(0xA5A5)), np.uint64(0)), off) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             some = np.flatnonzero(size)
-            members = parts_of((group[some] % np.uint64(buckets)).astype(np.int64), [b.column("doc_id").to_numpy(zero_copy_only=False)[some], group[some], class_keys(key, off)[some], size[some].astype(np.uint32)])
+            marks = bitmaps(key, off)
+            ids, th = (b.column(c).to_numpy(zero_copy_only=False)[some] for c in ("doc_id", "h"))
+            members = parts_of((group[some] % np.uint64(buckets)).astype(np.int64), [ids, th, group[some], class_keys(key, off)[some], size[some].astype(np.uint32)], [marks[r] for r in some])
             # one document of a group is enough for the index
             lead = np.zeros(b.num_rows, bool)
             lead[some[np.unique(group[some], return_index=True)[1]]] = True
             before = np.concatenate([[np.uint64(0)], key[:-1]]) if len(key) else key
-            fp = np.where(pos > 0, (before ^ (before >> np.uint64(31))).astype(np.uint32) | np.uint32(1), np.uint32(0))
+            fp = np.where(pos > 0, (mix(before) >> np.uint64(32)).astype(np.uint32) | np.uint32(1), np.uint32(0))
             on &= lead[doc]
             e = np.flatnonzero(on)
             entries = parts_of((mix(key[e]) % np.uint64(buckets)).astype(np.int64), [key[e], fp[e], np.minimum(pos[e], 65535).astype(np.uint16), group[doc[e]], size[doc[e]].astype(np.uint32)])
@@ -212,12 +257,12 @@ def least_hint(a: np.ndarray, b: np.ndarray, hint: np.ndarray) -> tuple[np.ndarr
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Written rows (a, b, hint, doc_id, size): group pairs, or with doc_id a member: group a, class b."""
+    """Written rows (a, b, hint, doc_id, h, size, marks): group pairs, or with doc_id and text hash a member: group a, class b."""
     buckets = width(docs.sparkSession)
 
     def run(t: pa.Table) -> pa.Table:
         entries = unpack(t.column("entries").drop_null().to_pylist(), ENTRY)
-        doc_id, group, cls, size = unpack(t.column("members").drop_null().to_pylist(), MEMBER)
+        doc_id, th, group, cls, size, marks = members_of(t.column("members").drop_null().to_pylist())
         found = [np.zeros(0, np.uint64)] * 3
         held: list[tuple] = []
         for p in pairs_in(*entries):
@@ -232,70 +277,91 @@ def candidates(docs: DataFrame) -> DataFrame:
             "b": np.concatenate([b, cls]).view(np.int64),
             "hint": pa.array(np.concatenate([hint, np.zeros(m, np.uint64)]).view(np.int64)),
             "doc_id": pa.array(np.concatenate([np.zeros(k, np.int64), doc_id]), mask=np.arange(k + m) < k),
-            "size": pa.array(np.concatenate([np.zeros(k, np.int32), size.astype(np.int32)])),
+            "h": np.concatenate([np.zeros(k, np.int64), th]),
+            "size": np.concatenate([np.zeros(k, np.int32), size.astype(np.int32)]),
+            "marks": pa.array([None] * k + marks, pa.binary()),
         })
 
     got = indexed(docs, frequent(docs), buckets)
-    return written(got.groupBy("bucket").applyInArrow(run, "a long, b long, hint long, doc_id long, size int"))
+    return written(got.groupBy("bucket").applyInArrow(run, "a long, b long, hint long, doc_id long, h long, size int, marks binary"))
 
 
 def classes_of(found: DataFrame) -> DataFrame:
-    """(cls, grp, rep, ids): documents with equal n-gram sets, the least id and all ids."""
+    """(cls, grp, rep, h, ids, size, marks): documents with equal n-gram sets, the least id, its text hash, all ids, and
+    size and bitmap of the set."""
     return (
         found.where(F.col("doc_id").isNotNull())
         .groupBy(F.col("a").alias("grp"), F.col("b").alias("cls"))
-        .agg(F.min("doc_id").alias("rep"), F.sort_array(F.collect_set("doc_id")).alias("ids"))
+        .agg(F.min(F.struct("doc_id", "h")).alias("first"), F.sort_array(F.collect_set("doc_id")).alias("ids"), F.first("size").alias("size"), F.first("marks").alias("marks"))
+        .select("grp", "cls", F.col("first.doc_id").alias("rep"), F.col("first.h").alias("h"), "ids", "size", "marks")
     )
 
 
 def verified(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(x, y, jaccard): pairs of classes that match, expanded from the group pairs."""
     spark = docs.sparkSession
-    classes = classes_of(found).select("grp", "cls", "rep")
-    across = found.where(F.col("doc_id").isNull()).groupBy("a", "b").agg(F.min("hint").alias("hint"))
-    within = classes.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select(F.col("grp").alias("a"), F.col("grp").alias("b"), F.col("grp").alias("hint"))
-    # pairs under one hint are verified together, so that a set is sent there once; large ones are split into blocks
-    k = F.ceil(F.sqrt(F.count("*").over(Window.partitionBy("hint")) / BLOCK_PAIRS))
-    at = F.pmod(F.xxhash64("hint", F.pmod("a", "k"), F.pmod("b", "k")), F.lit(2 * width(spark))).cast("int")
-    pairs = written(across.unionByName(within).withColumn("k", k).select("a", "b", at.alias("at")))
+    classes = classes_of(found).select("grp", "cls", "rep", "h", "size", "marks")
+    groups = found.where(F.col("doc_id").isNull()).groupBy("a", "b").agg(F.min("hint").alias("hint"))
+    left = classes.select(F.col("grp").alias("a"), F.col("cls").alias("x"), F.col("size").alias("m"), F.col("marks").alias("mx"))
+    right = classes.select(F.col("grp").alias("b"), F.col("cls").alias("y"), F.col("size").alias("n"), F.col("marks").alias("my"))
+    several = classes.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select(F.col("grp").alias("a"), F.col("grp").alias("b"))
+    expanded = groups.select("a", "b").union(several).join(left, "a").join(right, "b").where("a <> b OR x < y").select("x", "y", "m", "n", "mx", "my")
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m, n, x, y = (b.column(c).to_pylist() for c in ("m", "n", "mx", "my"))
+            on = pa.array([may_match(*r) for r in zip(m, x, n, y)], pa.bool_())
+            yield b.select(["x", "y"]).filter(on)
+
+    left_over = written(expanded.mapInArrow(possible, "x long, y long"))
+    both = left_over.union(left_over.select("y", "x")).toDF("v", "w")
+    near = both.groupBy("v").agg(F.least("v", F.min("w")).alias("near"))
+    # Pairs with the same least neighbour (for near copies of one document: all) are verified together, so that a
+    # text is sent there once; large ones are split into blocks.
+    hub = left_over.join(near.toDF("x", "na"), "x").join(near.toDF("y", "nb"), "y").select("x", "y", F.least("na", "nb").alias("hub"))
+    k = F.ceil(F.sqrt(F.count("*").over(Window.partitionBy("hub")) / BLOCK_PAIRS))
+    at = F.pmod(F.xxhash64("hub", F.pmod("x", "k"), F.pmod("y", "k")), F.lit(2 * width(spark))).cast("int")
+    pairs = written(hub.withColumn("k", k).select("x", "y", at.alias("at")))
     wanted = (
-        pairs.select(F.explode(F.array("a", "b")).alias("grp"), "at").distinct().join(classes, "grp")
-        .groupBy(F.col("rep").alias("doc_id"), "grp", "cls").agg(F.collect_list("at").alias("ats"))
+        pairs.select(F.explode(F.array("x", "y")).alias("cls"), "at").distinct().join(classes.select("cls", "rep", "h"), "cls")
+        .groupBy(F.col("rep").alias("doc_id"), "h", "cls").agg(F.collect_list("at").alias("ats"))
     )
 
-    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            doc, h = grams(b.column("text"))
-            _, key, off = distinct_sorted(doc, h, b.num_rows)
-            out = []
-            for r, (grp, ats) in enumerate(zip(b.column("grp").to_pylist(), b.column("ats").to_pylist())):
-                v = key[off[r] : off[r + 1]].tobytes()
-                out += [(z, grp, cls, v) for z, cls in zip(ats, [b.column("cls")[r].as_py()] * len(ats))]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["at", "grp", "cls", "v"]) if out else pa.record_batch([pa.array([], t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.binary())], ["at", "grp", "cls", "v"])
-
-    def check(sets: pa.Table, pairs: pa.Table) -> pa.Table:
-        members: dict[int, dict[int, np.ndarray]] = {}
-        for grp, cls, v in zip(*(sets.column(c).to_pylist() for c in ("grp", "cls", "v"))):
-            members.setdefault(grp, {})[cls] = np.frombuffer(v, np.uint64)
-        out = []
-        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
-            for p, x in members.get(a, {}).items():
-                for q, y in members.get(b, {}).items():
-                    if a == b and p >= q or DEN * min(len(x), len(y)) < NUM * max(len(x), len(y)):
-                        continue
-                    z = np.concatenate([x, y])
-                    z.sort(kind="stable")
-                    same = int(np.count_nonzero(z[1:] == z[:-1]))
-                    if DEN * same >= NUM * (len(z) - same):
-                        out.append((p, q, same / (len(z) - same)))
+    def check(texts: pa.Table, pairs: pa.Table) -> pa.Table:
+        cls, keys, size = [], [], []
+        for b in slices(texts.combine_chunks().to_batches(), "text"):
+            _, key, off = distinct_sorted(*grams(b.column("text")), b.num_rows)
+            cls += b.column("cls").to_pylist()
+            keys.append(key)
+            size.append(np.diff(off))
+        size = np.concatenate(size) if size else np.zeros(0, np.int64)
+        known, key = np.unique(np.concatenate(keys), return_inverse=True) if keys else (size, size)
+        first = np.concatenate([[0], np.cumsum(size)])
+        row = {c: r for r, c in enumerate(cls)}
+        mark = np.zeros(len(known), bool)
+        partners: dict[int, list[int]] = {}
+        for x, y in zip(pairs.column("x").to_pylist(), pairs.column("y").to_pylist()):
+            partners.setdefault(x, []).append(y)
+        out: list[tuple[int, int, float]] = []
+        for x, ys in partners.items():
+            r = row[x]
+            own, n = key[first[r] : first[r + 1]], int(size[r])
+            mark[own] = True
+            for y in ys:
+                z = row[y]
+                m = int(size[z])
+                same = int(np.count_nonzero(mark[key[first[z] : first[z + 1]]]))
+                if DEN * same >= NUM * (n + m - same):
+                    out.append((x, y, same / (n + m - same)))
+            mark[own] = False
         return pa.table({"x": pa.array([o[0] for o in out], pa.int64()), "y": pa.array([o[1] for o in out], pa.int64()), "jaccard": pa.array([o[2] for o in out], pa.float64())})
 
-    sets = docs.join(wanted, "doc_id").select("text", "grp", "cls", "ats").mapInArrow(whole_sets, "at int, grp long, cls long, v binary")
-    return sets.groupBy("at").cogroup(pairs.groupBy("at")).applyInArrow(check, "x long, y long, jaccard double")
+    texts = docs.join(wanted, ["doc_id", "h"]).select(F.explode("ats").alias("at"), "cls", "text")
+    return texts.groupBy("at").cogroup(pairs.groupBy("at")).applyInArrow(check, "x long, y long, jaccard double")
 
 
 def usable(docs: DataFrame) -> DataFrame:
-    return keyed(docs).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    return keyed(docs).where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("h", F.xxhash64("text"))
 
 
 def join(docs: DataFrame) -> DataFrame:
