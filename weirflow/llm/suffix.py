@@ -34,6 +34,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -439,7 +440,7 @@ def removed(docs: DataFrame) -> DataFrame:
     j = docs.join(runs, (docs["doc_id"] == runs["_id"]) & (F.xxhash64(text) == runs["_h"]), "left")
 
     @F.pandas_udf("string")
-    def without(parts: Iterator[tuple]) -> Iterator:
+    def without(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for t, s, e in parts:
             a = pa.array(t, pa.string())
             yield cut_words(a, [None if x is None else list(zip(x, y)) for x, y in zip(s, e)]).to_pandas()

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -128,9 +129,7 @@ def keep(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
-    def toxic(texts: Iterator["pd.Series"]) -> Iterator["pd.Series"]:  # noqa: F821, UP037
-        import pandas as pd
-
+    def toxic(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         f = sent.value.scorer()
         for t in texts:
             out = [f(b.column(0)) for b in slices([pa.record_batch([pa.array(t, pa.string())], ["text"])], "text")]
