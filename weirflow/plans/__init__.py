@@ -1,5 +1,11 @@
 """Registered queries, one module per operator family."""
 
+from functools import cache
 
+
+@cache
 def register() -> None:
-    pass
+    from importlib import import_module
+
+    for m in ("match", "graph", "taint", "findings", "text"):
+        import_module(f"weirflow.plans.{m}")
