@@ -124,3 +124,28 @@ def dominators(blocks: DataFrame) -> DataFrame:
         return pa.table([pa.array(np.array(c, np.int64)) for c in zip(*out)], names=["fn", "block", "dom"])
 
     return blocks.groupBy("fn").applyInArrow(run, "fn long, block long, dom long")
+
+
+def paths(instr: DataFrame, hot: DataFrame) -> DataFrame:
+    """(fn, sink, step, seq): from each tainted sink back over its operands to where the taint came in, source first.
+    Consecutive repeats don't occur, as an operand is an earlier instruction."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for f, sq, ks, op in zip(*(b.column(c).to_pylist() for c in ("fn", "seqs", "ks", "opnds"))):
+                at = {s: (k, o) for s, k, o in zip(sq, ks, op)}
+                for sink in (s for s, k in zip(sq, ks) if k in (1, 2)):
+                    walk, s = [sink], at[sink][1]
+                    while s in at:
+                        walk.append(s)
+                        if at[s][0] == 0:
+                            break
+                        s = at[s][1]
+                    out += [(f, sink, i, s) for i, s in enumerate(reversed(walk))]
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 4)], ["fn", "sink", "step", "seq"])
+
+    rows = F.sort_array(F.collect_list(F.struct("seq", "k", "opnd")))
+    some = instr.join(hot.select("fn").distinct(), "fn", "left_semi")
+    g = some.groupBy("fn").agg(rows.alias("r")).select("fn", F.col("r.seq").alias("seqs"), F.col("r.k").alias("ks"), F.col("r.opnd").alias("opnds"))
+    return g.mapInArrow(run, "fn long, sink long, step long, seq long").join(hot.select("fn", F.col("key").alias("sink")), ["fn", "sink"], "left_semi")

@@ -37,7 +37,7 @@ def against_baseline(findings: DataFrame, baseline: DataFrame, order: list[str])
 def ignored(findings: DataFrame, lines: DataFrame) -> DataFrame:
     """findings with ``ignored``: a directive on the line or the one above, for all rules or those it lists in brackets."""
     listed = F.regexp_extract("text", re.escape(IGNORE) + r"\[([A-Za-z0-9_, -]+)\]", 1)
-    d = lines.where(F.col("text").contains(IGNORE)).select("file", "line", F.when(listed == "", F.array()).otherwise(F.transform(F.split(listed, ","), F.trim)).alias("_ids"))
+    d = lines.where(F.col("text").contains(IGNORE)).select("file", "line", F.when(listed == "", F.array()).otherwise(F.transform(F.split(listed, ","), lambda x: F.trim(x))).alias("_ids"))
     both = d.union(d.withColumn("line", F.col("line") + 1)).groupBy("file", "line").agg(F.max(F.size("_ids") == 0).alias("_all"), F.flatten(F.collect_list("_ids")).alias("_ids"))
     j = findings.join(both, ["file", "line"], "left")
     return j.withColumn("ignored", F.coalesce(F.col("_all") | F.array_contains("_ids", F.col("rule_id")), F.lit(False))).drop("_all", "_ids")

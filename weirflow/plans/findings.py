@@ -1,0 +1,202 @@
+"""Findings after the analysis: suppression, order, summaries, reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from weirflow.catalog import query
+from weirflow.functions.scalars import fingerprint, relative, sarif_level, sarif_score, severity_rank
+from weirflow.operators import triage
+from weirflow.plans import derived
+from weirflow.plans.derived import SQL
+from weirflow.session import table
+
+_RANK = "(list_position(['info','low','medium','high','critical'], severity))"
+FIND = (
+    SQL + ", finding AS (SELECT 'r' || (seq % 4) AS rule_id, ['info','low','medium','high','critical'][line % 5 + 1] AS severity, CASE WHEN line % 3 = 0 THEN '' ELSE 'CWE-' || seq END AS cwe,"
+    " fn, seq, callee, lang, CASE WHEN line % 17 <> 0 THEN file END AS file, CASE WHEN line % 17 <> 0 THEN line END AS line, CASE WHEN line % 17 <> 0 THEN col END AS col, fn * 1000 + seq AS ord,"
+    " substr(sha256('r' || (seq % 4) || chr(0) || file || chr(0) || callee), 1, 16) AS fingerprint, (fn % 7 = 0) AS suppressed FROM instr WHERE k IN (1, 2))"
+)
+
+
+def findings(spark, sf_dir) -> DataFrame:
+    i = derived.instructions(spark, sf_dir).where("k IN (1, 2)")
+    sev = F.element_at(F.array(*map(F.lit, ("info", "low", "medium", "high", "critical"))), (F.col("line") % 5 + 1).cast("int"))
+    known = F.col("line") % 17 != 0
+    rule = F.concat(F.lit("r"), (F.col("seq") % 4).cast("string"))
+    return i.select(
+        rule.alias("rule_id"), sev.alias("severity"), F.when(F.col("line") % 3 == 0, "").otherwise(F.concat(F.lit("CWE-"), F.col("seq").cast("string"))).alias("cwe"), "fn", "seq", "callee", "lang",
+        F.when(known, F.col("file")).alias("file"), F.when(known, F.col("line")).alias("line"), F.when(known, F.col("col")).alias("col"), (F.col("fn") * 1000 + F.col("seq")).alias("ord"),
+        fingerprint(rule, F.col("file"), F.col("callee")).alias("fingerprint"), (F.col("fn") % 7 == 0).alias("suppressed"),
+    )
+
+
+@query("severity_override", FIND + " SELECT ord, rule_id, CASE rule_id WHEN 'r1' THEN 'critical' WHEN 'r2' THEN 'info' ELSE severity END AS severity FROM finding WHERE rule_id <> 'r3'")
+def severity_override(spark, sf_dir):
+    """Rules switched off go; others may get another severity."""
+    off = spark.createDataFrame([("r3",)], "rule_id string")
+    change = spark.createDataFrame([("r1", "critical"), ("r2", "info")], "rule_id string, new string")
+    f = findings(spark, sf_dir).join(F.broadcast(off), "rule_id", "left_anti").join(F.broadcast(change), "rule_id", "left")  # settings, not data
+    return f.select("ord", "rule_id", F.coalesce("new", "severity").alias("severity"))
+
+
+@query("baseline_multiset", FIND + ", base AS (SELECT fingerprint, count(*) AS n FROM finding WHERE fn % 3 = 0 GROUP BY 1), k AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY ord) AS i FROM finding) SELECT ord, k.fingerprint, coalesce(i <= n, false) AS suppressed FROM k LEFT JOIN base USING (fingerprint)")
+def baseline_multiset(spark, sf_dir):
+    f = findings(spark, sf_dir)
+    return triage.against_baseline(f, f.where("fn % 3 = 0"), ["ord"]).select("ord", "fingerprint", "suppressed")
+
+
+_PATHS = ["**/m1*.src"], ["m13.src", "app/m1[4].src"]
+
+
+@query(
+    "path_filter",
+    FIND + " SELECT file, count(*) AS n, CASE WHEN NOT regexp_matches(file, '^(?:.*/)?m1[^/]*\\.src$') THEN 'include' WHEN list_contains(string_split(file, '/'), 'm13.src') OR regexp_matches(file, '^app/m1\\[4\\]\\.src$') THEN 'exclude' END AS state FROM finding WHERE file IS NOT NULL GROUP BY ALL",
+)
+def path_filter(spark, sf_dir):
+    f = findings(spark, sf_dir).where("file IS NOT NULL")
+    return f.groupBy("file", triage.path_state(F.col("file"), *_PATHS).alias("state")).agg(F.count("*").alias("n"))
+
+
+@query("finding_order", FIND + f" SELECT ord, row_number() OVER (ORDER BY {_RANK} DESC, file NULLS LAST, line NULLS LAST, col NULLS LAST, ord) AS place FROM finding")
+def finding_order(spark, sf_dir):
+    """A place for every finding. One window over all would be one task, so rows are ranged into sorted partitions
+    and each partition starts from the count of those before."""
+    f = findings(spark, sf_dir).withColumn("rank", severity_rank(F.col("severity")))
+    keys = triage.in_order(f)
+    s = f.repartitionByRange(*keys).sortWithinPartitions(*keys).select("ord", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
+    s = s.withColumn("i", F.col("m") - F.col("p").cast("long") * (1 << 33))
+    from weirflow.session import written
+
+    s = written(s)
+    n = s.groupBy("p").agg(F.count("*").alias("n"))
+    before = n.select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("before"))  # a row for each partition
+    return s.join(F.broadcast(before), "p").select("ord", (F.col("before") + F.col("i") + 1).alias("place"))
+
+
+@query("top_findings", FIND + f" SELECT ord, rule_id, severity FROM finding WHERE NOT suppressed ORDER BY {_RANK} DESC, file NULLS LAST, line NULLS LAST, col NULLS LAST, ord LIMIT 200")
+def top_findings(spark, sf_dir):
+    f = findings(spark, sf_dir).where("NOT suppressed")
+    return f.orderBy(*triage.in_order(f)).limit(200).select("ord", "rule_id", "severity")
+
+
+@query(
+    "rule_summary",
+    FIND + f" SELECT rule_id, count(*) AS n, max({_RANK})::BIGINT AS worst, arg_min(cwe, ord) FILTER (cwe <> '') AS cwe, round(100.0 * count(*) / (SELECT count(*) FROM finding), 4)::DOUBLE AS pct FROM finding GROUP BY rule_id",
+)
+def rule_summary(spark, sf_dir):
+    f = findings(spark, sf_dir)
+    g = f.groupBy("rule_id").agg(F.count("*").alias("n"), F.max(severity_rank(F.col("severity"))).cast("long").alias("worst"), F.min_by("cwe", F.when(F.col("cwe") != "", F.col("ord"))).alias("cwe"))
+    return g.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 4))  # a row for each rule
+
+
+@query("severity_pivot", FIND + " SELECT lang, " + ", ".join(f"count(*) FILTER (severity = '{s}') AS n_{s}" for s in ("critical", "high", "medium", "low", "info")) + ", count(DISTINCT file) AS files FROM finding GROUP BY lang")
+def severity_pivot(spark, sf_dir):
+    return findings(spark, sf_dir).groupBy("lang").agg(*[F.count(F.when(F.col("severity") == s, 1)).alias(f"n_{s}") for s in ("critical", "high", "medium", "low", "info")], F.countDistinct("file").alias("files"))
+
+
+@query("gate_count", FIND + f" SELECT count(*) FILTER (NOT suppressed) AS active, count(*) FILTER (NOT suppressed AND {_RANK} >= 4) AS failing FROM finding")
+def gate_count(spark, sf_dir):
+    return triage.gate(findings(spark, sf_dir), "high")
+
+
+@query(
+    "precision_recall",
+    "WITH e AS (SELECT doc_id, 'toxic' AS rule_id FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id, 'poor' FROM labels WHERE quality = 0),"
+    " g AS (SELECT doc_id, 'toxic' AS rule_id, 2 AS n FROM labels WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'poor', 1 FROM labels WHERE doc_id % 5 = 0),"
+    " c AS (SELECT coalesce(e.rule_id, g.rule_id) AS rule_id, sum(CASE WHEN e.doc_id IS NOT NULL AND g.doc_id IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS tp, sum(CASE WHEN e.doc_id IS NULL THEN n ELSE 0 END)::BIGINT AS fp, sum(CASE WHEN g.doc_id IS NULL THEN 1 ELSE 0 END)::BIGINT AS fn"
+    " FROM e FULL JOIN g ON e.doc_id = g.doc_id AND e.rule_id = g.rule_id GROUP BY 1)"
+    " SELECT rule_id, tp, fp, fn, round(tp / (tp + fp)::DOUBLE, 6) AS p, round(tp / (tp + fn)::DOUBLE, 6) AS r FROM c",
+)
+def precision_recall(spark, sf_dir):
+    """Expected against found rules of each sample: hits and misses count rules, false alarms count findings."""
+    la = table(spark, sf_dir, "labels")
+    tag = lambda d, r: d.select("doc_id", F.lit(r).alias("rule_id"))
+    e = tag(la.where("toxic = 1"), "toxic").union(tag(la.where("quality = 0"), "poor")).withColumn("e", F.lit(True))
+    g = tag(la.where("doc_id % 3 = 0"), "toxic").withColumn("n", F.lit(2)).union(tag(la.where("doc_id % 5 = 0"), "poor").withColumn("n", F.lit(1)))
+    return score(e, g)
+
+
+def score(expected: DataFrame, got: DataFrame) -> DataFrame:
+    j = expected.join(got, ["doc_id", "rule_id"], "full")
+    c = j.groupBy("rule_id").agg(
+        F.count(F.when(F.col("e") & F.col("n").isNotNull(), 1)).alias("tp"),
+        F.sum(F.when(F.col("e").isNull(), F.col("n")).otherwise(0)).cast("long").alias("fp"),
+        F.count(F.when(F.col("n").isNull(), 1)).alias("fn"),
+    )
+    return c.select("*", F.round(F.try_divide("tp", F.col("tp") + F.col("fp")), 6).alias("p"), F.round(F.try_divide("tp", F.col("tp") + F.col("fn")), 6).alias("r"))
+
+
+@query("sarif_rule_index", FIND + ", f AS (SELECT rule_id, min(ord) AS first FROM finding GROUP BY 1) SELECT rule_id, row_number() OVER (ORDER BY first) - 1 AS idx FROM f")
+def sarif_rule_index(spark, sf_dir):
+    """Rules numbered in the order in which they first appear."""
+    f = findings(spark, sf_dir).groupBy("rule_id").agg(F.min("ord").alias("first"))
+    return f.select("rule_id", (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("idx"))  # a row for each rule
+
+
+@query(
+    "sarif_levels",
+    FIND + f" SELECT DISTINCT severity, CASE WHEN {_RANK} >= 4 THEN 'error' WHEN {_RANK} = 3 THEN 'warning' ELSE 'note' END AS level, (2 * {_RANK} - 1) || '.0' AS score FROM finding",
+)
+def sarif_levels(spark, sf_dir):
+    return findings(spark, sf_dir).select("severity").distinct().select("severity", sarif_level(F.col("severity")).alias("level"), sarif_score(F.col("severity")).alias("score"))
+
+
+@query("union_passes", SQL + " SELECT 0::BIGINT AS pass, fn, seq FROM instr WHERE k = 1 UNION ALL SELECT 1, fn, seq FROM instr WHERE k = 2 AND seq % 2 = 0 UNION ALL SELECT 2, fn, seq FROM instr WHERE k = 20")
+def union_passes(spark, sf_dir):
+    i = derived.instructions(spark, sf_dir)
+    passes = [i.where("k = 1"), i.where("k = 2 AND seq % 2 = 0"), i.where("k = 20")]
+    out = [p.select(F.lit(n).cast("long").alias("pass"), "fn", "seq") for n, p in enumerate(passes)]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("finding_dedup", FIND + " SELECT rule_id, file, line % 50 AS slot, min(ord) AS ord, arg_min(callee, ord) AS callee FROM finding WHERE file IS NOT NULL GROUP BY rule_id, file, line % 50")
+def finding_dedup(spark, sf_dir):
+    f = findings(spark, sf_dir).where("file IS NOT NULL").select("rule_id", "file", (F.col("line") % 50).alias("slot"), "ord", "callee")
+    return triage.one_per(f, ["rule_id", "file", "slot"], ["ord"])
+
+
+@query("relative_paths", FIND + " SELECT DISTINCT file, CASE WHEN starts_with(file, 'app/') THEN substr(file, 5) ELSE file END AS rel FROM finding WHERE file IS NOT NULL")
+def relative_paths(spark, sf_dir):
+    return findings(spark, sf_dir).where("file IS NOT NULL").select("file", relative(F.col("file"), "app").alias("rel")).distinct()
+
+
+@query(
+    "fragment_merge",
+    "WITH base AS (SELECT p_brand AS id, p_partkey AS k, p_name AS item FROM part WHERE p_size < 20), own AS (SELECT p_brand AS id, 1000000000 + p_partkey AS k, p_name AS item FROM part WHERE p_size >= 15),"
+    " f AS (SELECT id, item, min(k) AS k FROM (SELECT * FROM base UNION ALL SELECT * FROM own) GROUP BY id, item) SELECT id, string_agg(item, ',' ORDER BY k) AS items FROM f GROUP BY id",
+)
+def fragment_merge(spark, sf_dir):
+    """A fragment's list, then a rule's own, each item at its first place."""
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("id"), F.col("p_partkey").alias("k"), F.col("p_name").alias("item"), "p_size")
+    items = lambda d: d.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "item"))), lambda x: x["item"]).alias("items"))
+    base, own = items(p.where("p_size < 20")), items(p.where("p_size >= 15")).withColumnRenamed("items", "own")
+    both = F.array_distinct(F.concat(F.coalesce("items", F.array()), F.coalesce("own", F.array())))
+    return base.join(own, "id", "full").select("id", F.array_join(both, ",").alias("items"))
+
+
+@query(
+    "suffix_import_resolution",
+    SQL + ", names AS (SELECT DISTINCT replace(replace(callee, ':', '/'), '/', '.') AS nm FROM instr), suf AS (SELECT nm, array_to_string(string_split(nm, '.')[i:], '.') AS s, i FROM names, range(1, 5) r(i)),"
+    " uniq AS (SELECT s, min(nm) AS nm FROM suf GROUP BY s HAVING count(DISTINCT nm) = 1) SELECT s AS name, nm AS target FROM uniq",
+)
+def suffix_import_resolution(spark, sf_dir):
+    """Dotted suffixes that one module alone ends in, and that module."""
+    n = derived.instructions(spark, sf_dir).select(F.translate("callee", ":/", "..").alias("full")).distinct()
+    parts = F.split("full", "\\.")
+    s = n.select("full", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(4), F.size(parts))), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))).alias("name"))
+    return s.groupBy("name").agg(F.min("full").alias("target"), F.max("full").alias("_most")).where("target = _most").drop("_most")
+
+
+@query("duplicate_rule_ids", "SELECT p_name AS rule_id, count(*) AS n FROM part GROUP BY p_name HAVING count(*) > 1")
+def duplicate_rule_ids(spark, sf_dir):
+    return table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("rule_id")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query("last_definition_wins", SQL + ", d AS (SELECT lang || ':' || method_name AS key, fn, row_number() OVER (PARTITION BY lang || ':' || method_name ORDER BY module DESC, fn DESC) AS i FROM func) SELECT key, fn FROM d WHERE i = 1")
+def last_definition_wins(spark, sf_dir):
+    """Of functions with one canonical name the last module's last one is it."""
+    f = derived.functions(spark, sf_dir)
+    return f.groupBy(F.concat_ws(":", "lang", "method_name").alias("key")).agg(F.max_by("fn", F.struct("module", "fn")).alias("fn"))
