@@ -11,26 +11,30 @@ from pyspark.sql import functions as F
 
 from weirflow.session import cut
 
-#: Rounds between two checkpoints of the reached set.
-EVERY = 8
+#: Rounds between two checkpoints of the whole reached set, and steps along the edges in a round.
+EVERY, STEPS = 8, 4
 
 
 def reach(start: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     """The rows (keys) that lead from ``start`` along ``edges`` (keys, then n_keys), start included.
 
-    Semi-naive: a round joins only what the last one added. A frontier under Spark's broadcast threshold is broadcast
-    by its measured size (AQE), a larger one is shuffled; lineage is cut by reliable checkpoints."""
+    Semi-naive: a round joins only what the last one added, for several steps, so a long chain of calls takes few
+    jobs. A frontier under Spark's broadcast threshold is broadcast by its measured size (AQE), a larger one is
+    shuffled; lineage is cut by reliable checkpoints."""
     nxt = [f"n_{k}" for k in keys]
     seen = new = cut(start.select(*keys).distinct())
-    parts = []
+    rounds = 0
     while True:
-        step = new.join(edges, keys).select(*[F.col(n).alias(k) for n, k in zip(nxt, keys)]).distinct()
-        new = cut(step.join(seen, keys, "left_anti"))
+        step, steps = new, None
+        for _ in range(STEPS):
+            step = step.join(edges, keys).select(*[F.col(n).alias(k) for n, k in zip(nxt, keys)]).distinct()
+            steps = step if steps is None else steps.unionByName(step)
+        new = cut(steps.distinct().join(seen, keys, "left_anti"))
         if new.isEmpty():
             return seen
-        parts.append(new)
+        rounds += 1
         seen = seen.unionByName(new)
-        if len(parts) % EVERY == 0:
+        if rounds % EVERY == 0:
             seen = cut(seen)
 
 

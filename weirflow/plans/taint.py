@@ -111,7 +111,7 @@ def confidence_assignment(spark, sf_dir):
     "taint_path_steps",
     SQL + _INTRA + ", walk AS (SELECT i.fn, i.seq AS sink, i.seq, i.opnd, i.k, 0 AS back FROM instr i JOIN own ON own.fn = i.fn AND own.key = i.opnd WHERE i.k IN (1, 2)"
     " UNION ALL SELECT w.fn, w.sink, i.seq, i.opnd, i.k, w.back + 1 FROM walk w JOIN instr i ON i.fn = w.fn AND i.seq = w.opnd WHERE w.k <> 0)"
-    " SELECT fn, sink, max(back) OVER (PARTITION BY fn, sink) - back AS step, seq FROM walk",
+    " SELECT fn, sink, (max(back) OVER (PARTITION BY fn, sink) - back)::BIGINT AS step, seq FROM walk",
 )
 def taint_path_steps(spark, sf_dir):
     i = derived.instructions(spark, sf_dir)
