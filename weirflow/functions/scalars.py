@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SEVERITIES = ("info", "low", "medium", "high", "critical")
 CONFIDENCES = ("low", "medium", "high")
@@ -93,7 +94,7 @@ def sarif_score(severity: Column) -> Column:
     return F.when(r == 0, F.lit("0.0")).otherwise(F.format_string("%d.0", 2 * r - 1))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def common_root(paths: pd.Series) -> str:
     """The longest directory that all paths are in."""
     parts = [p.split("/")[:-1] for p in paths.dropna()]
