@@ -93,7 +93,7 @@ def analyze(functions: DataFrame, rules: list[Rule], scope: DataFrame | None = N
                         i["passes_on"] = i.get("id") in (row["passes"] or [])
                 k = Kernel(f, by[row["rule_id"]], [(x["kind"], x["key"], x["origin"]) for x in row["facts"] or []]).run()
                 out += [(row["rule_id"], row["fn"], "finding", "", x["sink"], x["origin"], x["callee"], x["confidence"]) for x in k.findings]
-                out += [(row["rule_id"], row["fn"], kind, to, key, o, "", "") for (kind, to, key), o in k.out.items()]
+                out += [(row["rule_id"], row["fn"], kind, to, key, o, "", "") for (kind, to, key, *_), o in k.out.items()]
             yield pa.record_batch([pa.array([o[c] for o in out], pa.string()) for c in range(8)], ["rule_id", "fn", "kind", "to", "key", "origin", "callee", "confidence"])
 
     frontier = bodies.select("fn", "lang", "body").mapInArrow(seeded, "rule_id string, fn string")

@@ -33,4 +33,4 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
 def error_findings(events: DataFrame) -> DataFrame:
     """Error events as findings: (fingerprint, user_id, kind, ts)."""
     kind = F.concat(F.lit("k"), F.get_json_object("props", "$.k"))
-    return events.where("event_type = 'error'").select(F.substring(F.sha2(F.concat_ws("/", F.col("user_id").cast("string"), kind), 256), 1, 16).alias("fingerprint"), "user_id", kind.alias("kind"), "ts")
+    return events.where("event_type = 'error'").select(F.substring(F.sha2(F.concat_ws("/", F.col("user_id").cast("string"), kind), 256), 1, 16).alias("fingerprint"), "user_id", kind.alias("kind"), F.col("ts").cast("timestamp").alias("ts"))
