@@ -95,7 +95,7 @@ def guard_eval(spark, sf_dir):
     "SELECT DISTINCT substr(sha256(user_id || '/k' || (props->>'$.k')), 1, 16) AS fingerprint, user_id, 'k' || (props->>'$.k') AS kind FROM events WHERE event_type = 'error' AND user_id % 10 <> 0",
 )
 def streaming_new_findings(spark, sf_dir):
-    path = f"{sf_dir}/events.parquet"
+    path = f"{sf_dir}/event[s].parquet"  # a pattern stands for a file as well as for a folder
     events = spark.read.parquet(path)
     stream = spark.readStream.schema(events.schema).parquet(path)
     known = new_findings.error_findings(events.where("user_id % 10 = 0"))
