@@ -90,3 +90,11 @@ def test_rules_merge_and_are_checked():
         with pytest.raises(RuleError):
             build(bad, base)
     assert Rule("x", languages=["Go"]).speaks("go") and not Rule("x", languages=["go"]).speaks("java") and len(shipped()) > 8
+
+
+def test_spread_keys_fill_every_partition(spark):
+    from weirflow.session import spread_keys
+
+    for n in (1, 4, 49, 200):
+        d = spark.createDataFrame([(k,) for k in spread_keys(n)], "k int").select(F.pmod(F.hash("k"), F.lit(n)).alias("p"))
+        assert sorted(r.p for r in d.collect()) == list(range(n))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,44 +89,60 @@ def entered_functions(instr: DataFrame, functions: DataFrame, roots: DataFrame)
     return reach(roots, cut(edges.select("fn", "n_fn")), ["fn"])
 
 
+def _dominator_sets(succ: dict[int, list[int]], entry: int) -> dict[int, int]:
+    """Reachable node -> bits of its dominators, by position in reverse post-order."""
+    post, todo, seen = [], [(entry, iter(succ[entry]))], {entry}
+    while todo:
+        node, rest = todo[-1]
+        n = next((x for x in rest if x not in seen and x in succ), None)
+        if n is None:
+            post.append(node)
+            todo.pop()
+        else:
+            seen.add(n)
+            todo.append((n, iter(succ[n])))
+    order = post[::-1]
+    bit = {n: 1 << k for k, n in enumerate(order)}
+    preds: dict[int, list[int]] = {n: [] for n in order}
+    for n in order:
+        for m in succ[n]:
+            if m in preds:
+                preds[m].append(n)
+    every = (1 << len(order)) - 1
+    dom = dict.fromkeys(order, every)
+    dom[entry] = 1
+    changed = True
+    while changed:
+        changed = False
+        for n in order[1:]:
+            d = every
+            for p in preds[n]:
+                d &= dom[p]
+            d |= bit[n]
+            if d != dom[n]:
+                dom[n], changed = d, True
+    return dom
+
+
 def dominators(blocks: DataFrame) -> DataFrame:
-    """(fn, block, dom): the blocks that every path from the entry to a block passes. Small graphs, one function each;
-    blocks: (fn, block, succs array<long>, entry boolean)."""
-
-    def run(t: pa.Table) -> pa.Table:
-        f = t.column("fn")[0].as_py()
-        nodes = t.column("block").to_pylist()
-        succ = dict(zip(nodes, t.column("succs").to_pylist()))
-        entry = next(n for n, e in zip(nodes, t.column("entry").to_pylist()) if e)
-        order, todo, seen = [], [(entry, iter(succ[entry]))], {entry}
-        while todo:
-            node, rest = todo[-1]
-            n = next((x for x in rest if x not in seen and x in succ), None)
-            if n is None:
-                order.append(node)
-                todo.pop()
-            else:
-                seen.add(n)
-                todo.append((n, iter(succ[n])))
-        order.reverse()
-        preds: dict = {n: [] for n in order}
-        for n in order:
-            for m in succ[n]:
-                if m in preds:
-                    preds[m].append(n)
-        dom = {n: set(order) for n in order}
-        dom[entry] = {entry}
-        changed = True
-        while changed:
-            changed = False
-            for n in order[1:]:
-                d = set.intersection(*(dom[p] for p in preds[n])) | {n}
-                if d != dom[n]:
-                    dom[n], changed = d, True
-        out = [(f, n, d) for n in order for d in sorted(dom[n])]
-        return pa.table([pa.array(np.array(c, np.int64)) for c in zip(*out)], names=["fn", "block", "dom"])
-
-    return blocks.groupBy("fn").applyInArrow(run, "fn long, block long, dom long")
+    """(fn, block, dom): the blocks that every path from the entry to a block passes, of the blocks that are reached.
+    blocks: (fn, block, succs array<long>, entry boolean). A function's graph is small and is one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fns, nodes, doms = [], [], []
+            for f, at, succs, entry in zip(*(b.column(c).to_pylist() for c in ("fn", "nodes", "succs", "entry"))):
+                dom = _dominator_sets(dict(zip(at, succs)), entry)
+                order = list(dom)
+                for n, bits in dom.items():
+                    own = [m for k, m in enumerate(order) if bits >> k & 1]
+                    fns += [f] * len(own)
+                    nodes += [n] * len(own)
+                    doms += own
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in (fns, nodes, doms)], ["fn", "block", "dom"])
+
+    g = blocks.groupBy("fn").agg(F.collect_list(F.struct("block", "succs")).alias("r"), F.min(F.when(F.col("entry"), F.col("block"))).alias("entry"))
+    return g.select("fn", F.col("r.block").alias("nodes"), F.col("r.succs").alias("succs"), "entry").mapInArrow(run, "fn long, block long, dom long")
 
 
 def paths(instr: DataFrame, hot: DataFrame) -> DataFrame:

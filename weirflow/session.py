@@ -39,3 +39,28 @@ def written(df: DataFrame) -> DataFrame:
 
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _murmur(i: int) -> int:
+    """Spark's hash() of an int."""
+    m = 0xFFFFFFFF
+    k = i * 0xCC9E2D51 & m
+    k = (k << 15 | k >> 17) & m
+    h = 42 ^ k * 0x1B873593 & m
+    h = (h << 13 | h >> 19) & m
+    h = (h * 5 + 0xE6546B64 & m) ^ 4
+    h = (h ^ h >> 16) * 0x85EBCA6B & m
+    h = (h ^ h >> 13) * 0xC2B2AE35 & m
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+def spread_keys(n: int) -> list[int]:
+    """n ints of which hash partitioning puts one in each of n partitions. Plain 0..n-1 collide: some partitions would
+    get several large groups and others none."""
+    found: dict[int, int] = {}
+    i = 0
+    while len(found) < n:
+        found.setdefault(_murmur(i) % n, i)
+        i += 1
+    return [found[p] for p in range(n)]
