@@ -200,7 +200,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block:
     n_blocks = {s: -(-n // block) for s, n in tokens.items()}
     picked = slots(docs.sparkSession, n_blocks, target(tokens, weights), sum(n_blocks.values()), shard, seed)
     blocks = parts.groupBy("source", "block").agg(F.sum("n").cast("int").alias("n_tokens"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    return picked.join(blocks, ["source", "block"]).select("slot", "shard", "source", "pass", "block", "n_tokens", "text")
+    # the slots grow with the corpus, which a plan over range() can't know: never broadcast
+    return picked.hint("merge").join(blocks, ["source", "block"]).select("slot", "shard", "source", "pass", "block", "n_tokens", "text")
 
 
 def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
