@@ -44,7 +44,7 @@ N = 3
 NUM, DEN = 3, 5  # threshold
 FREQUENT = 1 << 19
 LOCAL = 2
-STRETCH = 1 << 22
+STRETCH = 1 << 21
 BLOCK_PAIRS = 1 << 20
 
 _TOP = np.uint64(1 << 63)
@@ -216,7 +216,7 @@ def indexed(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], buckets: int)
     return docs.mapInArrow(run, "bucket int, entries binary, members binary")
 
 
-def pairs_in(key: np.ndarray, fp: np.ndarray, pos: np.ndarray, group: np.ndarray, size: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def pairs_in(key: np.ndarray, fp: np.ndarray, pos: np.ndarray, group: np.ndarray, size: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Group pairs (a < b, hint) that pass the filters, in pieces; hint is the least group with that n-gram."""
     o = np.lexsort((group, size, key))
     key, fp, pos, group, size = key[o], fp[o], pos[o].astype(np.int64), group[o], size[o].astype(np.int64)
@@ -267,7 +267,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         held: list[tuple] = []
         for p in pairs_in(*entries):
             held.append(p)
-            if sum(len(x[0]) for x in held) > 1 << 22:
+            if sum(len(x[0]) for x in held) > 1 << 20:
                 found = least_hint(*(np.concatenate(x) for x in zip(found, *held)))
                 held = []
         a, b, hint = least_hint(*(np.concatenate(x) for x in zip(found, *held))) if held else found

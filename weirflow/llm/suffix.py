@@ -34,7 +34,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -87,7 +86,7 @@ def columns(*cols: np.ndarray) -> bytes:
     return np.int64(len(cols[0])).tobytes() + b"".join(c.tobytes() for c in cols)
 
 
-def read(p: bytes, *dtypes) -> tuple[list[np.ndarray], int]:
+def read(p: bytes | pa.Buffer, *dtypes) -> tuple[list[np.ndarray], int]:
     n, at, out = int(np.frombuffer(p, np.int64, 1)[0]), 8, []
     for d in dtypes:
         out.append(np.frombuffer(p, d, n, at))
@@ -292,33 +291,52 @@ def equal_windows(code: np.ndarray, at: np.ndarray, seg: np.ndarray) -> np.ndarr
 # --- repeated windows ------------------------------------------------------
 
 
-def repeated_windows(parts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(doc_id, text hash, first word, end word, removed): runs of repeated windows of one bucket, the words they cover."""
-    cols: list[list[np.ndarray]] = [[] for _ in range(7)]
-    for p in parts:
+CHUNK = 1 << 14
+
+
+def repeated_windows(parts: list[pa.Buffer]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(doc_id, text hash, first word, end word, removed): runs of repeated windows of one bucket, the words they cover.
+
+    Words stay where they came; only those of a class's first member, and only where a hash has several classes, are
+    taken out for sorting. Anchors are worked on in chunks of whole hashes."""
+    cols: list[list[np.ndarray]] = [[] for _ in range(9)]
+    codes: list[np.ndarray] = []
+    for k, p in enumerate(parts):
         (h, p0, left, n, local), at = read(p, np.uint64, np.uint32, np.uint8, np.uint8, np.uint32)
         (i, th), z = read(p[at:], np.int64, np.int64)
         (code,), _ = read(p[at + z :], np.uint32)
-        for c, v in zip(cols, (h, p0.astype(np.int64), left.astype(np.int64), n.astype(np.int64), i[local], th[local], code)):
-            c.append(v)
-    h, p0, left, n, i, th, code = (np.concatenate(c) for c in cols)
-    size = n + WINDOW
-    start = np.cumsum(size) - size
-    # one class for each (hash, offsets, words); members in order of (doc_id, text hash, position)
-    mixed = (code.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(29)
-    mixed = (mixed + (np.arange(len(code)) - np.repeat(start, size)).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)) * np.uint64(0x94D049BB133111EB)
-    mixed ^= mixed >> np.uint64(32)
-    c = np.concatenate([[np.uint64(0)], np.cumsum(mixed, dtype=np.uint64)])
-    words = c[start + size] - c[start]
+        size = n.astype(np.int64) + WINDOW
+        start = np.cumsum(size) - size
+        mixed = (code.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        mixed = (mixed + (np.arange(len(code)) - np.repeat(start, size)).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)) * np.uint64(0x94D049BB133111EB)
+        mixed ^= mixed >> np.uint64(32)
+        c = np.concatenate([[np.uint64(0)], np.cumsum(mixed, dtype=np.uint64)])
+        codes.append(code)
+        for col, v in zip(cols, (h, p0.astype(np.int64), left, n, i[local], th[local], c[start + size] - c[start], np.full(len(h), k, np.int32), start.astype(np.int32))):
+            col.append(v)
+    h, p0, left, n, i, th, words, part, start = (np.concatenate(c) for c in cols)
+    cols.clear()
     o = np.lexsort((p0, th, i, words, n, left, h))
-    h, p0, left, n, i, th, start, words = (x[o] for x in (h, p0, left, n, i, th, start, words))
+    h, p0, left, n, i, th, words, part, start = (x[o] for x in (h, p0, left, n, i, th, words, part, start))
     same = np.zeros(len(h), bool)
     same[1:] = (h[1:] == h[:-1]) & (left[1:] == left[:-1]) & (n[1:] == n[:-1]) & (words[1:] == words[:-1])
     again = same.copy()
     again[1:] &= (i[1:] == i[:-1]) & (th[1:] == th[:-1]) & (p0[1:] == p0[:-1])
-    keep = ~again  # the same occurrence from a repeated row
-    h, p0, left, n, i, th, start, same = (x[keep] for x in (h, p0, left, n, i, th, start, same))
+    keep = ~again  # not the same occurrence from a repeated row
+    h, p0, left, n, i, th, part, start, same = (x[keep] for x in (h, p0, left, n, i, th, part, start, same))
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    at = 0
+    while at < len(h):
+        nxt = np.searchsorted(first, at + CHUNK)
+        to = int(first[nxt]) if nxt < len(first) else len(h)
+        x = slice(at, to)
+        yield from _chunk(h[x], p0[x], left[x].astype(np.int64), n[x].astype(np.int64), i[x], th[x], part[x], start[x], same[x], codes)
+        at = to
+
+
+def _chunk(h, p0, left, n, i, th, part, start, same, codes: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Rows in order of (hash, class, occurrence); ``same``: of the class of the row before."""
     lead = np.flatnonzero(~same)
     cls = np.cumsum(~same) - 1
     members = np.diff(np.append(lead, len(h)))
@@ -326,39 +344,47 @@ def repeated_windows(parts: list[bytes]) -> tuple[np.ndarray, ...]:
     wn = n[lead] + 1
     wc = np.repeat(np.arange(len(lead)), wn)
     wo = np.arange(len(wc)) - np.repeat(np.cumsum(wn) - wn, wn)
-    place = left[lead][wc] - wo
     hs = h[lead]
-    number = np.concatenate([[0], np.cumsum(hs[1:] != hs[:-1])]) if len(hs) else np.zeros(0, np.int64)
-    seg = number[wc] * 256 + place + 128
-    so = np.argsort(seg, kind="stable")
-    alone = np.bincount(number, minlength=1)[number[wc[so]]] == 1
-    g = np.empty(len(wc), np.int64)
-    g[so[alone]] = so[alone]
-    rest = so[~alone]
+    number = np.concatenate([[0], np.cumsum(hs[1:] != hs[:-1])])
+    seg = number[wc] * 256 + left[lead][wc] - wo + 128
+    several = np.bincount(number)[number] > 1
+    g = np.arange(len(wc))
+    rest = np.flatnonzero(several[wc])
     if len(rest):
-        g[rest] = rest[equal_windows(code, start[lead][wc[rest]] + wo[rest], seg[rest])]
-    # the first occurrence and the number of occurrences of each distinct window
+        rest = rest[np.argsort(seg[rest], kind="stable")]
+        own = np.flatnonzero(several)
+        size = n[lead[own]] + WINDOW
+        begin = np.zeros(len(lead), np.int64)
+        begin[own] = np.cumsum(size) - size
+        code = np.concatenate([codes[part[r]][start[r] : start[r] + s] for r, s in zip(lead[own].tolist(), size.tolist())])
+        g[rest] = rest[equal_windows(code, begin[wc[rest]] + wo[rest], seg[rest])]
+    # the number of occurrences of each distinct window, and the class whose first member has the first of them
     count = np.bincount(g, members[wc], minlength=len(wc))
     fo = np.lexsort((p0[lead][wc] + wo, th[lead][wc], i[lead][wc], g))
     gs = g[fo]
-    head = np.concatenate([[True], gs[1:] != gs[:-1]]) if len(gs) else np.zeros(0, bool)
+    head = np.concatenate([[True], gs[1:] != gs[:-1]])
     best = np.full(len(wc), -1)
     best[gs[head]] = wc[fo[head]]
-    repeated = count[g] > 1
-    firstly = best[g] == wc  # the class that holds the first occurrence: its first member
-    # members x windows
-    mw = n + 1
-    m = np.repeat(np.arange(len(h)), mw)
-    k = np.arange(len(m)) - np.repeat(np.cumsum(mw) - mw, mw)
-    w = (np.cumsum(wn) - wn)[cls[m]] + k
-    first_member = np.zeros(len(h), bool)
-    first_member[lead] = True
-    state = np.where(repeated[w], np.where(firstly[w] & first_member[m], 1, 2), 0)
-    edge = np.flatnonzero(np.concatenate([[True], (state[1:] != state[:-1]) | (m[1:] != m[:-1])])) if len(m) else np.zeros(0, np.int64)
-    end = np.append(edge[1:], len(m))
-    on = state[edge] > 0
-    edge, end = edge[on], end[on]
-    return i[m[edge]], th[m[edge]], p0[m[edge]] + k[edge], p0[m[edge]] + k[end - 1] + WINDOW, state[edge] == 2
+    window_state = np.where(count[g] > 1, np.where(best[g] == wc, 1, 2), 0).astype(np.int8)
+    first_of = np.cumsum(wn) - wn
+    is_lead = ~same
+    # members by windows, a bounded number at a time
+    ends = np.cumsum(n + 1)
+    a = 0
+    while a < len(h):
+        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 20), "right")))
+        mw = n[a:z] + 1
+        m = np.repeat(np.arange(a, z, dtype=np.int32), mw)
+        k = (np.arange(len(m)) - np.repeat(np.cumsum(mw) - mw, mw)).astype(np.int32)
+        state = window_state[first_of[cls[m]] + k]
+        state[(state == 1) & ~is_lead[m]] = 2
+        edge = np.flatnonzero(np.concatenate([[True], (state[1:] != state[:-1]) | (m[1:] != m[:-1])]))
+        end = np.append(edge[1:], len(m))
+        on = state[edge] > 0
+        edge, end = edge[on], end[on]
+        if len(edge):
+            yield i[m[edge]], th[m[edge]], p0[m[edge]] + k[edge], p0[m[edge]] + k[end - 1] + WINDOW, state[edge] == 2
+        a = z
 
 
 def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray, removed: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -392,7 +418,9 @@ def all_spans(docs: DataFrame) -> DataFrame:
     buckets = width(docs.sparkSession)
 
     def windows(t: pa.Table) -> pa.Table:
-        return pa.table(list(repeated_windows(t.column("part").to_pylist())), names=["doc_id", "h", "start_word", "end_word", "removed"])
+        found = list(zip(*repeated_windows([x.as_buffer() for x in t.column("part")])))
+        empty = [np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.int64, bool)]
+        return pa.table([np.concatenate(c) for c in found] or empty, names=["doc_id", "h", "start_word", "end_word", "removed"])
 
     def union(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -432,20 +460,33 @@ def cut_words(texts: pa.Array, spans: list[list[tuple[int, int]] | None]) -> pa.
     return pa.array(out, pa.binary()).cast(pa.string())
 
 
+_RUNS = "weirflow repeated runs"
+
+
 def removed(docs: DataFrame) -> DataFrame:
     """docs, all columns, without the removed words; n_chars is set where there is such a column.
     A document that loses all of its words goes."""
-    runs = all_spans(docs).where("removed").groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("_runs"))
-    text = docs["text"].cast("string")
-    j = docs.join(runs, (docs["doc_id"] == runs["_id"]) & (F.xxhash64(text) == runs["_h"]), "left")
-
-    @F.pandas_udf("string")
-    def without(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for t, s, e in parts:
-            a = pa.array(t, pa.string())
-            yield cut_words(a, [None if x is None else list(zip(x, y)) for x, y in zip(s, e)]).to_pandas()
-
-    new = F.when(F.col("_runs").isNull(), text).otherwise(without(text, F.col("_runs.start_word"), F.col("_runs.end_word")))
-    j = j.withColumn("_new", new).where("_runs IS NULL OR _new RLIKE '[0-9A-Za-z\\\\x{80}-\\\\x{10FFFF}]'")
-    cols = [F.col("_new").alias(c) if c == "text" else F.when(F.col("_runs").isNull(), docs[c]).otherwise(F.length("_new")).cast(t).alias(c) if c == "n_chars" else docs[c] for c, t in docs.dtypes]
-    return j.select(*cols)
+    runs = all_spans(docs).where("removed").groupBy(F.col("doc_id").alias("cut id"), F.col("h").alias("cut hash")).agg(F.collect_list(F.struct("start_word", "end_word")).alias(_RUNS))
+    j = docs.join(runs, (docs["doc_id"] == runs["cut id"]) & (F.xxhash64(docs["text"].cast("string")) == runs["cut hash"]), "left").drop("cut id", "cut hash")
+    names, schema = docs.columns, docs.schema
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            runs = b.column(len(names))
+            cols = [b.column(i) for i in range(len(names))]
+            hit = pc.is_valid(runs)
+            if hit.true_count:
+                text = cols[at].cast(pa.string())
+                new = cut_words(text, [None if r is None else [(x["start_word"], x["end_word"]) for x in r] for r in runs.to_pylist()])
+                some = pa.array(np.diff(Words(new, hashed=False, any_case=True).first) > 0)
+                cols[at] = pc.if_else(hit, new, text).cast(cols[at].type)
+                if "n_chars" in names:
+                    k = names.index("n_chars")
+                    cols[k] = pc.if_else(hit, pc.utf8_length(new).cast(cols[k].type), cols[k])
+                keep = pc.or_(pc.invert(hit), some)
+                yield pa.record_batch(cols, names).filter(keep)
+            else:
+                yield pa.record_batch(cols, names)
+
+    return j.mapInArrow(run, schema)

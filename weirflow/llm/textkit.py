@@ -11,6 +11,7 @@ single text but not the partition.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,7 +19,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 WORD_RE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+
+
+def _return_memory() -> None:
+    """Large arrays go back to the system when freed: workers live on between tasks, beside a JVM that needs the room."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD, fixed
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+_return_memory()
 
 _WORD = np.zeros(256, bool)
 _WORD[128:] = True

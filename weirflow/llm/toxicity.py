@@ -10,7 +10,7 @@ a factor vector (AdaGrad), so scoring touches few words of a text.
 Defined results: null and empty texts score the intercept alone and are not
 toxic; null ids are scored like others; repeated rows give repeated results; an
 empty table gives none; columns beyond doc_id and text are ignored in scoring
-and kept by ``keep``. Without labelled rows nothing is toxic.
+and kept by ``keep``. Without a row labelled toxic nothing is.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,6 +72,8 @@ class FactorizationMachine:
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, passes: int = PASSES, seed: int = 11, rate: float = 0.05, l2: float = 0.02) -> FactorizationMachine:
+    if not np.any(y):
+        return FactorizationMachine(-35.0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
     screen = Ftrl(1 << BITS, alpha=0.3, l1=15, l2=0.5).fit(rows, y, 3, seed)
     on = np.flatnonzero(screen.weights()[:-1, 0])
     slot = np.full(1 << BITS, -1)
@@ -113,8 +114,8 @@ def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = sent.value.scorer()
         for b in slices(batches, "text"):
-            p = np.round(f(b.column("text")), 6)
-            yield pa.record_batch([b.column("doc_id"), pa.array(p), pa.array(p >= THRESHOLD)], ["doc_id", "score", "toxic"])
+            p = f(b.column("text"))
+            yield pa.record_batch([b.column("doc_id"), pa.array(np.round(p, 6)), pa.array(p >= THRESHOLD)], ["doc_id", "score", "toxic"])
 
     return keyed(docs).mapInArrow(run, "doc_id long, score double, toxic boolean")
 
@@ -127,12 +128,13 @@ def rejected(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
 def keep(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
     """The rows of docs that aren't toxic, with all their columns."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
 
-    @F.pandas_udf("boolean")
-    def toxic(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = sent.value.scorer()
-        for t in texts:
-            out = [f(b.column(0)) for b in slices([pa.record_batch([pa.array(t, pa.string())], ["text"])], "text")]
-            yield pd.Series(np.concatenate(out) >= THRESHOLD if out else np.zeros(0, bool))
+        for b in batches:
+            text = pa.record_batch([b.column(at).cast(pa.string())], ["text"])
+            p = [f(s.column(0)) for s in slices([text], "text")]
+            yield b.filter(pa.array(np.concatenate(p) < THRESHOLD)) if p else b
 
-    return docs.where(~F.coalesce(toxic(docs["text"].cast("string")), F.lit(False)))
+    return docs.mapInArrow(run, docs.schema)
