@@ -55,12 +55,17 @@ def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def nearest(qi: np.ndarray, q: np.ndarray, di: np.ndarray, d: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of q, id, distance) of the up to k nearest of d within bound, for each q; ids that are the same don't meet."""
     slack = bound * bound * (1 + 1e-9) + 1e-9
+    blunt = (slack + 1e-7 + 1e-12 * ((q * q).sum(1) + (d * d).sum(1).max(initial=0)))[:, None]  # for differences of large products
+    left = np.ones((len(q), len(d)), bool)
     on: tuple[np.ndarray, np.ndarray] | None = None
-    for s in SEGMENTS:
-        fq, fd = features(q, s), features(d, s)
+    # while many pairs are left a bound is one product of matrices, then it is taken pair by pair
+    for s in (*SEGMENTS, None):
+        fq, fd = (features(q, s), features(d, s)) if s else (q, d)
         if on is None:
-            on = np.nonzero(squared(fq, fd) <= slack[:, None] + 1e-7)
-        else:
+            left &= squared(fq, fd) <= blunt
+            if 8 * np.count_nonzero(left) < left.size or s is None:
+                on = np.nonzero(left)
+        elif s:
             ok = np.empty(len(on[0]), bool)
             for a in range(0, len(ok), 1 << 18):
                 x, y = on[0][a : a + (1 << 18)], on[1][a : a + (1 << 18)]
@@ -127,7 +132,7 @@ def top_k(vectors: DataFrame, k: int = K) -> DataFrame:
     )
     v = v.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     v = written(v)
-    cells = min(PIVOTS, -(-v.count() // (BLOCK // 2)))
+    cells = min(PIVOTS, -(-v.count() // BLOCK))
     pivots = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(cells).toPandas()  # PIVOTS rows at most
     if pivots.empty:
         return spark.createDataFrame([], out)
