@@ -123,14 +123,14 @@ DANGEROUS_SQL = f", hits AS ({_BANNED_SQL}), dangerous AS (SELECT rule_id, sever
 
 
 def dangerous(instr: DataFrame) -> DataFrame:
-    """Call sites of banned names, one for each rule and place."""
-    out = None
+    """Call sites of banned names, one for each rule and place. The program passes once, all rules tested together."""
     calls = instr.where("k >= 4").select("fn", "callee", "part", "file", "line", "col", position(F.col("file"), F.col("line"), F.col("col")).alias("pos"))
+    hits = []
     for rule, globs, const in BANNED:
         test = any_of(F.col("callee"), globs)
-        hit = calls.where(test & F.col("part").rlike(const) if const else test).select(F.lit(rule).alias("rule_id"), F.lit(_SEVERITY[rule]).alias("severity"), "*")
-        out = hit if out is None else out.unionByName(hit)
-    return triage.one_per(out.drop("part"), ["rule_id", "pos"], ["fn", "callee"])
+        hits.append(F.when(test & F.col("part").rlike(const) if const else test, F.struct(F.lit(rule).alias("rule_id"), F.lit(_SEVERITY[rule]).alias("severity"))))
+    found = calls.select(F.explode(F.array_compact(F.array(*hits))).alias("hit"), *[c for c in calls.columns if c != "part"]).select("hit.*", *[c for c in calls.columns if c != "part"])
+    return triage.one_per(found, ["rule_id", "pos"], ["fn", "callee"])
 
 
 @query("dangerous_calls", SQL + DANGEROUS_SQL + " SELECT rule_id, severity, pos, fn, callee FROM dangerous")
