@@ -149,22 +149,7 @@ def read(path: str | Path) -> list[dict]:
     return found["rules"] if isinstance(found, dict) and "rules" in found else [found] if isinstance(found, dict) else found or []
 
 
-#: Rules that come with the library, over canonical names <lang>:<module>.<member>.
-DEFAULT_PROPAGATORS = ["*.format", "*.join", "*.strip", "*.lower", "*.upper", "*.replace", "*.encode", "*.decode", "builtin.append", "builtin.format", "builtin.identity", "py:str", "go:fmt.Sprintf", "go:strings.*"]
-PACK = [
-    {"id": "py-command-injection", "severity": "critical", "cwe": "CWE-78", "languages": ["python"], "sources": ["py:input", "py:flask.request.*", "py:os.environ.get", "py:@http.param"], "sinks": ["py:os.system#0", "py:os.popen#0", {"match": "py:subprocess.*", "when": 'kwargs.shell.String == "True" || arg[0].Type == "string"'}], "sanitizers": ["py:shlex.quote"]},
-    {"id": "py-sql-injection", "severity": "high", "cwe": "CWE-89", "languages": ["python"], "sources": ["py:input", "py:flask.request.*", "py:@http.param"], "sinks": ["*.execute#0", "*.executemany#0"], "sanitizers": ["py:int", "py:float"]},
-    {"id": "py-code-injection", "severity": "critical", "cwe": "CWE-94", "languages": ["python"], "sources": ["py:input", "py:flask.request.*", "py:@http.param"], "sinks": ["py:eval#0", "py:exec#0"]},
-    {"id": "py-ssrf", "severity": "high", "cwe": "CWE-918", "languages": ["python"], "when": "not hostFixed()", "sources": ["py:input", "py:flask.request.*", "py:@http.param"], "sinks": ["py:requests.get#0", "py:requests.post#0", "py:urllib.request.urlopen#0"]},
-    {"id": "py-path-traversal", "severity": "high", "cwe": "CWE-22", "languages": ["python"], "sources": ["py:input", "py:flask.request.*", "py:@http.param"], "sinks": ["py:open#0"], "sanitizers": ["*.basename", "*.secure_filename"], "validators": ["*.is_safe_path"]},
-    {"id": "py-deserialization", "severity": "high", "cwe": "CWE-502", "languages": ["python"], "sources": ["py:input", "py:flask.request.*", "py:@http.param"], "sinks": ["py:pickle.loads#0", "py:yaml.load#0"]},
-    {"id": "py-insecure-tls", "kind": "dangerous-call", "severity": "medium", "cwe": "CWE-295", "languages": ["python"], "callees": ["py:requests.*"], "when": 'kwargs.verify.String == "False"'},
-    {"id": "py-weak-hash", "kind": "dangerous-call", "severity": "medium", "cwe": "CWE-327", "languages": ["python"], "callees": ["py:hashlib.md5", "py:hashlib.sha1"]},
-    {"id": "py-weak-hash-name", "kind": "dangerous-call", "severity": "medium", "cwe": "CWE-327", "languages": ["python"], "callees": ["py:hashlib.new"], "const_arg": {"index": 0, "matches": "(?i)^(md5|sha1)$"}},
-    {"id": "go-sql-injection", "severity": "high", "cwe": "CWE-89", "languages": ["go"], "sources": ["go:@net/http.Request", "*.FormValue"], "sinks": ["*sql.DB*.Query#0", "*sql.DB*.Exec#0"]},
-    {"id": "go-weak-crypto", "kind": "dangerous-call", "severity": "medium", "cwe": "CWE-327", "languages": ["go"], "callees": ["go:crypto/md5.*", "go:crypto/des.*"]},
-]
-
-
 def shipped() -> list[Rule]:
-    return build(PACK, defaults=DEFAULT_PROPAGATORS)
+    from weirflow import packs
+
+    return build(packs.rules(), defaults=packs.ALWAYS)
