@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from weirflow.llm.labelled import keyed
 from weirflow.llm.textkit import Words, buffers, ngram_hash, slices
-from weirflow.session import width
+from weirflow.session import spread_keys, width
 
 WINDOW = 50
 GRAM = 8
@@ -105,6 +105,7 @@ def split(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 def anchor_hashes(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, part): the anchors of all documents, by hash: (hash, position, doc_id, text hash)."""
+    number = spread_keys(buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 4 << 20):
@@ -115,7 +116,7 @@ def anchor_hashes(docs: DataFrame, buckets: int) -> DataFrame:
             for k, rows in split((h % np.uint64(buckets)).astype(np.int64)):
                 dd = d[rows]
                 own, local = np.unique(dd, return_inverse=True)
-                ks.append(k)
+                ks.append(number[k])
                 ps.append(columns(h[rows], (a[rows] - w.first[dd]).astype(np.uint32), local.astype(np.uint32)) + columns(ids[own], th[own]))
             yield pa.record_batch([pa.array(ks, pa.int32()), pa.array(ps, pa.binary())], ["bucket", "part"])
 
@@ -154,6 +155,7 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
 
 def contexts(docs: DataFrame, repeated: DataFrame, buckets: int) -> DataFrame:
     """(bucket, part): the words around each repeated anchor, by hash."""
+    number = spread_keys(buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 4 << 20):
@@ -172,7 +174,7 @@ def contexts(docs: DataFrame, repeated: DataFrame, buckets: int) -> DataFrame:
                 own, local = np.unique(dd, return_inverse=True)
                 n = p1[rows] + WINDOW - p0[rows]
                 words = np.repeat(p0[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                ks.append(k)
+                ks.append(number[k])
                 ps.append(columns(h[rows], (p0[rows] - w.first[dd]).astype(np.uint32), (a[rows] - p0[rows]).astype(np.uint8), (p1[rows] - p0[rows]).astype(np.uint8), local.astype(np.uint32)) + columns(ids[own], th[own]) + columns(code[words]))
             yield pa.record_batch([pa.array(ks, pa.int32()), pa.array(ps, pa.binary())], ["bucket", "part"])
 
