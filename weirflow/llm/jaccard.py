@@ -38,7 +38,7 @@ from pyspark.sql.window import Window
 
 from weirflow.llm.labelled import keyed
 from weirflow.llm.textkit import Words, mix, ngram_hash, slices, unpack
-from weirflow.session import cut, width, written
+from weirflow.session import cut, spread_keys, width, written
 
 N = 3
 NUM, DEN = 3, 5  # threshold
@@ -187,6 +187,7 @@ def members_of(payloads: list[bytes]) -> tuple:
 def indexed(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
     """(bucket, entries, members): prefix entries by n-gram and members by group, packed."""
     sent = docs.sparkSession.sparkContext.broadcast(order)
+    number = spread_keys(buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_key = Order(sent.value)
@@ -211,7 +212,7 @@ def indexed(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], buckets: int)
             e = np.flatnonzero(on)
             entries = parts_of((mix(key[e]) % np.uint64(buckets)).astype(np.int64), [key[e], fp[e], np.minimum(pos[e], 65535).astype(np.uint16), group[doc[e]], size[doc[e]].astype(np.uint32)])
             ks = sorted({*entries, *members})
-            yield pa.record_batch([pa.array(ks, pa.int32()), pa.array([entries.get(k) for k in ks], pa.binary()), pa.array([members.get(k) for k in ks], pa.binary())], ["bucket", "entries", "members"])
+            yield pa.record_batch([pa.array([number[k] for k in ks], pa.int32()), pa.array([entries.get(k) for k in ks], pa.binary()), pa.array([members.get(k) for k in ks], pa.binary())], ["bucket", "entries", "members"])
 
     return docs.mapInArrow(run, "bucket int, entries binary, members binary")
 
