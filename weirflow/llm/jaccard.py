@@ -217,8 +217,8 @@ def indexed(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], buckets: int)
     return docs.mapInArrow(run, "bucket int, entries binary, members binary")
 
 
-def pairs_in(key: np.ndarray, fp: np.ndarray, pos: np.ndarray, group: np.ndarray, size: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Group pairs (a < b, hint) that pass the filters, in pieces; hint is the least group with that n-gram."""
+def pairs_in(key: np.ndarray, fp: np.ndarray, pos: np.ndarray, group: np.ndarray, size: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Group pairs (a < b) that pass the filters, in pieces."""
     o = np.lexsort((group, size, key))
     key, fp, pos, group, size = key[o], fp[o], pos[o].astype(np.int64), group[o], size[o].astype(np.int64)
     new = np.ones(len(key), bool)
@@ -228,7 +228,6 @@ def pairs_in(key: np.ndarray, fp: np.ndarray, pos: np.ndarray, group: np.ndarray
         return
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
-    hint = np.minimum.reduceat(group, first)[run]
     # partners follow their entry, up to size / t
     span = run * (1 << 40) + size
     to = np.searchsorted(span, run * (1 << 40) + size * DEN // NUM, "right")
@@ -245,38 +244,36 @@ def pairs_in(key: np.ndarray, fp: np.ndarray, pos: np.ndarray, group: np.ndarray
         need = (NUM * (size[x] + size[y]) + NUM + DEN - 1) // (NUM + DEN)
         ok = (1 + np.minimum(size[x] - pos[x], size[y] - pos[y]) - 1 >= need) & ((fp[x] != fp[y]) | (fp[x] == 0))
         x, y = x[ok], y[ok]
-        a, b = np.minimum(group[x], group[y]), np.maximum(group[x], group[y])
-        yield a, b, hint[x]
+        yield np.minimum(group[x], group[y]), np.maximum(group[x], group[y])
 
 
-def least_hint(a: np.ndarray, b: np.ndarray, hint: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    o = np.lexsort((hint, b, a))
-    a, b, hint = a[o], b[o], hint[o]
+def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    o = np.lexsort((b, a))
+    a, b = a[o], b[o]
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return a[new], b[new], hint[new]
+    return a[new], b[new]
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Written rows (a, b, hint, doc_id, h, size, marks): group pairs, or with doc_id and text hash a member: group a, class b."""
+    """Written rows (a, b, doc_id, h, size, marks): group pairs, or with doc_id and text hash a member: group a, class b."""
     buckets = width(docs.sparkSession)
 
     def run(t: pa.Table) -> pa.Table:
         entries = unpack(t.column("entries").drop_null().to_pylist(), ENTRY)
         doc_id, th, group, cls, size, marks = members_of(t.column("members").drop_null().to_pylist())
-        found = [np.zeros(0, np.uint64)] * 3
+        found = [np.zeros(0, np.uint64)] * 2
         held: list[tuple] = []
         for p in pairs_in(*entries):
             held.append(p)
             if sum(len(x[0]) for x in held) > 1 << 20:
-                found = least_hint(*(np.concatenate(x) for x in zip(found, *held)))
+                found = distinct_pairs(*(np.concatenate(x) for x in zip(found, *held)))
                 held = []
-        a, b, hint = least_hint(*(np.concatenate(x) for x in zip(found, *held))) if held else found
+        a, b = distinct_pairs(*(np.concatenate(x) for x in zip(found, *held))) if held else found
         k, m = len(a), len(doc_id)
         return pa.table({
             "a": np.concatenate([a, group]).view(np.int64),
             "b": np.concatenate([b, cls]).view(np.int64),
-            "hint": pa.array(np.concatenate([hint, np.zeros(m, np.uint64)]).view(np.int64)),
             "doc_id": pa.array(np.concatenate([np.zeros(k, np.int64), doc_id]), mask=np.arange(k + m) < k),
             "h": np.concatenate([np.zeros(k, np.int64), th]),
             "size": np.concatenate([np.zeros(k, np.int32), size.astype(np.int32)]),
@@ -284,7 +281,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         })
 
     got = indexed(docs, frequent(docs), buckets)
-    return written(got.groupBy("bucket").applyInArrow(run, "a long, b long, hint long, doc_id long, h long, size int, marks binary"))
+    return written(got.groupBy("bucket").applyInArrow(run, "a long, b long, doc_id long, h long, size int, marks binary"))
 
 
 def classes_of(found: DataFrame) -> DataFrame:
@@ -298,34 +295,42 @@ def classes_of(found: DataFrame) -> DataFrame:
     )
 
 
-def verified(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(x, y, jaccard): pairs of classes that match, expanded from the group pairs."""
-    spark = docs.sparkSession
-    classes = classes_of(found).select("grp", "cls", "rep", "h", "size", "marks")
-    groups = found.where(F.col("doc_id").isNull()).groupBy("a", "b").agg(F.min("hint").alias("hint"))
-    left = classes.select(F.col("grp").alias("a"), F.col("cls").alias("x"), F.col("size").alias("m"), F.col("marks").alias("mx"))
-    right = classes.select(F.col("grp").alias("b"), F.col("cls").alias("y"), F.col("size").alias("n"), F.col("marks").alias("my"))
-    several = classes.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select(F.col("grp").alias("a"), F.col("grp").alias("b"))
-    expanded = groups.select("a", "b").union(several).join(left, "a").join(right, "b").where("a <> b OR x < y").select("x", "y", "m", "n", "mx", "my")
-
-    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            m, n, x, y = (b.column(c).to_pylist() for c in ("m", "n", "mx", "my"))
-            on = pa.array([may_match(*r) for r in zip(m, x, n, y)], pa.bool_())
-            yield b.select(["x", "y"]).filter(on)
-
-    left_over = written(expanded.mapInArrow(possible, "x long, y long"))
-    both = left_over.union(left_over.select("y", "x")).toDF("v", "w")
+def placed(pairs: DataFrame) -> DataFrame:
+    """Written (x, y, at): where each pair is looked at. Pairs with the same least neighbour (for near copies of one
+    document: all) go to one place, so that what they need of a class is sent there once; large ones are split into
+    blocks."""
+    pairs = written(pairs)
+    both = pairs.select("x", "y").union(pairs.select("y", "x")).toDF("v", "w")
     near = both.groupBy("v").agg(F.least("v", F.min("w")).alias("near"))
-    # Pairs with the same least neighbour (for near copies of one document: all) are verified together, so that a
-    # text is sent there once; large ones are split into blocks.
-    hub = left_over.join(near.toDF("x", "na"), "x").join(near.toDF("y", "nb"), "y").select("x", "y", F.least("na", "nb").alias("hub"))
+    hub = pairs.join(near.toDF("x", "na"), "x").join(near.toDF("y", "nb"), "y").select("x", "y", F.least("na", "nb").alias("hub"))
     k = F.ceil(F.sqrt(F.count("*").over(Window.partitionBy("hub")) / BLOCK_PAIRS))
-    at = F.pmod(F.xxhash64("hub", F.pmod("x", "k"), F.pmod("y", "k")), F.lit(2 * width(spark))).cast("int")
-    pairs = written(hub.withColumn("k", k).select("x", "y", at.alias("at")))
+    at = F.pmod(F.xxhash64("hub", F.pmod("x", "k"), F.pmod("y", "k")), F.lit(2 * width(pairs.sparkSession))).cast("int")
+    return written(hub.withColumn("k", k).select("x", "y", at.alias("at")))
+
+
+def sent_to(pairs: DataFrame) -> DataFrame:
+    """(cls, to): where each class is needed."""
+    return pairs.select(F.explode(F.array("x", "y")).alias("cls"), F.col("at").alias("to")).distinct()
+
+
+def verified(docs: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
+    """(x, y, jaccard): pairs of classes that match, expanded from the group pairs."""
+    members = classes.select("grp", "cls")
+    groups = found.where(F.col("doc_id").isNull()).select("a", "b").distinct()
+    several = members.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select(F.col("grp").alias("a"), F.col("grp").alias("b"))
+    expanded = groups.union(several).join(members.toDF("a", "x"), "a").join(members.toDF("b", "y"), "b").where("a <> b OR x < y").select("x", "y")
+    pairs = placed(expanded)
+    marks = sent_to(pairs).join(classes.select("cls", "size", "marks"), "cls").select("to", "cls", "size", "marks")
+
+    def possible(marks: pa.Table, pairs: pa.Table) -> pa.Table:
+        known = dict(zip(marks.column("cls").to_pylist(), zip(marks.column("size").to_pylist(), marks.column("marks").to_pylist())))
+        on = [may_match(*known[x], *known[y]) for x, y in zip(pairs.column("x").to_pylist(), pairs.column("y").to_pylist())]
+        return pairs.select(["x", "y"]).filter(pa.array(on, pa.bool_()))
+
+    pairs = placed(marks.groupBy("to").cogroup(pairs.groupBy("at")).applyInArrow(possible, "x long, y long"))
     wanted = (
-        pairs.select(F.explode(F.array("x", "y")).alias("cls"), "at").distinct().join(classes.select("cls", "rep", "h"), "cls")
-        .groupBy(F.col("rep").alias("doc_id"), "h", "cls").agg(F.collect_list("at").alias("ats"))
+        sent_to(pairs).join(classes.select("cls", "rep", "h"), "cls")
+        .groupBy(F.col("rep").alias("doc_id"), "h", "cls").agg(F.collect_list("to").alias("ats"))
     )
 
     def check(texts: pa.Table, pairs: pa.Table) -> pa.Table:
@@ -370,8 +375,9 @@ def join(docs: DataFrame) -> DataFrame:
     of a cluster, as any join; ``groups`` and ``distinct`` stay linear."""
     d = usable(docs)
     found = candidates(d)
-    classes = classes_of(found).select("cls", "ids")
-    pairs = verified(d, found)
+    classes = written(classes_of(found))
+    pairs = verified(d, found, classes)
+    classes = classes.select("cls", "ids")
     a = classes.select(F.col("cls").alias("x"), F.col("ids").alias("xs"))
     b = classes.select(F.col("cls").alias("y"), F.col("ids").alias("ys"))
     across = pairs.join(a, "x").join(b, "y").select("jaccard", "ys", F.explode("xs").alias("p")).select("jaccard", "p", F.explode("ys").alias("q"))
@@ -403,9 +409,9 @@ def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, keeper) of every document that isn't the least id of its connected group."""
     d = usable(docs)
     found = candidates(d)
-    classes = classes_of(found)
+    classes = written(classes_of(found))
     reps = classes.select("cls", "rep")
-    edges = verified(d, found).join(reps.toDF("x", "u"), "x").join(reps.toDF("y", "v"), "y").select("u", "v")
+    edges = verified(d, found, classes).join(reps.toDF("x", "u"), "x").join(reps.toDF("y", "v"), "y").select("u", "v")
     root = components(edges.where("u <> v"))
     member = classes.select(F.explode("ids").alias("doc_id"), "rep")
     return (
