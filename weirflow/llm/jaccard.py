@@ -131,7 +131,7 @@ class Order:
         return key
 
 
-ENTRY = [np.uint64, np.uint32, np.uint16, np.uint64, np.uint32]  # key, print of the one before, position, group, size
+ENTRY = [np.uint32, np.uint32, np.uint16, np.uint64, np.uint32]  # tag of the key, print of the one before, position, group, size
 MEMBER = [np.int64, np.int64, np.uint64, np.uint64, np.uint32]  # doc_id, text hash, group, class, size
 
 
@@ -210,7 +210,9 @@ def indexed(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], buckets: int)
             fp = np.where(pos > 0, (mix(before) >> np.uint64(32)).astype(np.uint32) | np.uint32(1), np.uint32(0))
             on &= lead[doc]
             e = np.flatnonzero(on)
-            entries = parts_of((mix(key[e]) % np.uint64(buckets)).astype(np.int64), [key[e], fp[e], np.minimum(pos[e], 65535).astype(np.uint16), group[doc[e]], size[doc[e]].astype(np.uint32)])
+            # inside a bucket 32 bits of the key do: where they agree by chance, a pair more is verified
+            tag = mix(key[e])
+            entries = parts_of((tag % np.uint64(buckets)).astype(np.int64), [(tag >> np.uint64(32)).astype(np.uint32), fp[e], np.minimum(pos[e], 65535).astype(np.uint16), group[doc[e]], size[doc[e]].astype(np.uint32)])
             ks = sorted({*entries, *members})
             yield pa.record_batch([pa.array([number[k] for k in ks], pa.int32()), pa.array([entries.get(k) for k in ks], pa.binary()), pa.array([members.get(k) for k in ks], pa.binary())], ["bucket", "entries", "members"])
 
