@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROOT = str(Path(__file__).resolve().parent.parent)
+
+
+def importable(spark: SparkSession) -> None:
+    """Python workers find this package where the driver did, also in a session that was started elsewhere."""
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share. Only where the cluster names none
     (single-machine tests) a temporary one is made."""
+    importable(spark)
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
@@ -38,6 +53,7 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def width(spark: SparkSession) -> int:
+    importable(spark)
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
