@@ -436,6 +436,27 @@ def test_toxicity_learns_pairs(spark):
     assert toxicity.score(docs(spark, []), model).count() == 0
 
 
+def test_toxicity_terms_of_few_labels(spark):
+    """A term of five labelled rows is learned, however few they are beside the rest."""
+    rows = [(i, " ".join(words(30, 70_000 + i)) + (" grobian" if i < 5 else ""), int(i < 5)) for i in range(90)]
+    model = toxicity.train(docs(spark, [r[:2] for r in rows]), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    seen = set(toxicity.terms(pa.array([t for _, t, _ in rows]))[0].tolist())
+    assert set(model.terms.tolist()) == seen and np.all(np.abs(model.v).sum(1) > 0)
+    test = [(i, " ".join(words(30, 80_000 + i)) + (" grobian" if i % 2 else "")) for i in range(40)]
+    got = {r.doc_id: r.toxic for r in toxicity.score(docs(spark, test), model).collect()}
+    assert all(got[i] == bool(i % 2) for i in range(40))
+
+
+def test_toxicity_supplied_labels(spark, sf):
+    d, la = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = {r.doc_id: r.toxic for r in toxicity.score(d, toxicity.train(d, la)).collect()}
+    insult = {r.doc_id for r in d.collect() if set(WORD.findall((r.text or "").lower())) & set("trash pathetic idiot worthless disgusting stupid clown scum loser moron".split())}
+    label = {r.doc_id: r.toxic for r in la.collect()}
+    named = [i for i in got if i in insult and label.get(i) == 1]
+    clean = [i for i in got if label.get(i) == 0]
+    assert named and all(got[i] for i in named) and sum(got[i] for i in clean) <= 0.02 * len(clean)
+
+
 def test_toxicity_without_labels(spark):
     model = toxicity.train(docs(spark, [(1, "a")]), spark.createDataFrame([], "doc_id long, toxic int"))
     assert not toxicity.score(docs(spark, [(1, "a b"), (2, None)]), model).where("toxic").count()

@@ -1,11 +1,12 @@
 """Toxicity: a factorization machine over hashed terms (Rendle, 2010).
 
-score(x) = b + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j, x_i = 1 where the
+score(x) = b + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j, x_i > 0 where the
 document has a word, or the first five bytes of a word, that hashes to i. The
 pairwise part learns what an additive model can't: an insult next to a group
-mention is toxic, either alone is not. A linear FTRL model with a strong L1
-penalty first picks the terms that carry signal; those get a weight (FTRL) and
-a factor vector (AdaGrad), so scoring touches few words of a text.
+mention is toxic, either alone is not. Every term of the labelled documents gets
+a weight (FTRL) and a factor vector (AdaGrad). In place of 1, x_i is a scale that
+follows the evidence of the term (``scales``), else the many terms of one document
+alone would learn its label by heart.
 
 Defined results: null and empty texts score the intercept alone and are not
 toxic; null ids are scored like others; repeated rows give repeated results; an
@@ -30,6 +31,10 @@ from weirflow.llm.textkit import Words, slices
 BITS = 20
 FACTORS = 8
 PASSES = 4
+#: With few labelled rows there are more passes, three times as many at most, towards so many steps.
+STEPS = 20_000
+#: Documents at which a term without evidence of its own has half its share.
+RARE = 10
 STEM = 5
 THRESHOLD = 0.25
 
@@ -48,7 +53,7 @@ def terms(arr: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class FactorizationMachine:
-    """The active terms only: ``slot`` maps a term to its row of w and v, 0 being no term."""
+    """The terms of the labelled documents, with w and v times their scale: ``slot`` maps a term to its row of w and v, 0 being no term."""
 
     bias: float
     terms: np.ndarray
@@ -64,42 +69,56 @@ class FactorizationMachine:
             s = slot[hashes(words)]
             hit = np.flatnonzero(s)
             idx, off = shared(s[hit], np.searchsorted(hit, 2 * words.first))
-            v = self.v[idx - 1]
+            v = self.v[idx - 1].astype(float)
             pair = sums(v, off) ** 2 - sums(v * v, off)
             return probability((self.bias + sums(self.w[idx - 1], off) + 0.5 * pair.sum(1))[:, None])[:, 0]
 
         return score
 
 
+def scales(rows: list[np.ndarray], y: np.ndarray, n_terms: int) -> np.ndarray:
+    """x of each term where a document has it: the square of its evidence of the label (log likelihood ratio of the
+    two-by-two table) against the chance maximum over so many terms, 1 at most. Terms without evidence of their own
+    keep a share that grows with the documents that they are in, so pairs of them are learned too; none gets 0."""
+    n = np.bincount(np.concatenate(rows), minlength=n_terms).astype(float)
+    a = np.bincount(np.concatenate([r for r, on in zip(rows, y) if on]), minlength=n_terms).astype(float)
+    total, toxic = float(len(rows)), float(np.sum(y))
+    cells = ((a, n * toxic), (n - a, n * (total - toxic)), (toxic - a, (total - n) * toxic), (total - toxic - n + a, (total - n) * (total - toxic)))
+    g = sum(o * np.log(np.where(o > 0, o * total / np.maximum(e, 1), 1)) for o, e in cells)
+    least = n / (n + RARE) / np.sqrt(max(1, n.sum() / total))
+    return np.maximum(least, np.minimum(1, g / np.log(2 * n_terms)) ** 2)
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, passes: int = PASSES, seed: int = 11, rate: float = 0.05, l2: float = 0.02) -> FactorizationMachine:
-    if not np.any(y):
+    on, at = np.unique(np.concatenate([np.zeros(0, np.int64), *(i for i, _ in rows)]), return_inverse=True)
+    if not np.any(y) or not len(on):
         return FactorizationMachine(-35.0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
-    screen = Ftrl(1 << BITS, alpha=0.3, l1=15, l2=0.5).fit(rows, y, 3, seed)
-    on = np.flatnonzero(screen.weights()[:-1, 0])
-    slot = np.full(1 << BITS, -1)
-    slot[on] = np.arange(len(on))
-    rows = [(s[s >= 0], None) for s in (slot[i] for i, _ in rows)]
+    rows = np.split(at, np.cumsum([len(i) for i, _ in rows])[:-1])
+    scale = np.append(scales(rows, y, len(on)), 1.0)
     lin = Ftrl(len(on), alpha=0.3, l1=0.1, l2=0.5)
     rng = np.random.default_rng(seed)
     v = rng.normal(0, 0.05, (len(on), FACTORS))
     gsq = np.full((len(on), FACTORS), 1e-2)
-    for _ in range(passes):
+    for _ in range(max(passes, min(3 * passes, STEPS // len(rows)))):
         for r in rng.permutation(len(rows)):
-            t = rows[r][0]
-            f = v[t]
-            total = f.sum(0)
+            t = rows[r]
             i = np.append(t, len(on))
-            p = probability(np.array([lin.weights(i)[:, 0].sum() + 0.5 * (total @ total - (f * f).sum())]))[0]
+            xi, w = scale[i], lin.weights(i)[:, 0]
+            x = xi[:-1, None]
+            f = v[t] * x
+            total = f.sum(0)
+            p = probability(np.array([w @ xi + 0.5 * (total @ total - (f * f).sum())]))[0]
             g = p - float(y[r])
-            s = (np.sqrt(lin.n[i, 0] + g * g) - np.sqrt(lin.n[i, 0])) / lin.alpha
-            lin.z[i, 0] += g - s * lin.weights(i)[:, 0]
-            lin.n[i, 0] += g * g
+            gi = g * xi
+            s = (np.sqrt(lin.n[i, 0] + gi * gi) - np.sqrt(lin.n[i, 0])) / lin.alpha
+            lin.z[i, 0] += gi - s * w
+            lin.n[i, 0] += gi * gi
             if len(t) > 1:
-                grad = g * (total - f) + l2 * f
+                grad = x * (g * (total - f) + l2 * f)
                 gsq[t] += grad**2
                 v[t] -= rate * grad / np.sqrt(gsq[t])
-    w = lin.weights()[:, 0]
-    return FactorizationMachine(float(w[-1]), on, w[:-1], v)
+    w = lin.weights()[:, 0] * scale
+    return FactorizationMachine(float(w[-1]), on, w[:-1], (v * scale[:-1, None]).astype(np.float32))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> FactorizationMachine:
