@@ -457,6 +457,16 @@ def test_toxicity_supplied_labels(spark, sf):
     assert named and all(got[i] for i in named) and sum(got[i] for i in clean) <= 0.02 * len(clean)
 
 
+def test_toxicity_rejects_no_text_without_terms(spark):
+    rows = [(i, " ".join(words(30, 60_000 + i, 200)) + (" grobian" if i % 2 else ""), i % 2) for i in range(80)]
+    model = toxicity.train(docs(spark, [r[:2] for r in rows]), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    model.bias = 0.0  # more than the threshold, as where half the labels are toxic
+    odd = docs(spark, [(1, None), (2, ""), (3, "!!! ..."), (4, "zzyzx qqfoo"), (None, None), (5, "grobian"), (5, "grobian")])
+    got = [(r.doc_id, r.score, r.toxic) for r in toxicity.score(odd, model).collect()]
+    assert sorted(x for x in got if x[0] and x[0] < 5) == [(i, 0.5, False) for i in range(1, 5)] and [x[2] for x in got if x[0] == 5] == [True, True]
+    assert sorted(r.doc_id or 0 for r in toxicity.keep(odd, model).collect()) == [0, 1, 2, 3, 4]
+
+
 def test_toxicity_without_labels(spark):
     model = toxicity.train(docs(spark, [(1, "a")]), spark.createDataFrame([], "doc_id long, toxic int"))
     assert not toxicity.score(docs(spark, [(1, "a b"), (2, None)]), model).where("toxic").count()

@@ -8,10 +8,10 @@ a weight (FTRL) and a factor vector (AdaGrad). In place of 1, x_i is a scale tha
 follows the evidence of the term (``scales``), else the many terms of one document
 alone would learn its label by heart.
 
-Defined results: null and empty texts score the intercept alone and are not
-toxic; null ids are scored like others; repeated rows give repeated results; an
-empty table gives none; columns beyond doc_id and text are ignored in scoring
-and kept by ``keep``. Without a row labelled toxic nothing is.
+Defined results: null and empty texts, and texts without a term of the model,
+score the intercept alone and are never toxic, whatever it is; null ids are scored
+like others; repeated rows give repeated results; an empty table gives none;
+columns beyond doc_id and text are ignored in scoring and kept by ``keep``. Without a row labelled toxic nothing is.
 """
 
 from __future__ import annotations
@@ -61,17 +61,19 @@ class FactorizationMachine:
     v: np.ndarray
 
     def scorer(self):
+        """Of texts, their probabilities and whether they are toxic."""
         slot = np.zeros(1 << BITS, np.int32)
         slot[self.terms] = np.arange(1, len(self.terms) + 1)
 
-        def score(arr: pa.Array) -> np.ndarray:
+        def score(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             words = Words(arr)
             s = slot[hashes(words)]
             hit = np.flatnonzero(s)
             idx, off = shared(s[hit], np.searchsorted(hit, 2 * words.first))
             v = self.v[idx - 1].astype(float)
             pair = sums(v, off) ** 2 - sums(v * v, off)
-            return probability((self.bias + sums(self.w[idx - 1], off) + 0.5 * pair.sum(1))[:, None])[:, 0]
+            p = probability((self.bias + sums(self.w[idx - 1], off) + 0.5 * pair.sum(1))[:, None])[:, 0]
+            return p, (p >= THRESHOLD) & (np.diff(off) > 0)
 
         return score
 
@@ -133,8 +135,8 @@ def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = sent.value.scorer()
         for b in slices(batches, "text"):
-            p = f(b.column("text"))
-            yield pa.record_batch([b.column("doc_id"), pa.array(np.round(p, 6)), pa.array(p >= THRESHOLD)], ["doc_id", "score", "toxic"])
+            p, toxic = f(b.column("text"))
+            yield pa.record_batch([b.column("doc_id"), pa.array(np.round(p, 6)), pa.array(toxic)], ["doc_id", "score", "toxic"])
 
     return keyed(docs).mapInArrow(run, "doc_id long, score double, toxic boolean")
 
@@ -153,7 +155,7 @@ def keep(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
         f = sent.value.scorer()
         for b in batches:
             text = pa.record_batch([b.column(at).cast(pa.string())], ["text"])
-            p = [f(s.column(0)) for s in slices([text], "text")]
-            yield b.filter(pa.array(np.concatenate(p) < THRESHOLD)) if p else b
+            toxic = [f(s.column(0))[1] for s in slices([text], "text")]
+            yield b.filter(pa.array(~np.concatenate(toxic))) if toxic else b
 
     return docs.mapInArrow(run, docs.schema)
