@@ -467,6 +467,11 @@ def test_toxicity_rejects_no_text_without_terms(spark):
     assert sorted(r.doc_id or 0 for r in toxicity.keep(odd, model).collect()) == [0, 1, 2, 3, 4]
 
 
+def test_toxicity_query_returns_every_row(spark, sf):
+    got = QUERIES["op7_toxicity"](spark, sf)
+    assert got.columns == ["doc_id", "score", "toxic"] and got.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
 def test_toxicity_without_labels(spark):
     model = toxicity.train(docs(spark, [(1, "a")]), spark.createDataFrame([], "doc_id long, toxic int"))
     assert not toxicity.score(docs(spark, [(1, "a b"), (2, None)]), model).where("toxic").count()

@@ -46,7 +46,7 @@ WHERE 5 * k >= 3 * (x.n + y.n - k)
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.rejected(docs, model)
+    return toxicity.score(docs, model)
 
 
 @_query

@@ -141,11 +141,6 @@ def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
     return keyed(docs).mapInArrow(run, "doc_id long, score double, toxic boolean")
 
 
-def rejected(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
-    """(doc_id, score) of the toxic rows."""
-    return score(docs, model).where("toxic").select("doc_id", "score")
-
-
 def keep(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
     """The rows of docs that aren't toxic, with all their columns."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
