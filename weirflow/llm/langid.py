@@ -8,10 +8,14 @@ tf x idf is scaled to length 1. The model is fitted on at most SAMPLE_ROWS
 documents with a known language, four fifths for the weights and one fifth for
 the temperature, and scores every row.
 
+A slice of texts becomes one sorted array of (row, n-gram) keys; its runs are the
+counts, so the work follows the text and not the number of hashed n-grams.
+
 Defined results: null and empty texts are 'und' with confidence 0; null ids are
-scored like others; repeated rows give repeated results; ties between languages
-go to the first by name; an empty table gives no rows; without a known language
-all are 'und'; columns beyond doc_id, text and lang are ignored.
+scored like others; a text of any length is one row and is read whole; repeated
+rows give repeated results; ties between languages go to the first by name; an
+empty table gives no rows; without a known language all are 'und'; columns beyond
+doc_id, text and lang are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from weirflow.llm.ftrl import Ftrl, probability, temperature
 from weirflow.llm.labelled import SAMPLE_ROWS, keyed, rows_of
-from weirflow.llm.textkit import buffers, slices, span_hash
+from weirflow.llm.textkit import buffers, slices
 
 BITS = 15
 LONGEST = 3
@@ -34,28 +38,39 @@ PASSES = 3
 L1, L2 = 0.05, 0.05
 
 
-def grams(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hashed n-gram of each place, offsets of each row)."""
-    raw, off = buffers(pc.utf8_lower(arr))
-    lead = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
-    first = np.searchsorted(lead, off)
-    end = np.repeat(first[1:], np.diff(first))
-    at = np.arange(len(lead) - 1)
-    out = np.full((len(at), LONGEST), -1)
-    hashed = span_hash(raw)
-    for n in range(1, LONGEST + 1):
-        ok = np.flatnonzero(at + n <= end)
-        out[ok, n - 1] = (hashed(lead[ok], lead[ok + n]) >> np.uint64(64 - BITS)).astype(np.int64)
-    flat = out.ravel()
-    keep = flat >= 0
-    count = np.concatenate([[0], np.cumsum(keep)])
-    return flat[keep], count[first * LONGEST]
-
-
-def counts(arr: pa.Array) -> Iterator[np.ndarray]:
-    idx, off = grams(pc.fill_null(arr, ""))
-    for a, b in zip(off, off[1:]):
-        yield np.bincount(idx[a:b], minlength=1 << BITS)
+def sparse(arr: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashed n-gram, its count in the row, offsets of each row): the distinct n-grams of each row, in order."""
+    raw, off = buffers(pc.utf8_lower(pc.fill_null(arr, "")))
+    place = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[off]  # of rows, in characters
+    char = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
+    row = np.repeat(np.arange(len(arr), dtype=np.uint32), np.diff(place))
+    h, keys = np.full(len(char), 1, np.uint32), []
+    for n in range(min(LONGEST, len(char))):
+        m = len(char) - n
+        h = (h[:m] * np.uint32(0x01000193) + char[n:]) * np.uint32(0x9E3779B1)
+        key = row[:m] << np.uint32(BITS) | (h ^ h >> np.uint32(15)) * np.uint32(0x85EBCA6B) >> np.uint32(32 - BITS)
+        keys.append(key[row[:m] == row[n:]] if n else key)
+    key = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint32)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    one = key[first]
+    bounds = np.searchsorted(one, np.arange(len(arr) + 1, dtype=np.uint64) << np.uint64(BITS))
+    return (one & np.uint32((1 << BITS) - 1)).astype(np.int64), np.diff(np.append(first, len(key))).astype(float), bounds
+
+
+def row_sums(x: np.ndarray, off: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(off) - 1)
+    on = np.flatnonzero(np.diff(off))
+    if len(on):
+        out[on] = np.add.reduceat(x, off[on])
+    return out
+
+
+def unit(idf: np.ndarray, arr: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashed n-gram, tf x idf scaled to length 1, offsets of each row)."""
+    i, c, off = sparse(arr)
+    x = c * idf[i]
+    length = np.sqrt(row_sums(x * x, off))
+    return i, x / np.repeat(np.where(length > 0, length, 1), np.diff(off)), off
 
 
 def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -67,8 +82,7 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(1 << BITS, np.int64), 0
         for b in slices(batches, "text"):
-            for c in counts(b.column("text")):
-                df += c > 0
+            df += np.bincount(sparse(b.column("text"))[0], minlength=1 << BITS)
             n += b.num_rows
         if n:
             yield pa.record_batch([pa.array([*range(chunks), -1], pa.int32()), pa.array([*(df[k * span : (k + 1) * span].tobytes() for k in range(chunks)), np.int64(n).tobytes()], pa.binary())], ["chunk", "part"])
@@ -89,15 +103,11 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 class Model:
     def __init__(self, langs: list[str], idf: np.ndarray, w: np.ndarray, bias: np.ndarray, t: float):
-        self.langs, self.idf, self.w, self.bias, self.t = langs, idf, w, bias, t
+        self.langs, self.idf, self.w, self.bias, self.t = langs, idf, np.asfortranarray(w), bias, t
 
     def scores(self, arr: pa.Array) -> np.ndarray:
-        out = np.zeros((len(arr), len(self.langs)))
-        for r, c in enumerate(counts(arr)):
-            i = np.flatnonzero(c)
-            x = c[i] * self.idf[i]
-            out[r] = x @ self.w[i] / (np.sqrt(x @ x) or 1) + self.bias
-        return out
+        i, x, off = unit(self.idf, arr)
+        return np.stack([row_sums(x * w[i], off) for w in self.w.T], 1) + self.bias
 
     def label(self, arr: pa.Array) -> tuple[list[str], np.ndarray]:
         empty = pc.fill_null(pc.equal(pc.binary_length(arr), 0), True).to_numpy(zero_copy_only=False)
@@ -114,17 +124,7 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("y")).na.drop().groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     known = keyed(docs).na.drop().join(F.broadcast(picked), "doc_id")  # rows is a fixed bound
 
-    def featurise(arr: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        idx, val, off = [], [], [0]
-        for c in counts(arr):
-            i = np.flatnonzero(c)
-            x = c[i] * idf[i]
-            idx.append(i)
-            val.append(x / (np.sqrt(x @ x) or 1))
-            off.append(off[-1] + len(i))
-        return np.concatenate(idx), np.concatenate(val), np.array(off)
-
-    x, y = rows_of(known, featurise)
+    x, y = rows_of(known, lambda arr: unit(idf, arr))
     langs = sorted(set(y.tolist()))
     if len(langs) < 2:
         return Model(langs, idf, np.zeros((1 << BITS, len(langs))), np.zeros(len(langs)), 1.0)
