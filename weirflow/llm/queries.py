@@ -64,7 +64,7 @@ WITH v AS (
   SELECT vec_id, min(embedding) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 GROUP BY vec_id),
 d AS (
   SELECT a.vec_id, b.vec_id AS neighbor_id, list_distance(a.e::DOUBLE[], b.e::DOUBLE[]) AS distance
-  FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbor_id) AS rank FROM d)
 SELECT vec_id, rank::INTEGER AS rank, neighbor_id, round(distance, 6) AS distance FROM r WHERE rank <= 10
 """
