@@ -27,18 +27,18 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op1_ngram_jaccard_join"] = f"""
-WITH words AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS k, * FROM (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL)),
+words AS (SELECT k, {_WORDS} AS w FROM docs),
 grams AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  SELECT DISTINCT k, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
     ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g
   FROM words WHERE len(w) > 0),
-sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
-common AS (
-  SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS k
-  FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT doc_a, doc_b, round(k / (x.n + y.n - k)::DOUBLE, 6) AS jaccard
-FROM common JOIN sizes x ON x.doc_id = doc_a JOIN sizes y ON y.doc_id = doc_b
-WHERE 5 * k >= 3 * (x.n + y.n - k)
+sizes AS (SELECT k, count(*) AS n FROM grams GROUP BY k),
+common AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.k <> b.k GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.k = a JOIN sizes y ON y.k = b WHERE 5 * c >= 3 * (x.n + y.n - c)),
+reach AS (SELECT k AS a, k AS b FROM docs UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+class AS (SELECT a, min(doc_id) AS class_id FROM reach JOIN docs ON k = b GROUP BY a)
+SELECT doc_id, class_id, (SELECT count(*) FROM links WHERE links.a = docs.k) AS links FROM docs JOIN class ON class.a = docs.k
 """
 
 
