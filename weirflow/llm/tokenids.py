@@ -14,9 +14,12 @@ one stretch of a shard, whatever the size of the corpus, and a foreign key is
 refused by its fingerprint (but for one in 2^32).
 
 Defined results: rows with null id aren't stored; a null or empty text is a
-document of no ids; of an id given more than once the text in the least (shard,
-offset) is kept; an empty table writes no shard and no bucket; other columns are
-ignored.
+document of no ids; a text of more than LONG characters is encoded in stretches,
+cut where a word ends, which gives the same ids, and only inside a run of LONG
+characters without an end of a word anywhere; of an id given more than once,
+with one text or several, the text in the least (shard, offset) is kept; an empty
+table writes no shard and no bucket; other columns, whatever their names, are
+ignored. A vocabulary with ids over 65535 is an error.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ import base64
 import io
 import math
 import os
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -45,6 +49,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 KEYS = 1 << 16
 GAMMA = 2
 LEVELS = 48
+STRETCH, LONG = 1 << 15, 1 << 17
+#: No token of PATTERN goes on from a sign to a blank.
+_END = re.compile(r"\S(?=[ \n])")
 
 _SLOT = np.dtype([("fp", "<u4"), ("shard", "<u4"), ("offset", "<u8"), ("n", "<u4")])
 
@@ -54,9 +61,25 @@ def encoder(vocabulary: str = VOCABULARY):
 
     with open(vocabulary, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    if max(ranks.values()) > 0xFFFF:
+        raise ValueError("ids of this vocabulary don't fit into 16 bits")
     return tiktoken.Encoding("ids", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def stretches(text: str) -> Iterator[str]:
+    at = 0
+    while len(text) - at > LONG:
+        end = _END.search(text, at + STRETCH, at + LONG)
+        to = end.end() if end else at + LONG
+        yield text[at:to]
+        at = to
+    yield text[at:]
+
+
+def encoded(enc, text: str) -> np.ndarray:
+    return np.concatenate([enc.encode_to_numpy(t, disallowed_special=()) for t in stretches(text)]).astype("<u2")
+
+
 def place(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{os.path.abspath(uri)}")
 
@@ -149,7 +172,7 @@ def payload(docs: DataFrame, out: str, vocabulary: str = VOCABULARY) -> DataFram
         for b in batches:
             n = []
             for t in b.column("text"):
-                ids = enc.encode_to_numpy(t.as_py() or "", disallowed_special=()).astype("<u2")
+                ids = encoded(enc, t.as_py() or "")
                 if f is None:
                     system.create_dir(os.path.dirname(path), recursive=True)
                     f = system.open_output_stream(aside)
