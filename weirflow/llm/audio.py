@@ -12,9 +12,10 @@ filter, rounded and clipped to 16 bits, and stored little-endian.
 Defined results: a null payload or codec, or an unknown codec, gives null pcm and
 null n_samples; an empty payload gives empty pcm; a last block shorter than its
 header is dropped, one shorter than BLOCK gives the samples it has; a step index
-beyond 88 counts as 88; repeated rows give repeated results; an empty table gives
-no rows. Key columns are passed through; none can clash, as the payload and the
-codec are given as expressions.
+beyond 88 counts as 88; repeated rows give repeated results; a payload of any
+length is decoded whole; an empty table gives no rows. Key columns are passed
+through, nulls included; one that is named like a column of the result comes as
+``key_`` and its name. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -96,21 +97,49 @@ def _taps(up: int, down: int) -> np.ndarray:
     return w / w.sum(1, keepdims=True)
 
 
-def resample(x: np.ndarray, rate_in: int = RATE_IN, rate_out: int = RATE_OUT) -> np.ndarray:
+def resampled(signals: list[np.ndarray], rate_in: int = RATE_IN, rate_out: int = RATE_OUT) -> list[np.ndarray]:
+    """Each signal at the other rate. All lie in one array, silence between them, so a step of the filter is one step for all."""
     g = int(np.gcd(rate_in, rate_out))
     up, down = rate_out // g, rate_in // g
     taps = _taps(up, down)
-    n = -(-len(x) * up // down)
-    padded = np.concatenate([np.zeros(REACH), x.astype(np.float64), np.zeros(REACH + 1)])
-    out = np.empty(n)
-    for first in range(min(up, n)):  # outputs first, first + up, ... share a phase
-        t = np.arange(first, n, up) * down
-        base = t // up + 1
-        acc = np.zeros(len(t))
-        for k, w in enumerate(taps[t[0] % up]):
-            acc += w * padded[base + k]
-        out[first::up] = acc
-    return np.clip(np.rint(out), -32768, 32767).astype("<i2")
+    size = np.array([len(x) for x in signals], np.int64)
+    begin = np.cumsum(size + 2 * REACH) - size - REACH  # of each signal in the array
+    padded = np.zeros(int((size + 2 * REACH).sum()) + 2 * REACH + 1)
+    for x, a in zip(signals, begin.tolist()):
+        padded[a : a + len(x)] = x
+    n = -(-size * up // down)
+    ends = np.cumsum(n)
+    if down == 1:
+        # the outputs of a phase are one sliding product with its taps
+        out = np.stack([np.convolve(padded, w[::-1], "valid") for w in taps], 1).ravel()
+        return [_pcm(out[(a - REACH + 1) * up :][:k]) for a, k in zip(begin.tolist(), n.tolist())]
+    j = np.arange(int(n.sum())) - np.repeat(ends - n, n)
+    phase, base = j * down % up, j * down // up - REACH + 1 + np.repeat(begin, n)
+    acc = np.zeros(len(j))
+    for k in range(2 * REACH):
+        acc += taps[phase, k] * padded[base + k]
+    return [_pcm(acc[e - k : e]) for e, k in zip(ends.tolist(), n.tolist())]
+
+
+def _pcm(x: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(x), -32768, 32767).astype("<i2")
+
+
+def resample(x: np.ndarray, rate_in: int = RATE_IN, rate_out: int = RATE_OUT) -> np.ndarray:
+    return resampled([x], rate_in, rate_out)[0]
+
+
+def out_names(keys: list[str]) -> list[str]:
+    """Names of the key columns in the result."""
+    out = []
+    for k in keys:
+        while k in (*RESULT, *out):
+            k = f"key_{k}"
+        out.append(k)
+    return out
+
+
+RESULT = ("codec", "sample_rate", "n_samples", "pcm")
 
 
 def decode(df: DataFrame, keys: list[str], codec: Column, payload: Column, rate_in: int = RATE_IN, rate_out: int = RATE_OUT) -> DataFrame:
@@ -129,11 +158,14 @@ def decode(df: DataFrame, keys: list[str], codec: Column, payload: Column, rate_
             for r, (c, d) in enumerate(zip(kind, data)):
                 if d is not None and c in ("mulaw", "alaw"):
                     pcm[r] = (MULAW if c == "mulaw" else ALAW)[np.frombuffer(d, np.uint8)]
-            done = [None if s is None else resample(s, rate_in, rate_out) for s in pcm]
+            known = [r for r, s in enumerate(pcm) if s is not None]
+            done: list[np.ndarray | None] = [None] * b.num_rows
+            for r, s in zip(known, resampled([pcm[r] for r in known], rate_in, rate_out)):
+                done[r] = s
             yield pa.record_batch(
                 [*(b.column(n) for n in names), b.column("codec"), pa.array(np.full(b.num_rows, rate_out, np.int32)), pa.array([None if s is None else len(s) for s in done], pa.int64()), pa.array([None if s is None else s.tobytes() for s in done], pa.binary())],
                 [*names, "codec", "sample_rate", "n_samples", "pcm"],
             )
 
     out = given.mapInArrow(run, ", ".join(f"{n} {kinds[k]}" for n, k in zip(names, keys)) + ", codec string, sample_rate int, n_samples long, pcm binary")
-    return out.toDF(*keys, "codec", "sample_rate", "n_samples", "pcm")
+    return out.toDF(*out_names(keys), *RESULT)
