@@ -8,11 +8,14 @@ is *kept*.
 
 Distribution: every window names an anchor, its least 8-word hash (leftmost of
 ties), so equal windows have equal anchors at the same place, and about 1 word
-in 22 is an anchor. Anchors are grouped by hash; those that occur once end
-there. For the others the words around them, each as 32 bits of its hash, are
-sent to the anchor's group, where occurrences with the same words all around
-become one class and the suffixes of the classes, one for each window, are
-sorted:
+in 22 is an anchor. A task sends one occurrence of each anchor, and a flag where
+it has several, to the anchor's bucket; anchors that occur once end there.
+Occurrences of the others with the same words all around, each word as 32 bits of
+its hash, are one class. A task sends the words of a class once; how many
+occurrences a class has and which is the first are aggregates, and occurrences
+themselves are never gathered: passages with any number of copies are a few
+classes in their bucket. There the suffixes of the classes, one for each window,
+are sorted:
 
 - shallow: multikey quicksort, three-way by one word, all segments at once, to a
   depth of SHALLOW words;
@@ -20,13 +23,16 @@ sorted:
   orders it, with one comparison of words for each insertion. Segments of two
   need a single comparison and are done side by side.
 
-Neighbours whose common prefix is 50 words or more are the same window.
+Neighbours whose common prefix is 50 words or more are the same window. What the
+sort says of a class is joined to its occurrences by the key of the class. One
+phrase of 8 to 49 words with very many different surroundings has as many classes,
+which all are in its bucket, about 0.4 KB each.
 
 Defined results: rows with null id or null text take no part; texts under 50
 words have no window; repeated rows of an id and text are one document; ids
 with several texts are several documents; ties go to the least (doc_id, text
-hash, position); empty tables give no rows; other columns are ignored by
-``spans`` and kept by ``removed``.
+hash, position); very long texts are read whole; empty tables give no rows; other
+columns, whatever their names, are ignored by ``spans`` and kept by ``removed``.
 """
 
 from __future__ import annotations
@@ -40,12 +46,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.llm.labelled import keyed
-from weirflow.llm.textkit import Words, buffers, ngram_hash, slices
-from weirflow.session import spread_keys, width
+from weirflow.llm.textkit import Words, buffers, mix, ngram_hash, slices, span_hash
+from weirflow.session import by_bucket, spread_keys, width, written
 
 WINDOW = 50
 GRAM = 8
 SHALLOW = 8
+#: Anchors that a task holds before sending them, and bytes of text to a bucket.
+HELD = 1 << 20
+SHARE = 1 << 26
 
 _REACH = WINDOW - GRAM + 1  # 8-word hashes in a window
 
@@ -103,62 +112,94 @@ def split(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(b[x]), o[x:y]
 
 
+def unseen(b: pa.RecordBatch, seen: set) -> pa.RecordBatch:
+    """Rows of documents that aren't in ``seen`` yet: a task takes a repeated row once."""
+    keys = zip(b.column("doc_id").to_pylist(), b.column("h").to_pylist())
+    on = [k not in seen and not seen.add(k) for k in keys]
+    return b if all(on) else b.filter(pa.array(on, pa.bool_()))
+
+
+def by_document(pos: np.ndarray, i: np.ndarray, th: np.ndarray) -> pa.Table:
+    """(doc_id, h, at): positions of each document, packed."""
+    o = np.lexsort((pos, th, i))
+    pos, i, th = pos[o].astype(np.uint32), i[o], th[o]
+    edge = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (th[1:] != th[:-1])])) if len(i) else np.zeros(0, np.int64)
+    return pa.table({"doc_id": i[edge], "h": th[edge], "at": pa.array([pos[x:y].tobytes() for x, y in zip(edge, [*edge[1:], len(i)])], pa.binary())})
+
+
 def anchor_hashes(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, part): the anchors of all documents, by hash: (hash, position, doc_id, text hash)."""
-    number = spread_keys(buckets)
+    """(bucket, part, known): one occurrence of each anchor of a task, by hash: (hash, position, whether the task has
+    several, doc_id, text hash); ``known`` has all occurrences of those, in any bucket."""
+    number = np.array(spread_keys(buckets), np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        held: list[list[np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            h, pos, i, th = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            u, first, back, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+            several = (n > 1).astype(np.uint8)
+            ks, ps, known = [], [], []
+            for k, r in split((u % np.uint64(buckets)).astype(np.int64)):
+                f = first[r]
+                ks.append(k)
+                ps.append(columns(u[r], pos[f], several[r], i[f], th[f]))
+                known.append(None)
+            on = np.flatnonzero(several[back])
+            for k, r in split((mix(th[on].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)):
+                ks.append(k)
+                ps.append(None)
+                known.append(columns(pos[on[r]], i[on[r]], th[on[r]]))
+            return pa.record_batch([pa.array(number[np.array(ks, np.int64)]), pa.array(ps, pa.binary()), pa.array(known, pa.binary())], ["bucket", "part", "known"])
+
         for b in slices(batches, "text", 4 << 20):
+            b = unseen(b, seen)
             w = Words(b.column("text"))
             d, a, _, _, h = anchors(w)
             ids, th = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "h"))
-            ks, ps = [], []
-            for k, rows in split((h % np.uint64(buckets)).astype(np.int64)):
-                dd = d[rows]
-                own, local = np.unique(dd, return_inverse=True)
-                ks.append(number[k])
-                ps.append(columns(h[rows], (a[rows] - w.first[dd]).astype(np.uint32), local.astype(np.uint32)) + columns(ids[own], th[own]))
-            yield pa.record_batch([pa.array(ks, pa.int32()), pa.array(ps, pa.binary())], ["bucket", "part"])
+            held.append([h, (a - w.first[d]).astype(np.uint32), ids[d], th[d]])
+            if sum(len(x[0]) for x in held) >= HELD:
+                yield flush()
+        if held:
+            yield flush()
 
-    return docs.mapInArrow(run, "bucket int, part binary")
+    return docs.mapInArrow(run, "bucket int, part binary, known binary")
 
 
-def repeated_anchors(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, at): positions of anchors that occur more than once, for each document."""
+def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
+    """(doc_id, h, ats): positions of anchors that occur more than once, for each document."""
 
     def run(t: pa.Table) -> pa.Table:
-        hs, ps, ids, ths = [], [], [], []
-        for p in t.column("part").to_pylist():
-            (h, pos, local), at = read(p, np.uint64, np.uint32, np.uint32)
-            (i, th), _ = read(p[at:], np.int64, np.int64)
-            hs.append(h)
-            ps.append(pos)
-            ids.append(i[local])
-            ths.append(th[local])
-        h, pos, i, th = (np.concatenate(x) for x in (hs, ps, ids, ths))
-        o = np.lexsort((pos, th, i, h))
-        h, pos, i, th = h[o], pos[o], i[o], th[o]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (pos[1:] != pos[:-1]) | (i[1:] != i[:-1]) | (th[1:] != th[:-1])
-        h, pos, i, th = h[new], pos[new], i[new], th[new]
-        twice = np.zeros(len(h), bool)
-        twice[1:] = h[1:] == h[:-1]
-        twice[:-1] |= twice[1:]
-        pos, i, th = pos[twice], i[twice], th[twice]
-        o = np.lexsort((pos, th, i))
-        pos, i, th = pos[o], i[o], th[o]
-        edge = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (th[1:] != th[:-1])])) if len(i) else np.zeros(0, np.int64)
-        return pa.table({"doc_id": i[edge], "h": th[edge], "at": pa.array([pos[x:y].tobytes() for x, y in zip(edge, [*edge[1:], len(i)])], pa.binary())})
-
-    return anchor_hashes(docs, width(docs.sparkSession)).groupBy("bucket").applyInArrow(run, "doc_id long, h long, at binary").groupBy("doc_id", "h").agg(F.collect_list("at").alias("ats"))
+        def all_of(column: str, *dtypes) -> list[np.ndarray]:
+            parts = [read(p, *dtypes)[0] for p in t.column(column).drop_null().to_pylist()]
+            return [np.concatenate([np.zeros(0, k), *(p[c] for p in parts)]) for c, k in enumerate(dtypes)]
+
+        h, pos, several, i, th = all_of("part", np.uint64, np.uint32, np.uint8, np.int64, np.int64)
+        o = np.lexsort((several, pos, th, i, h))
+        h, pos, several, i, th = h[o], pos[o], several[o], i[o], th[o]
+        last = np.ones(len(h), bool)
+        last[:-1] = (h[1:] != h[:-1]) | (pos[1:] != pos[:-1]) | (i[1:] != i[:-1]) | (th[1:] != th[:-1])
+        h, pos, several, i, th = (x[last] for x in (h, pos, several, i, th))
+        run_of = np.cumsum(np.concatenate([[False], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        twice = (np.bincount(run_of, 1.0 + several) > 1)[run_of] & (several == 0)  # the others are known
+        own = all_of("known", np.uint32, np.int64, np.int64)
+        return by_document(*(np.concatenate([x[twice], y]) for x, y in zip((pos, i, th), own)))
+
+    found = by_bucket(anchor_hashes(docs, buckets), buckets).applyInArrow(run, "doc_id long, h long, at binary")
+    return found.groupBy("doc_id", "h").agg(F.collect_set("at").alias("ats"))
 
 
 def contexts(docs: DataFrame, repeated: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, part): the words around each repeated anchor, by hash."""
-    number = spread_keys(buckets)
+    """Occurrences of repeated anchors, (bucket, ctx, doc_id, h, p0): class and first word; and, where ``part`` is set, the
+    words of classes, packed by bucket."""
+    number = np.array(spread_keys(buckets), np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, sent = set(), set()
         for b in slices(batches, "text", 4 << 20):
+            b = unseen(b, seen)
             w = Words(b.column("text"))
             d, a, p0, p1, h = anchors(w)
             wanted = np.zeros(len(w.hash), bool)
@@ -166,19 +207,29 @@ def contexts(docs: DataFrame, repeated: DataFrame, buckets: int) -> DataFrame:
                 wanted[w.first[r] + np.concatenate([np.frombuffer(x, np.uint32) for x in ats]).astype(np.int64)] = True
             on = wanted[a]
             d, a, p0, p1, h = d[on], a[on], p0[on], p1[on], h[on]
+            left, n = (a - p0).astype(np.uint8), (p1 - p0).astype(np.uint8)
             code = (w.hash >> np.uint64(32)).astype(np.uint32)
+            ctx = mix(span_hash(code)(p0, p1 + WINDOW) + mix(h + (left.astype(np.uint64) << np.uint64(8) | n)))
             ids, th = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "h"))
+            bucket = (h % np.uint64(buckets)).astype(np.int64)
+            u, first = np.unique(ctx, return_index=True)
+            new = np.array([f for c, f in zip(u.tolist(), first.tolist()) if c not in sent and not sent.add(c)], np.int64)
             ks, ps = [], []
-            for k, rows in split((h % np.uint64(buckets)).astype(np.int64)):
-                dd = d[rows]
-                own, local = np.unique(dd, return_inverse=True)
-                n = p1[rows] + WINDOW - p0[rows]
-                words = np.repeat(p0[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                ks.append(number[k])
-                ps.append(columns(h[rows], (p0[rows] - w.first[dd]).astype(np.uint32), (a[rows] - p0[rows]).astype(np.uint8), (p1[rows] - p0[rows]).astype(np.uint8), local.astype(np.uint32)) + columns(ids[own], th[own]) + columns(code[words]))
-            yield pa.record_batch([pa.array(ks, pa.int32()), pa.array(ps, pa.binary())], ["bucket", "part"])
-
-    return docs.join(repeated, ["doc_id", "h"]).select("doc_id", "h", "text", "ats").mapInArrow(run, "bucket int, part binary")
+            for k, r in split(bucket[new]):
+                r = new[r]
+                m = n[r].astype(np.int64) + WINDOW
+                words = np.repeat(p0[r] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+                ks.append(k)
+                ps.append(columns(ctx[r], h[r], left[r], n[r]) + columns(code[words]))
+            none = len(ks)
+            pad = lambda x, kind: pa.concat_arrays([pa.nulls(none, kind), pa.array(x, kind)])
+            yield pa.record_batch(
+                [pa.array(number[np.concatenate([np.array(ks, np.int64), bucket])]), pad(ctx.view(np.int64), pa.int64()), pad(ids[d], pa.int64()), pad(th[d], pa.int64()), pad(p0 - w.first[d], pa.int64()), pa.concat_arrays([pa.array(ps, pa.binary()), pa.nulls(len(d), pa.binary())])],
+                ["bucket", "ctx", "doc_id", "h", "p0", "part"],
+            )
+
+    given = docs.join(repeated, ["doc_id", "h"]).select("doc_id", "h", "text", "ats")
+    return written(given.mapInArrow(run, "bucket int, ctx long, doc_id long, h long, p0 long, part binary"))
 
 
 # --- deep-shallow sort -----------------------------------------------------
@@ -296,97 +347,98 @@ def equal_windows(code: np.ndarray, at: np.ndarray, seg: np.ndarray) -> np.ndarr
 CHUNK = 1 << 14
 
 
-def repeated_windows(parts: list[pa.Buffer]) -> Iterator[tuple[np.ndarray, ...]]:
-    """(doc_id, text hash, first word, end word, removed): runs of repeated windows of one bucket, the words they cover.
+def edges(*same: np.ndarray) -> np.ndarray:
+    """Where a run of rows begins that agree in all arrays."""
+    new = np.ones(len(same[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in same])
+    return np.flatnonzero(new)
+
 
-    Words stay where they came; only those of a class's first member, and only where a hash has several classes, are
-    taken out for sorting. Anchors are worked on in chunks of whole hashes."""
-    cols: list[list[np.ndarray]] = [[] for _ in range(9)]
+def class_windows(parts: list[pa.Buffer], ctx: np.ndarray, count: np.ndarray, i: np.ndarray, th: np.ndarray, p0: np.ndarray) -> Iterator[pa.Table]:
+    """(ctx, id1, h1, p1, lead, rest): of each class of one bucket its first occurrence, and runs of repeated windows as
+    (first word, end word, removed), for that and for the others. Given are the words of classes, and the number of occurrences of each and the
+    first of them.
+
+    Words stay where they came; they are taken out for sorting only where a hash has several classes, in chunks of whole
+    hashes."""
+    cols: list[list[np.ndarray]] = [[] for _ in range(6)]
     codes: list[np.ndarray] = []
     for k, p in enumerate(parts):
-        (h, p0, left, n, local), at = read(p, np.uint64, np.uint32, np.uint8, np.uint8, np.uint32)
-        (i, th), z = read(p[at:], np.int64, np.int64)
-        (code,), _ = read(p[at + z :], np.uint32)
+        (c, h, left, n), at = read(p, np.uint64, np.uint64, np.uint8, np.uint8)
+        (code,), _ = read(p[at:], np.uint32)
         size = n.astype(np.int64) + WINDOW
-        start = np.cumsum(size) - size
-        mixed = (code.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-        mixed = (mixed + (np.arange(len(code)) - np.repeat(start, size)).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)) * np.uint64(0x94D049BB133111EB)
-        mixed ^= mixed >> np.uint64(32)
-        c = np.concatenate([[np.uint64(0)], np.cumsum(mixed, dtype=np.uint64)])
         codes.append(code)
-        for col, v in zip(cols, (h, p0.astype(np.int64), left, n, i[local], th[local], c[start + size] - c[start], np.full(len(h), k, np.int32), start.astype(np.int32))):
+        for col, v in zip(cols, (c.view(np.int64), h, left.astype(np.int64), n.astype(np.int64), np.full(len(h), k, np.int32), np.cumsum(size) - size)):
             col.append(v)
-    h, p0, left, n, i, th, words, part, start = (np.concatenate(c) for c in cols)
-    cols.clear()
-    o = np.lexsort((p0, th, i, words, n, left, h))
-    h, p0, left, n, i, th, words, part, start = (x[o] for x in (h, p0, left, n, i, th, words, part, start))
-    same = np.zeros(len(h), bool)
-    same[1:] = (h[1:] == h[:-1]) & (left[1:] == left[:-1]) & (n[1:] == n[:-1]) & (words[1:] == words[:-1])
-    again = same.copy()
-    again[1:] &= (i[1:] == i[:-1]) & (th[1:] == th[:-1]) & (p0[1:] == p0[:-1])
-    keep = ~again  # not the same occurrence from a repeated row
-    h, p0, left, n, i, th, part, start, same = (x[keep] for x in (h, p0, left, n, i, th, part, start, same))
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-    at = 0
+    c, h, left, n, part, start = (np.concatenate(x) for x in cols) if codes else (np.zeros(0, np.int64),) * 6
+    o = np.lexsort((c, h))
+    o = o[edges(c[o])] if len(o) else o  # the same class from several tasks
+    c, h, left, n, part, start = (x[o] for x in (c, h, left, n, part, start))
+    by = np.argsort(ctx)
+    own = by[np.searchsorted(ctx, c, sorter=by)]
+    count, i, th, p0 = count[own], i[own], th[own], p0[own]
+    first, at = edges(h), 0
     while at < len(h):
         nxt = np.searchsorted(first, at + CHUNK)
+        nxt = nxt - 1 if 0 < nxt and first[nxt - 1] > at and (nxt == len(first) or first[nxt] - at > 2 * CHUNK) else nxt
         to = int(first[nxt]) if nxt < len(first) else len(h)
         x = slice(at, to)
-        yield from _chunk(h[x], p0[x], left[x].astype(np.int64), n[x].astype(np.int64), i[x], th[x], part[x], start[x], same[x], codes)
+        lead, rest = states(h[x], left[x], n[x], count[x], i[x], th[x], p0[x], part[x], start[x], codes)
+        on = np.flatnonzero(np.diff(rest[1]))
+        if len(on):
+            yield pa.table({"ctx": c[x][on], "id1": i[x][on], "h1": th[x][on], "p1": p0[x][on], "lead": packed_runs(*lead).take(pa.array(on)), "rest": packed_runs(*rest).take(pa.array(on))})
         at = to
 
 
-def _chunk(h, p0, left, n, i, th, part, start, same, codes: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Rows in order of (hash, class, occurrence); ``same``: of the class of the row before."""
-    lead = np.flatnonzero(~same)
-    cls = np.cumsum(~same) - 1
-    members = np.diff(np.append(lead, len(h)))
-    # a suffix for each window of each class; equal windows have the same hash and the same place of the anchor
-    wn = n[lead] + 1
-    wc = np.repeat(np.arange(len(lead)), wn)
-    wo = np.arange(len(wc)) - np.repeat(np.cumsum(wn) - wn, wn)
-    hs = h[lead]
-    number = np.concatenate([[0], np.cumsum(hs[1:] != hs[:-1])])
-    seg = number[wc] * 256 + left[lead][wc] - wo + 128
-    several = np.bincount(number)[number] > 1
-    g = np.arange(len(wc))
-    rest = np.flatnonzero(several[wc])
-    if len(rest):
-        rest = rest[np.argsort(seg[rest], kind="stable")]
-        own = np.flatnonzero(several)
-        size = n[lead[own]] + WINDOW
-        begin = np.zeros(len(lead), np.int64)
-        begin[own] = np.cumsum(size) - size
-        code = np.concatenate([codes[part[r]][start[r] : start[r] + s] for r, s in zip(lead[own].tolist(), size.tolist())])
-        g[rest] = rest[equal_windows(code, begin[wc[rest]] + wo[rest], seg[rest])]
-    # the number of occurrences of each distinct window, and the class whose first member has the first of them
-    count = np.bincount(g, members[wc], minlength=len(wc))
-    fo = np.lexsort((p0[lead][wc] + wo, th[lead][wc], i[lead][wc], g))
-    gs = g[fo]
-    head = np.concatenate([[True], gs[1:] != gs[:-1]])
-    best = np.full(len(wc), -1)
-    best[gs[head]] = wc[fo[head]]
-    window_state = np.where(count[g] > 1, np.where(best[g] == wc, 1, 2), 0).astype(np.int8)
-    first_of = np.cumsum(wn) - wn
-    is_lead = ~same
-    # members by windows, a bounded number at a time
-    ends = np.cumsum(n + 1)
-    a = 0
-    while a < len(h):
-        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 20), "right")))
-        mw = n[a:z] + 1
-        m = np.repeat(np.arange(a, z, dtype=np.int32), mw)
-        k = (np.arange(len(m)) - np.repeat(np.cumsum(mw) - mw, mw)).astype(np.int32)
-        state = window_state[first_of[cls[m]] + k]
-        state[(state == 1) & ~is_lead[m]] = 2
-        edge = np.flatnonzero(np.concatenate([[True], (state[1:] != state[:-1]) | (m[1:] != m[:-1])]))
-        end = np.append(edge[1:], len(m))
-        on = state[edge] > 0
-        edge, end = edge[on], end[on]
-        if len(edge):
-            yield i[m[edge]], th[m[edge]], p0[m[edge]] + k[edge], p0[m[edge]] + k[end - 1] + WINDOW, state[edge] == 2
-        a = z
+def packed_runs(runs: np.ndarray, off: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer((off * 12).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(runs, np.int32))])
+
+
+def states(h, left, n, count, i, th, p0, part, start, codes: list[np.ndarray]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Runs (first word, end word, removed) of classes in order of hash, and the offsets of each class: for the first
+    occurrence and for the others."""
+    wn = n + 1
+    begin = np.cumsum(wn) - wn  # of the windows of each class
+    wc = np.repeat(np.arange(len(h)), wn)
+    wo = np.arange(len(wc)) - np.repeat(begin, wn)
+    number = np.cumsum(np.concatenate([[False], h[1:] != h[:-1]]))
+    place = left[wc] - wo
+    several = (np.bincount(number) > 1)[number]
+    own = np.flatnonzero(several)
+    code, words = np.zeros(0, np.uint32), np.zeros(len(h), np.int64)
+    if len(own):
+        size = n[own] + WINDOW
+        words[own] = np.cumsum(size) - size
+        code = np.concatenate([codes[part[r]][start[r] : start[r] + s] for r, s in zip(own.tolist(), size.tolist())])
+    lead = np.where(count[wc] > 1, 1, 0).astype(np.int8)  # of a class alone with its windows
+    rest = np.where(count[wc] > 1, 2, 0).astype(np.int8)
+    todo = np.flatnonzero(several[wc])
+    # equal windows have the same hash and the same place of the anchor; a very frequent hash is done place by place
+    todo = todo[np.lexsort((place[todo], number[wc[todo]]))]
+    if len(h) > 2 * CHUNK:
+        todo = todo[np.argsort(place[todo], kind="stable")]
+    edge = edges(place[todo]).tolist() if len(h) > 2 * CHUNK else [0]
+    for x, y in zip(edge, [*edge[1:], len(todo)]) if len(todo) else []:
+        r = todo[x:y]
+        k = wc[r]
+        g = equal_windows(code, words[k] + wo[r], number[k] * 256 + place[r])
+        times = np.bincount(g, count[k], len(r))
+        o = np.lexsort((p0[k] + wo[r], th[k], i[k], g))
+        best = np.full(len(r), -1)
+        head = edges(g[o])
+        best[g[o[head]]] = k[o[head]]
+        rest[r] = np.where(times[g] > 1, 2, 0)
+        lead[r] = np.where(times[g] > 1, np.where(best[g] == k, 1, 2), 0)
+    return runs_of(lead, wc, wo, len(h)), runs_of(rest, wc, wo, len(h))
+
+
+def runs_of(state: np.ndarray, wc: np.ndarray, wo: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    edge = edges(state, wc)
+    end = np.append(edge[1:], len(state))
+    on = state[edge] > 0
+    edge, end = edge[on], end[on]
+    return np.stack([wo[edge], wo[end - 1] + WINDOW, state[edge] == 2], 1).astype(np.int32), np.searchsorted(wc[edge], np.arange(classes + 1))
 
 
 def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray, removed: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -417,23 +469,36 @@ def usable(docs: DataFrame) -> DataFrame:
 
 
 def all_spans(docs: DataFrame) -> DataFrame:
-    buckets = width(docs.sparkSession)
+    d = usable(docs)
+    size = d.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = max(width(docs.sparkSession), -(-size // SHARE))
+    given = contexts(d, repeated_anchors(d, buckets), buckets)
+    parts, occurrences = given.where("part IS NOT NULL").select("bucket", "part"), given.where("part IS NULL").drop("part")
+    classes = occurrences.distinct().groupBy("bucket", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "p0")).alias("first")).select("bucket", "ctx", "n", "first.*")
 
-    def windows(t: pa.Table) -> pa.Table:
-        found = list(zip(*repeated_windows([x.as_buffer() for x in t.column("part")])))
-        empty = [np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.int64, bool)]
-        return pa.table([np.concatenate(c) for c in found] or empty, names=["doc_id", "h", "start_word", "end_word", "removed"])
+    def sort(parts: pa.Table, classes: pa.Table) -> pa.Table:
+        found = list(class_windows([x.as_buffer() for x in parts.column("part")], *(classes.column(c).to_numpy() for c in ("ctx", "n", "doc_id", "h", "p0"))))
+        kinds = [("ctx", pa.int64()), ("id1", pa.int64()), ("h1", pa.int64()), ("p1", pa.int64()), ("lead", pa.binary()), ("rest", pa.binary())]
+        return pa.concat_tables(found) if found else pa.schema(kinds).empty_table()
+
+    runs = by_bucket(parts, buckets).cogroup(by_bucket(classes, buckets)).applyInArrow(sort, "ctx long, id1 long, h1 long, p1 long, lead binary, rest binary")
+    own = F.expr("doc_id = id1 AND h = h1 AND p0 = p1")
+    of = occurrences.join(runs, "ctx").select("doc_id", "h", "p0", F.when(own, F.col("lead")).otherwise(F.col("rest")).alias("runs")).where("length(runs) > 0")
 
     def union(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        i, th, s, e, r = (t.column(c).to_numpy() for c in ("doc_id", "h", "start_word", "end_word", "removed"))
-        key, doc = np.unique(np.stack([i, th], 1), axis=0, return_inverse=True)
-        d, s, e, r = merged(doc.ravel(), s, e, r)
-        return pa.table([key[d, 0], key[d, 1], s, e, r], names=["doc_id", "h", "start_word", "end_word", "removed"])
-
-    d = usable(docs)
-    found = contexts(d, repeated_anchors(d), buckets).groupBy("bucket").applyInArrow(windows, _SPAN)
-    return found.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "h"), F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(union, _SPAN)
+        i, th, p0 = (t.column(c).to_numpy() for c in ("doc_id", "h", "p0"))
+        raw, off = buffers(t.column("runs").combine_chunks())
+        run = raw.view(np.int32).reshape(-1, 3).astype(np.int64)
+        row = np.repeat(np.arange(len(i)), np.diff(off) // 12)
+        o = np.lexsort((th, i))
+        first = edges(i[o], th[o])
+        doc = np.empty(len(i), np.int64)
+        doc[o] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(o))))
+        d, s, e, r = merged(doc[row], run[:, 0] + p0[row], run[:, 1] + p0[row], run[:, 2] > 0)
+        return pa.table([i[o[first]][d], th[o[first]][d], s, e, r], names=["doc_id", "h", "start_word", "end_word", "removed"])
+
+    return of.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "h"), F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(union, _SPAN)
 
 
 def spans(docs: DataFrame) -> DataFrame:
