@@ -18,8 +18,10 @@ none. Without it a source weighs its tokens to the power ALPHA, which lifts
 small sources.
 
 Defined results: rows with null id, null text or no tokens give no tokens; a
-null source is the source ''; repeated rows count as often as they come; empty
-tables give no slots; columns beyond doc_id, text and source are ignored.
+null source is the source ''; a text of any length is cut into as many blocks as
+it fills; repeated rows count as often as they come; empty tables give no slots;
+columns beyond doc_id, text and source, whatever their names, are ignored, and
+null in ``mixed_documents``.
 """
 
 from __future__ import annotations
@@ -83,7 +85,8 @@ def totals(docs: DataFrame) -> DataFrame:
 
 
 def pieces(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """((source, block, at, n, text) pieces of blocks, (source, tokens)): a piece is what one bucket gives to a block."""
+    """((source, block, at, n, ids, texts) pieces of blocks, (source, tokens)): a piece is what one bucket gives to a block,
+    document by document."""
     per = written(totals(docs))
     begin = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # the place where a bucket begins travels as the bucket's first row: no join, nothing to broadcast
@@ -92,12 +95,12 @@ def pieces(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0
-        open_: tuple | None = None  # (source, block, place in block, tokens, [texts])
+        open_: tuple | None = None  # (source, block, place in block, tokens, [ids], [texts])
         for b in slices(batches, "text"):
             raw, start, end, first = token_spans(b.column("text"))
             out: list[tuple] = []
             data = raw.tobytes()
-            for r, (s, begin) in enumerate(zip(b.column("source").to_pylist(), b.column("begin").to_pylist())):
+            for r, (s, i, begin) in enumerate(zip(*(b.column(c).to_pylist() for c in ("source", "doc_id", "begin")))):
                 if begin is not None:
                     if open_:
                         out.append(open_)
@@ -107,10 +110,11 @@ def pieces(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
                     y = min(last, x + block - at % block)
                     text = data[start[x] : end[y - 1]]
                     if open_ is None:
-                        open_ = (s, at // block, at % block, y - x, [text])
+                        open_ = (s, at // block, at % block, y - x, [i], [text])
                     else:
-                        open_ = (*open_[:3], open_[3] + y - x, open_[4])
-                        open_[4].append(text)
+                        open_ = (*open_[:3], open_[3] + y - x, *open_[4:])
+                        open_[4].append(i)
+                        open_[5].append(text)
                     at += y - x
                     x = y
                     if at % block == 0:
@@ -122,10 +126,11 @@ def pieces(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
             yield rows([open_])
 
     def rows(out: list[tuple]) -> pa.RecordBatch:
-        s, k, at, n, t = zip(*out)
-        return pa.record_batch([pa.array(s, pa.string()), pa.array(k, pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array([b"\n".join(x) for x in t], pa.binary()).cast(pa.string())], ["source", "block", "at", "n", "text"])
+        s, k, at, n, i, t = zip(*out)
+        texts = pa.array(t, pa.list_(pa.binary())).cast(pa.list_(pa.string()))
+        return pa.record_batch([pa.array(s, pa.string()), pa.array(k, pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(i, pa.list_(pa.int64())), texts], ["source", "block", "at", "n", "ids", "texts"])
 
-    return d.mapInArrow(run, "source string, block long, at int, n int, text string"), per.groupBy("source").agg(F.sum("n").alias("tokens")).where("tokens > 0")
+    return d.mapInArrow(run, "source string, block long, at int, n int, ids array<long>, texts array<string>"), per.groupBy("source").agg(F.sum("n").alias("tokens")).where("tokens > 0")
 
 
 _ROUND = np.arange(1, 5, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -193,19 +198,27 @@ def target(tokens: dict[str, int], weights: dict[str, float] | None = None, alph
     return {s: w.get(s, 0) / all_ for s in tokens}
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
-    """(slot, shard, source, pass, block, n_tokens, text) of every slot."""
+def filled(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
+    """(slot, shard, source, pass, block, n_tokens, ids, texts) of every slot: its tokens document by document."""
     parts, per = pieces(placed(docs), block)
     tokens = {r["source"]: r["tokens"] for r in per.collect()}  # a row for each source
     n_blocks = {s: -(-n // block) for s, n in tokens.items()}
     picked = slots(docs.sparkSession, n_blocks, target(tokens, weights), sum(n_blocks.values()), shard, seed)
-    blocks = parts.groupBy("source", "block").agg(F.sum("n").cast("int").alias("n_tokens"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    held = F.array_sort(F.collect_list(F.struct("at", "ids", "texts"))).alias("held")
+    blocks = parts.groupBy("source", "block").agg(F.sum("n").cast("int").alias("n_tokens"), held)
+    blocks = blocks.select("source", "block", "n_tokens", F.flatten("held.ids").alias("ids"), F.flatten("held.texts").alias("texts"))
     # the slots grow with the corpus, which a plan over range() can't know: never broadcast
-    return picked.hint("merge").join(blocks, ["source", "block"]).select("slot", "shard", "source", "pass", "block", "n_tokens", "text")
+    return picked.hint("merge").join(blocks, ["source", "block"]).select("slot", "shard", "source", "pass", "block", "n_tokens", "ids", "texts")
+
+
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
+    """(slot, shard, source, pass, block, n_tokens, text) of every slot."""
+    return filled(docs, weights, block, shard, seed).select("slot", "shard", "source", "pass", "block", "n_tokens", F.array_join("texts", "\n").alias("text"))
 
 
-def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """The mixture with the columns of docs: doc_id is the slot; columns that a block doesn't have are null."""
-    m = mix_sources(docs, weights)
-    own = {"doc_id": F.col("slot"), "text": F.col("text"), "source": F.col("source"), "n_chars": F.length("text")}
+def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK) -> DataFrame:
+    """The mixture with the columns of docs: a row for what each document gives to a slot, under the id of the document;
+    columns that a block doesn't have are null. A block that is drawn again comes again."""
+    m = filled(docs, weights, block).select("source", F.explode(F.arrays_zip("ids", "texts")).alias("d"))
+    own = {"doc_id": F.col("d.ids"), "text": F.col("d.texts"), "source": F.col("source"), "n_chars": F.length("d.texts")}
     return m.select(*[(own[c] if c in own else F.lit(None)).cast(t).alias(c) for c, t in docs.dtypes])
