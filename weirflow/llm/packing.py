@@ -5,14 +5,16 @@ into full windows; what is left of it, and every shorter document, are packed
 by decreasing length into the open window with the least room that is enough,
 found in a segment tree indexed by remaining capacity.
 
-Best fit is sequential, so documents are dealt by hash of the id into units of
-about UNIT documents, and each unit is packed by itself: a unit leaves a few
-windows partly filled, out of many thousands, and units run side by side.
-
-Defined results: rows with null id, null text or no tokens take no part; ties go
-to the least (doc_id, length), and among windows with equal room to the one
-opened last; repeated rows are packed as often as they come; empty tables give
-no rows; other columns are ignored.
+Best fit is sequential, so documents are dealt by hash of (id, length, number of
+the copy) into units of about UNIT documents, and each unit is packed by itself: a
+unit leaves a few windows partly filled, out of many thousands, and units run side
+by side. An id of very many rows is spread over all units.
+
+Defined results: rows with null id, null text or no tokens take no part; a text of
+any length is cut into windows; ties go to the least (doc_id, length), and among
+windows with equal room to the one opened last; repeated rows are packed as often
+as they come; empty tables give no rows; other columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
@@ -113,13 +115,14 @@ def lengths(docs: DataFrame) -> DataFrame:
 
 def packed(docs: DataFrame, window: int = WINDOW, unit: int = UNIT) -> DataFrame:
     """(unit, window, offset, doc_id, start, n_tokens): each segment and where it lies."""
-    n = written(lengths(docs))
-    units = max(1, math.ceil(n.count() / unit))
+    n = written(lengths(docs).groupBy("doc_id", "n").agg(F.count("*").alias("copies")))
+    units = max(1, math.ceil((n.agg(F.sum("copies")).first()[0] or 0) / unit))
 
     def run(key: tuple[pa.Scalar], t: pa.Table) -> pa.Table:
         ids, size = (t.column(c).to_numpy() for c in ("doc_id", "n"))
         win, off, row, start, m = pack(ids, size, window)
         return pa.table({"unit": pa.array(np.full(len(win), key[0].as_py())), "window": win, "offset": off, "doc_id": ids[row], "start": start, "n_tokens": m})
 
-    dealt = n.withColumn("unit", F.pmod(F.xxhash64("doc_id"), F.lit(units)))
+    each = n.select("doc_id", "n", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    dealt = each.select("doc_id", "n", F.pmod(F.xxhash64("doc_id", "n", "copy"), F.lit(units)).alias("unit"))
     return dealt.groupBy("unit").applyInArrow(run, "unit long, window long, offset long, doc_id long, start long, n_tokens long")
