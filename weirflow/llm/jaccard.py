@@ -527,8 +527,9 @@ def distinct(docs: DataFrame) -> DataFrame:
     c = written(classified(docs).where("size > 0").select(F.col("doc_id").alias(_ID), F.col("h").alias(_HASH), F.expr("doc_id <> keeper OR h <> keeper_h").alias("gone"), "times").where("gone OR times > 1"))
     given = docs.withColumns({_ID: docs["doc_id"].cast("long"), _HASH: F.xxhash64(docs["text"].cast("string"))})
     own = [F.col(f"`{x}`") for x in docs.columns]
-    kept = given.join(c.select(_ID, _HASH), [_ID, _HASH], "left_anti").select(own)
+    # what goes grows with the corpus: never broadcast
+    kept = given.join(c.select(_ID, _HASH).hint("merge"), [_ID, _HASH], "left_anti").select(own)
     again = c.where("NOT gone").select(_ID, _HASH)
     if again.isEmpty():
         return kept
-    return kept.union(once(given, _ID, _HASH).join(again, [_ID, _HASH], "left_semi").dropDuplicates([_ID, _HASH]).select(own))
+    return kept.union(once(given, _ID, _HASH).join(again.hint("merge"), [_ID, _HASH], "left_semi").dropDuplicates([_ID, _HASH]).select(own))
