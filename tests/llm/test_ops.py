@@ -8,8 +8,10 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from weirflow.llm import audio, jaccard, langid, mixing, packing, quality, suffix, tokenids, topk, toxicity
+from weirflow.llm.ftrl import Ftrl, temperature
 from weirflow.llm.queries import ORACLES, QUERIES
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -58,55 +60,80 @@ def gram_set(t):
     return {tuple(w)} if 0 < len(w) < 3 else {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
 
 
-def brute_pairs(rows):
-    sets = {i: gram_set(t) for i, t in rows if i is not None and t}
-    sets = {i: s for i, s in sets.items() if s}
-    out = {}
-    for a, b in itertools.combinations(sorted(sets), 2):
+def brute_links(rows):
+    """Links between distinct (id, text) documents."""
+    given = sorted({(i, t or "") for i, t in rows if i is not None})
+    sets = {d: gram_set(d[1]) for d in given}
+    out = {d: set() for d in given}
+    for a, b in itertools.combinations(given, 2):
         k = len(sets[a] & sets[b])
-        u = len(sets[a] | sets[b])
-        if 5 * k >= 3 * u:
-            out[a, b] = k / u
+        if k and 5 * k >= 3 * len(sets[a] | sets[b]):
+            out[a].add(b)
+            out[b].add(a)
     return out
 
 
-def same_pairs(got, rows):
-    """Spark rounds halves up, Python to even: equal to a digit less than is shown."""
-    want = brute_pairs(rows)
-    return got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+def brute_classes(rows):
+    """{(id, text): all documents connected with it}."""
+    links, out = brute_links(rows), {}
+    for d in links:
+        if d not in out:
+            seen, todo = {d}, [d]
+            while todo:
+                new = links[todo.pop()] - seen
+                seen |= new
+                todo += new
+            out.update(dict.fromkeys(seen, seen))
+    return out
 
 
-def test_jaccard_join_is_all_pairs(spark):
-    rows = corpus()
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in jaccard.join(docs(spark, rows)).collect()}
-    assert same_pairs(got, rows) and len(got) > 60
+def brute_join(rows):
+    links, classes = brute_links(rows), brute_classes(rows)
+    return sorted((d[0], min(x[0] for x in classes[d]), len(links[d])) for d in links)
 
 
-def test_jaccard_order_changes_nothing(spark, monkeypatch):
-    rows = corpus(2)
-    monkeypatch.setattr(jaccard, "frequent", lambda d: (np.zeros(0, np.uint64), np.zeros(0, np.uint64)))
-    assert same_pairs({(r.doc_a, r.doc_b): r.jaccard for r in jaccard.join(docs(spark, rows)).collect()}, rows)
+def joined(df):
+    return sorted((r.doc_id, r.class_id, r.links) for r in jaccard.join(df).collect())
 
 
-def test_distinct_keeps_the_least_of_each_group(spark):
-    rows = corpus()
-    root = {i: i for i, _ in rows if i is not None}
+def corpus_of_copies(seed=1):
+    """Further rows: two texts under one id, copies of one text, repeated rows of a near copy."""
+    rows = corpus(seed)
+    text = words(90, 1234)
+    rows += [(2000 + i, " ".join(text)) for i in range(30)] + [(2100 + i % 3, " ".join([*text[:40], f"x{i % 3}", *text[40:]])) for i in range(12)]
+    return rows + [(2200, " ".join(text)), (2200, " ".join(words(50, 4321))), (2200, " ".join(words(50, 4321)) + " z")]
+
+
+def test_jaccard_join_loses_no_link(spark):
+    rows = corpus_of_copies()
+    got = joined(docs(spark, rows))
+    assert got == brute_join(rows) and sum(r[2] > 0 for r in got) > 60
+
+
+def test_jaccard_order_places_and_buckets_change_nothing(spark, monkeypatch):
+    rows = corpus_of_copies(2)
+    for name, x in (("frequent", lambda d: ((np.zeros(0, np.uint64), np.zeros(0, np.uint64)), 10_000)), ("BLOCK_PAIRS", 3), ("HELD", 50), ("SHARE", 1000)):
+        monkeypatch.setattr(jaccard, name, x)
+    assert joined(docs(spark, rows)) == brute_join(rows)
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
 
-    for a, b in brute_pairs(rows):
-        a, b = sorted((find(a), find(b)))
-        root[b] = a
-    kept = sorted((i, t) for i, t in rows if i is not None and t is not None and find(i) == i)
+def test_jaccard_of_nothing(spark):
+    d = docs(spark, [])
+    assert joined(d) == [] and jaccard.distinct(d).count() == 0
+    assert joined(docs(spark, [(1, None), (2, ""), (3, "!"), (None, "a b c")])) == [(1, 1, 0), (2, 2, 0), (3, 3, 0)]
+
+
+def test_distinct_keeps_one_document_of_each_class(spark):
+    rows = corpus_of_copies()
     d = docs(spark, rows)
     got = jaccard.distinct(d)
     assert got.columns == d.columns
-    got = got.collect()
-    assert sorted((r.doc_id, r.text) for r in got if r.doc_id is not None and r.text is not None) == kept
-    assert any(r.doc_id is None for r in got) and any(r.text is None for r in got)
+    left = [(r.doc_id, r.text) for r in got.collect()]
+    for c in {frozenset(c) for x, c in brute_classes(rows).items() if gram_set(x[1])}:
+        kept = [x for x in left if x in c]
+        assert len(kept) == 1 and kept[0][0] == min(c)[0]
+    odd = lambda x: x[0] is None or not gram_set(x[1] or "")
+    assert sorted(map(str, filter(odd, left))) == sorted(map(str, filter(odd, rows)))
 
 
 def test_components_of_a_long_chain(spark):
@@ -127,8 +154,13 @@ def test_bitmap_filter_never_drops_a_match():
             same = len(np.intersect1d(x, y))
             key = np.concatenate([x, y])
             b = jaccard.bitmaps(key, np.array([0, len(x), len(key)]))
-            if 5 * same >= 3 * (len(x) + len(y) - same):
-                assert jaccard.may_match(len(x), b[0], len(y), b[1])
+            on = jaccard.may_match(np.array([len(x), len(y)]), b, np.array([0, 1]), np.array([1, 0]), 8)
+            assert on[0] == on[1] and (on[0] or 5 * same < 3 * (len(x) + len(y) - same))
+            bits = [np.unpackbits(np.frombuffer(m, np.uint8), bitorder="little") for m in b]
+            short = min(map(len, bits))
+            differ = np.count_nonzero(np.bitwise_xor.reduce(bits[0].reshape(-1, short)) ^ np.bitwise_xor.reduce(bits[1].reshape(-1, short)))
+            need = -(-3 * (len(x) + len(y)) // 8)
+            assert on[0] == (min(len(x), len(y)) >= need and differ <= len(x) + len(y) - 2 * need)
 
 
 # --- 2 ----------------------------------------------------------------------
@@ -161,6 +193,31 @@ def test_perfect_hash_of_many_keys_and_refusal_of_others():
     assert np.count_nonzero((s >= 0) & (fp[s] == tokenids.fingerprint(other))) == 0
 
 
+def test_token_ids_of_long_texts(spark, tmp_path, monkeypatch):
+    """No text is too long, and one that is cut where words end has the ids that it has in one piece."""
+    enc = tokenids.encoder()
+    rows = [(1, " " * 2_000_000), (2, "a" * 300_000), (3, "word " * 100_000), (4, ("x" * 70_000 + "\n") * 4), (5, "first"), (5, "second text")]
+    tokenids.write(docs(spark, rows).coalesce(1), str(tmp_path / "ids")).collect()
+    reader = tokenids.Reader(str(tmp_path / "ids"))
+    for i, t in rows[:4]:
+        assert enc.decode(reader.get(i).tolist()) == t
+    assert enc.decode(reader.get(5).tolist()) == "first"  # of the least offset
+    monkeypatch.setattr(tokenids, "STRETCH", 40)
+    monkeypatch.setattr(tokenids, "LONG", 200)
+    r = random.Random(4)
+    text = "".join(r.choice(["word", "It's", " ", "  ", "\n", "\n\n", "12", "é", "!?", "\t ", "\u00a0", "\x1c", "<|x|>"]) for _ in range(4000))
+    assert len(list(tokenids.stretches(text))) > 50 and "".join(tokenids.stretches(text)) == text
+    assert tokenids.encoded(enc, text).tolist() == enc.encode(text, disallowed_special=())
+
+
+def test_token_ids_refuse_a_large_vocabulary(tmp_path):
+    import base64
+
+    (tmp_path / "v").write_text("".join(f"{base64.b64encode(bytes([i])).decode()} {i if i else 65536}\n" for i in range(256)))
+    with pytest.raises(ValueError, match="16 bits"):
+        tokenids.encoder(str(tmp_path / "v"))
+
+
 def test_token_ids_of_nothing(spark, tmp_path):
     assert tokenids.write(docs(spark, []), str(tmp_path / "x")).count() == 0
     assert tokenids.Reader(str(tmp_path / "x")).get(1) is None
@@ -184,16 +241,19 @@ def brute_top(rows, k):
     return out
 
 
-@pytest.mark.parametrize("block", [16, 4096])
-def test_top_k_is_exact(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, group, asked", [(16, 8, "true"), (16, 4096, "vec_id % 3 = 0"), (4096, 4096, None)])
+def test_top_k_is_exact(spark, monkeypatch, block, group, asked):
     monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "GROUP", group)
+    monkeypatch.setattr(topk, "AT_ONCE", 5)
     rng = np.random.default_rng(4)
     centre = rng.normal(0, 4, (6, 20))
     rows = [(int(i), [float(x) for x in centre[i % 6] + rng.normal(0, 1, 20)]) for i in range(150)]
     rows += [(200, rows[0][1]), (201, rows[0][1]), (5, rows[5][1]), (None, rows[1][1]), (300, None), (301, []), (302, [float("nan")] * 20), (303, [None] * 20)]
     df = spark.createDataFrame([(i, e, "x", 1.0) for i, e in rows], "vec_id long, embedding array<float>, block string, most double")
-    got = {(r.vec_id, r.rank): (r.neighbor_id, r.distance) for r in topk.top_k(df, 7).collect()}
-    want = brute_top([(i, e) for i, e in rows], 7)
+    got = {(r.vec_id, r.rank): (r.neighbor_id, r.distance) for r in topk.top_k(df, 7, asked and F.expr(asked)).collect()}
+    step = {"true": 1, None: topk.EVERY}.get(asked, 3)
+    want = {key: x for key, x in brute_top([(i, e) for i, e in rows], 7).items() if key[0] % step == 0}
     assert got.keys() == want.keys()
     assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-6 for k in got)
 
@@ -201,8 +261,22 @@ def test_top_k_is_exact(spark, monkeypatch, block):
 def test_top_k_of_few_and_none(spark):
     s = "vec_id long, embedding array<float>"
     assert topk.top_k(spark.createDataFrame([], s)).count() == 0
-    got = topk.top_k(spark.createDataFrame([(1, [0.0, 0.0]), (2, [3.0, 4.0])], s)).collect()
+    few = spark.createDataFrame([(1, [0.0, 0.0]), (2, [3.0, 4.0])], s)
+    got = topk.top_k(few, queries=F.lit(True)).collect()
     assert sorted((r.vec_id, r.neighbor_id, r.distance) for r in got) == [(1, 2, 5.0), (2, 1, 5.0)]
+    assert topk.top_k(few).count() == 0
+
+
+def test_top_k_refuses_vectors_of_different_lengths(spark):
+    rows = [(i, [float(i)] * 4) for i in range(6)] + [(6, [1.0, 2.0]), (7, [1.0] * 6)]
+    with pytest.raises(Exception, match="different lengths"):
+        topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 3, F.lit(True)).collect()
+
+
+def test_top_k_keeps_double_precision(spark):
+    rows = [(i, [1e8 + i / 4, 0.0]) for i in range(20)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 2, F.lit(True)).collect()
+    assert {(r.vec_id, r.rank): r.distance for r in got}[10, 1] == 0.25
 
 
 # --- 4 ----------------------------------------------------------------------
@@ -246,6 +320,22 @@ def test_repeated_passages_are_exact(spark):
     assert got == brute_spans(rows) and sum(x[3] for x in got) > 20
 
 
+def test_repeated_passages_however_they_are_spread(spark, monkeypatch):
+    """One passage in many documents, whole copies, repeated rows in several tasks; small batches, buckets and chunks."""
+    p = words(70, 31)
+    rows = [(i, " ".join(words(30, 7000 + i) + p[i % 3 : 60 + i % 7] + words(20, 8000 + i))) for i in range(60)]
+    rows += [(100 + i, " ".join(words(20, 1) + p + words(20, 2))) for i in range(30)] + [(130, rows[-1][1])] * 6 + [(100, " ".join(words(120, 5)))] * 2 + [(101, " ".join(p))]
+    for name, x in (("HELD", 20), ("SHARE", 1000), ("CHUNK", 2)):
+        monkeypatch.setattr(suffix, name, x)
+    got = sorted((x.doc_id, x.start_word, x.end_word, x.removed) for x in suffix.spans(docs(spark, rows).repartition(5)).collect())
+    assert got == brute_spans(rows) and sum(x[3] for x in got) > 80
+
+
+def test_repeated_passages_of_nothing(spark):
+    assert suffix.spans(docs(spark, [])).count() == 0 and suffix.removed(docs(spark, [])).count() == 0
+    assert suffix.spans(docs(spark, [(1, None), (None, " ".join(words(60, 1))), (2, "")])).count() == 0
+
+
 def test_deep_shallow_sort_groups_equal_windows():
     rng = np.random.default_rng(5)
     code = rng.integers(0, 3, 4000).astype(np.uint32)
@@ -305,15 +395,15 @@ def test_blocks_hold_every_token_once(spark):
     for s, ps in got.items():
         at = 0
         for p in ps:
-            assert p.block * 64 + p.at == at and p.n == len(p.text.split())
+            assert p.block * 64 + p.at == at and p.n == sum(len(t.split()) for t in p.texts) and len(p.ids) == len(p.texts)
             at += p.n
         want = sorted(w for i, t, x, _ in rows if i is not None and t and (x or "") == s for w in t.split())
-        assert sorted(w for p in ps for w in p.text.split()) == want
+        assert sorted(w for p in ps for t in p.texts for w in t.split()) == want
     assert {r.source: r.tokens for r in per.collect()} == {s: sum(p.n for p in ps) for s, ps in got.items()}
 
 
 def test_mixture_follows_weights_and_reads_blocks_evenly(spark):
-    _, df = source_docs(spark)
+    rows, df = source_docs(spark)
     w = {"hot": 1.0, "s0": 3.0, "s2": 0.0}
     got = mixing.mix_sources(df, w, block=16, shard=256).collect()
     assert sorted(r.slot for r in got) == list(range(len(got)))
@@ -330,12 +420,93 @@ def test_mixture_follows_weights_and_reads_blocks_evenly(spark):
     again = mixing.mix_sources(df.repartition(3), w, block=16, shard=256).collect()
     assert {(r.slot, r.source, r.block, r.text) for r in again} == {(r.slot, r.source, r.block, r.text) for r in got}
     assert mixing.mix_sources(df.limit(0)).count() == 0
-    assert mixing.mixed_documents(df).columns == df.columns
+    out = mixing.mixed_documents(df, block=16)
+    assert out.columns == df.columns
+    own = {}
+    for i, t, *_ in rows:
+        own.setdefault(i, []).append(" ".join((t or "").split()))
+    out = out.collect()
+    assert all(any(" ".join(r.text.split()) in t for t in own[r.doc_id]) for r in out)
+    assert sum(len(r.text.split()) for r in out) == sum(r.n_tokens for r in mixing.mix_sources(df, block=16).collect())
+
+
+def test_mixture_of_nothing(spark):
+    d = docs(spark, []).withColumn("source", F.lit("s"))
+    assert mixing.mix_sources(d).count() == 0 and mixing.mixed_documents(d).count() == 0
+
+
+def brute_feistel(x, n, key):
+    """One value at a time, in Python's integers."""
+    m64 = (1 << 64) - 1
+
+    def mix(h):
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & m64
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & m64
+        return h ^ h >> 31
 
+    half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
+    mask = (1 << half) - 1
+    while True:
+        left, right = x >> half, x & mask
+        for k in range(4):
+            left, right = right, left ^ mix(right + key + (k + 1) * 0x9E3779B97F4A7C15 & m64) & mask
+        x = left << half | right
+        if x < n:
+            return x
 
-def test_permutation_and_multinomial():
+
+def test_permutation_is_one():
     for n in (1, 2, 3, 7, 64, 1000):
-        assert sorted(mixing.feistel(np.arange(n), n, np.full(n, 9, np.uint64))) == list(range(n))
+        got = mixing.feistel(np.arange(n), n, np.full(n, 9, np.uint64))
+        assert sorted(got) == list(range(n)) and got.tolist() == [brute_feistel(x, n, 9) for x in range(n)]
+
+
+def brute_mixture(rows, weights, block, shard, seed):
+    """(slot, source, pass, block, tokens) by the definition: blocks source by source, a draw a shard, a loop over slots."""
+    tokens = {}
+    for i, t, s, *_ in rows:
+        if i is not None and t is not None:
+            tokens[s or ""] = tokens.get(s or "", 0) + len(t.split())
+    tokens = {s: n for s, n in tokens.items() if n}
+    n_blocks = {s: -(-n // block) for s, n in tokens.items()}
+    names = sorted(s for s in n_blocks if weights.get(s, 0) > 0)
+    w = np.array([weights[s] for s in names])
+    count, out, before = sum(n_blocks.values()), [], dict.fromkeys(names, 0)
+    for k in range(-(-count // shard)):
+        size, at = min(shard, count - k * shard), 0
+        drawn = np.random.default_rng(mixing.seed_of(seed, k)).multinomial(size, w / w.sum())
+        for s, n in zip(names, drawn):
+            m = n_blocks[s]
+            for r in range(before[s], before[s] + int(n)):
+                slot = k * shard + brute_feistel(at, size, mixing.seed_of(seed, "place", k))
+                b = brute_feistel(r % m, m, mixing.seed_of(seed, s, r // m))
+                out.append((slot, s, r // m, b, min(block, tokens[s] - b * block)))
+                at += 1
+            before[s] += int(n)
+    return sorted(out)
+
+
+def test_mixture_is_drawn_numbered_and_joined_as_defined(spark):
+    rows, df = source_docs(spark)
+    w = {"hot": 1.0, "s0": 3.0, "s2": 2.0, "": 0.5}
+    for shard in (64, 1 << 20):
+        got = mixing.mix_sources(df, w, block=16, shard=shard, seed=3).collect()
+        assert sorted((r.slot, r.source, r["pass"], r.block, r.n_tokens) for r in got) == brute_mixture(rows, w, 16, shard, 3)
+        assert all(len(r.text.split()) == r.n_tokens and r.shard == r.slot // shard for r in got)
+    parts, _ = mixing.pieces(mixing.placed(df), 16)
+    held = {}
+    for p in sorted(parts.collect(), key=lambda p: (p.source, p.block, p.at)):
+        held.setdefault((p.source, p.block), []).extend(w for t in p.texts for w in t.split())
+    assert all(r.text.split() == held[r.source, r.block] for r in got)
+
+
+def test_mixing_of_long_texts_and_clashing_columns(spark):
+    rows = [(i, t, "s", 5, 6, 7) for i, t in [(1, "w " * 200_000), (2, "a b"), (None, "c"), (3, None)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, bucket int, begin int, block int")
+    got = mixing.mix_sources(df, block=1000).collect()
+    assert len(got) == 201 and sorted(r.n_tokens for r in got)[:2] == [2, 1000]
+    out = mixing.mixed_documents(df)
+    assert out.columns == df.columns and sum(r.bucket is not None for r in out.collect()) == 0
 
 
 def brute_best_fit(lengths, window):
@@ -365,9 +536,24 @@ def test_packing_is_best_fit_decreasing(window):
             assert used[w] <= window
 
 
+def test_packing_ties():
+    """Equal lengths go in order of id; of windows with equal room the one opened last is taken."""
+    win, off, row, start, m = packing.pack(np.array([3, 1, 2, 4, 5]), np.array([6, 6, 6, 4, 4]), 10)
+    assert [(int(r), int(w), int(o)) for r, w, o in zip(row, win, off)] == [(1, 0, 0), (2, 1, 0), (0, 2, 0), (3, 2, 6), (4, 1, 6)]
+
+
+def test_packing_of_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c", 7, "w", 9), (1, "a b c", 7, "w", 9), (2, "x " * 5000, 7, "w", 9)], "doc_id long, text string, unit int, window string, n int")
+    got = packing.packed(df, 2048).collect()
+    assert sorted((r.doc_id, r.start, r.n_tokens) for r in got) == [(1, 0, 3), (1, 0, 3), (2, 0, 2048), (2, 2048, 2048), (2, 4096, 904)]
+
+
 def test_packed_documents(spark):
     rows, df = source_docs(spark)
+    rows = rows + [(77, "copy of a row", "hot", "x")] * 200  # one id in all units
+    df = df.union(spark.createDataFrame(rows[-200:], df.schema))
     got = packing.packed(df, 128, 50).collect()
+    assert len({r.unit for r in got if r.doc_id == 77}) > 3
     total = {}
     for r in got:
         total[r.doc_id] = total.get(r.doc_id, 0) + r.n_tokens
@@ -399,8 +585,84 @@ def test_language_id_held_out(spark, sf):
 def test_document_frequency_counts_all(spark):
     rows = [(1, "ab"), (2, "abc"), (3, None), (4, "b")]
     df, n = langid.document_frequency(docs(spark, rows, False))
-    idx, _ = langid.grams(pa.array(["b"]))
-    assert n == 4 and df[idx[0]] == 3
+    idx, _, _ = langid.sparse(pa.array(["b"]))
+    assert n == 4 and len(idx) == 1 and df[idx[0]] == 3
+
+
+def brute_sparse(t):
+    """Counts of all runs of 1 to 3 characters, by the hash of each alone."""
+    out = {}
+    for n in (1, 2, 3):
+        for a in range(len(t) - n + 1):
+            h = 1
+            for c in t[a : a + n]:
+                h = (h * 0x01000193 + ord(c)) * 0x9E3779B1 & 0xFFFFFFFF
+            k = ((h ^ h >> 15) * 0x85EBCA6B & 0xFFFFFFFF) >> 32 - langid.BITS
+            out[k] = out.get(k, 0) + 1
+    return out
+
+
+def test_language_id_scores_are_tf_idf_products():
+    """Features, scaling and scores against a dense computation, one text at a time."""
+    rng = np.random.default_rng(1)
+    texts = ["", "a", "ab", "Zoë liest ☃☃☃ 本", None, "the cat and the hat " * 40, "x" * 5000, "", "é"]
+    idf, w, bias = rng.uniform(1, 5, 1 << langid.BITS), rng.normal(0, 1, (1 << langid.BITS, 3)), rng.normal(0, 1, 3)
+    model = langid.Model(["de", "en", "fr"], idf, w, bias, 0.7)
+    i, c, off = langid.sparse(pa.array(texts))
+    for r, t in enumerate(texts):
+        want = brute_sparse((t or "").lower())
+        assert dict(zip(i[off[r] : off[r + 1]].tolist(), c[off[r] : off[r + 1]].tolist())) == want
+        dense = np.zeros(1 << langid.BITS)
+        dense[list(want)] = list(want.values())
+        x = dense * idf
+        raw = x @ w / (np.sqrt(x @ x) or 1) + bias
+        assert np.allclose(model.scores(pa.array(texts))[r], raw, rtol=0, atol=1e-9)
+        p = np.exp(raw / 0.7 - (raw / 0.7).max())
+        label, conf = (x[r] for x in model.label(pa.array(texts)))
+        assert (label, conf) == ("und", 0) if not t else label == model.langs[p.argmax()] and abs(conf - p.max() / p.sum()) < 1e-9
+
+
+def test_language_id_odd_tables(spark):
+    """Training on nothing, ties between languages, a very long text."""
+    none = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert langid.identify(none, langid.train(none)).count() == 0
+    model = langid.Model(["de", "en"], np.ones(1 << langid.BITS), np.zeros((1 << langid.BITS, 2)), np.zeros(2), 1.0)
+    got = langid.identify(docs(spark, [(1, "tie"), (2, "long text " * 300_000)]), model).collect()
+    assert [(r.lang, r.confidence) for r in got] == [("de", 0.5)] * 2
+
+
+def test_ftrl_is_the_published_update():
+    """Sparse steps against a scalar loop over all coordinates; temperature against a fine grid."""
+    rng = np.random.default_rng(8)
+    rows = [(np.sort(rng.choice(6, rng.integers(0, 5), replace=False)), None) for _ in range(60)]
+    rows = [(i, rng.normal(0, 1, len(i))) for i, _ in rows]
+    for classes in (1, 3):
+        y = rng.integers(0, 2 if classes == 1 else classes, len(rows))
+        m = Ftrl(6, classes, alpha=0.4, beta=1.0, l1=0.3, l2=0.2).fit(rows, y, 2, seed=5)
+        z, n = [[0.0] * classes for _ in range(7)], [[0.0] * classes for _ in range(7)]
+
+        def weight(i, k):
+            if abs(z[i][k]) <= 0.3:
+                return 0.0
+            return -(z[i][k] - (0.3 if z[i][k] > 0 else -0.3)) / ((1.0 + n[i][k] ** 0.5) / 0.4 + 0.2)
+
+        order = np.random.default_rng(5)
+        for _ in range(2):
+            for r in order.permutation(len(rows)):
+                x = {6: 1.0, **dict(zip(rows[r][0].tolist(), rows[r][1].tolist()))}
+                w = {(i, k): weight(i, k) for i in x for k in range(classes)}
+                s = [sum(v * w[i, k] for i, v in x.items()) for k in range(classes)]
+                p = [1 / (1 + np.exp(-s[0]))] if classes == 1 else [np.exp(a) / sum(np.exp(b) for b in s) for a in s]
+                for i, v in x.items():
+                    for k in range(classes):
+                        g = v * (p[k] - (float(y[r]) if classes == 1 else float(y[r] == k)))
+                        z[i][k] += g - ((n[i][k] + g * g) ** 0.5 - n[i][k] ** 0.5) / 0.4 * w[i, k]
+                        n[i][k] += g * g
+        assert np.allclose(m.weights(), [[weight(i, k) for k in range(classes)] for i in range(7)], rtol=0, atol=1e-9)
+    raw, y = rng.normal(0, 3, (200, 3)), rng.integers(0, 3, 200)
+    loss = lambda t: -np.mean([s[k] / t - np.log(np.exp(s / t).sum()) for s, k in zip(raw, y)])
+    t = temperature(raw, y)
+    assert loss(t) <= min(loss(x) for x in np.exp(np.linspace(np.log(0.02), np.log(20), 2000))) * 1.001
 
 
 def test_language_id_without_labels(spark):
@@ -436,6 +698,29 @@ def test_toxicity_learns_pairs(spark):
     assert toxicity.score(docs(spark, []), model).count() == 0
 
 
+def test_toxicity_scores_every_pair_of_terms():
+    """The score against the sum over all pairs, one by one."""
+    rng = np.random.default_rng(6)
+    texts = ["", None, "Vile scum!", "a bb ccc dddddd ddddddx", "nothing known", "a a a bb", " ".join(words(300, 5))]
+    idx, _, off = toxicity.terms(pa.array([t or "" for t in texts[:4] + texts[5:]]))
+    on = np.unique(idx)
+    m = toxicity.FactorizationMachine(-0.4, on, rng.normal(0, 0.2, len(on)), rng.normal(0, 0.2, (len(on), toxicity.FACTORS)).astype(np.float32))
+    p, toxic = m.scorer()(pa.array(texts))
+    for r, t in enumerate(texts):
+        i, _, _ = toxicity.terms(pa.array([t or ""]))
+        k = [int(np.searchsorted(on, x)) for x in i if x in on]
+        s = m.bias + sum(float(m.w[a]) for a in k) + sum(float(m.v[a].astype(float) @ m.v[b].astype(float)) for a, b in itertools.combinations(k, 2))
+        assert abs(p[r] - 1 / (1 + np.exp(-s))) < 1e-9 and toxic[r] == (bool(k) and p[r] >= toxicity.THRESHOLD)
+
+
+def test_toxicity_where_most_labels_are_toxic(spark):
+    rows = [(i, " ".join(words(30, 50_000 + i, 200)) + (" grobian" if i % 5 else ""), int(i % 5 > 0)) for i in range(100)]
+    model = toxicity.train(docs(spark, [r[:2] for r in rows]), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    odd = docs(spark, [(1, None), (2, ""), (3, "?!"), (4, "grobian " * 400_000)])
+    assert sorted((r.doc_id, r.toxic) for r in toxicity.score(odd, model).collect()) == [(1, False), (2, False), (3, False), (4, True)]
+    assert sorted(r.doc_id for r in toxicity.keep(odd, model).collect()) == [1, 2, 3]
+
+
 def test_toxicity_terms_of_few_labels(spark):
     """A term of five labelled rows is learned, however few they are beside the rest."""
     rows = [(i, " ".join(words(30, 70_000 + i)) + (" grobian" if i < 5 else ""), int(i < 5)) for i in range(90)]
@@ -494,6 +779,50 @@ def test_quality_held_out(spark):
     assert [x.keep for x in odd if x.doc_id] == [False] * 3 and quality.score(docs(spark, []), weights).count() == 0
 
 
+def brute_quality(t, w):
+    """Features of each word one by one, hashed as the module hashes bytes, and a dense product."""
+    from weirflow.llm.textkit import mix, span_hash
+
+    def h(b):
+        raw = np.frombuffer(b, np.uint8)
+        return span_hash(raw)(np.array([0]), np.array([len(raw)]))[0]
+
+    ws = [x.encode() for x in re.split("[ \t\n\r\x0b\x0c]+", t) if x]
+    if not ws:
+        return 0.0
+    kind = lambda c: 65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 else 48 if 48 <= c <= 57 else 117 if c > 127 else c
+    shape = [bytes(k for k, _ in itertools.groupby(map(kind, x))) for x in ws]
+    dense = np.zeros(1 << quality.BITS)
+    one = lambda x: np.array([x], np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(len(ws)):
+            last = k + 1 == len(ws)
+            a, s = h(ws[k]), h(shape[k]) ^ np.uint64(0x5A)
+            f = [a, s]
+            f.append(np.uint64(1) if last else mix(one(a) * quality._MUL + h(ws[k + 1]))[0])
+            f.append(np.uint64(2) if last else mix(one(s) * quality._MUL + (h(shape[k + 1]) ^ np.uint64(0x5A)))[0])
+            f.append(mix(one(3 if last else 4 if ws[k] == ws[k + 1] else 5))[0])
+            for x in f:
+                dense[int(x) >> 64 - quality.BITS] += 1
+    return round(1 / (1 + np.exp(-(dense * (quality.SCALE / len(ws)) @ w[:-1] + w[-1]))), 6)
+
+
+def test_quality_scores_are_sparse_dot_products(spark):
+    w = np.random.default_rng(3).normal(0, 0.5, (1 << quality.BITS) + 1)
+    texts = ["", "one", "One TWO two two", "é!! 12ab  x\n\ty", None, " ".join(words(200, 3)), "same " * 30]
+    got = {r.doc_id: r.score for r in quality.score(docs(spark, list(enumerate(texts))), w).collect()}
+    for i, t in enumerate(texts):
+        assert abs(got[i] - brute_quality(t or "", w)) < 2e-6
+    f, v, off = quality.rows(pa.array([texts[2]]))
+    assert abs(v @ w[f] + w[-1] - np.log(got[2] / (1 - got[2]))) < 1e-4
+
+
+def test_quality_without_labels_and_of_long_texts(spark):
+    w = quality.train(docs(spark, [(1, "a b")]), spark.createDataFrame([], "doc_id long, quality int"))
+    got = {r.doc_id: (r.score, r.keep) for r in quality.score(docs(spark, [(1, "a b"), (2, "long " * 500_000), (3, None), (4, " ")]), w).collect()}
+    assert got == {1: (0.5, True), 2: (0.5, True), 3: (0.0, False), 4: (0.0, False)}
+
+
 # --- 8 -----------------------------------------------------------------------
 
 
@@ -537,14 +866,51 @@ def test_resampling_keeps_a_tone():
         assert np.abs(y[m] - 8000 * np.sin(2 * np.pi * 440 * u[m])).max() < 80
 
 
-def test_audio_rows(spark):
-    from pyspark.sql import functions as F
+def brute_resample(x, up, down):
+    """Each output on its own: the sum over the inputs around it."""
+    taps, out = audio._taps(up, down), []
+    for j in range(-(-len(x) * up // down)):
+        t, acc = j * down, 0.0
+        for k in range(2 * audio.REACH):
+            at = t // up + 1 + k - audio.REACH
+            if 0 <= at < len(x):
+                acc += taps[t % up, k] * float(x[at])
+        out.append(max(-32768, min(32767, int(np.rint(acc)))))
+    return out
+
+
+def test_resampling_is_the_filter_of_each_signal_alone():
+    rng = np.random.default_rng(7)
+    signals = [rng.integers(-32768, 32768, n).astype(np.int16) for n in (0, 1, 2, 17, 100, 333)]
+    for rate, up, down in ((16000, 2, 1), (8000, 1, 1), (4000, 1, 2), (12000, 3, 2)):
+        got = audio.resampled(signals, 8000, rate)
+        assert [g.tolist() for g in got] == [brute_resample(x, up, down) for x in signals]
+    assert audio.resampled([]) == []
 
-    rows = [(1, "mulaw", b"\x00\xff"), (2, "alaw", b"\xd5"), (3, "ima_adpcm", b"\x01\x00\x00\x00\x11"), (4, "opus", b"x"), (5, None, b"x"), (6, "mulaw", None), (7, "alaw", b""), (1, "mulaw", b"\x00\xff")]
+
+def test_audio_rows(spark):
+    rows = [(1, "mulaw", b"\x00\xff"), (2, "alaw", b"\xd5"), (3, "ima_adpcm", b"\x01\x00\x00\x00\x11"), (4, "opus", b"x"), (5, None, b"x"), (6, "mulaw", None), (7, "alaw", b""), (1, "mulaw", b"\x00\xff"), (None, "alaw", b"\xd5")]
     d = spark.createDataFrame(rows, "pcm int, codec string, k0 binary")
-    got = sorted(((r.pcm, r.n_samples) for r in audio.decode(d.withColumnRenamed("pcm", "id"), ["id"], F.col("codec"), F.col("k0")).toDF("pcm", "codec", "sample_rate", "n_samples", "bytes").collect()), key=str)
-    assert got == [(1, 4), (1, 4), (2, 2), (3, 6), (4, None), (5, None), (6, None), (7, 0)]
-    assert audio.decode(d.limit(0).withColumnRenamed("pcm", "id"), ["id"], F.col("codec"), F.col("k0")).count() == 0
+    out = audio.decode(d, ["pcm", "codec"], F.col("codec"), F.col("k0"))
+    assert out.columns == ["key_pcm", "key_codec", "codec", "sample_rate", "n_samples", "pcm"]
+    got = out.collect()
+    assert sorted(((r.key_pcm, r.n_samples) for r in got), key=str) == [(1, 4), (1, 4), (2, 2), (3, 6), (4, None), (5, None), (6, None), (7, 0), (None, 2)]
+    for r in got:
+        x = None if r.n_samples is None else {"mulaw": lambda p: audio.MULAW[list(p)], "alaw": lambda p: audio.ALAW[list(p)], "ima_adpcm": lambda p: np.array(brute_adpcm(p, 256))}[r.codec](next(p for i, c, p in rows if (i, c) == (r.key_pcm, r.key_codec)))
+        assert r.pcm is None if x is None else np.frombuffer(r.pcm, "<i2").tolist() == brute_resample(x, 2, 1)
+    assert audio.decode(d.limit(0), ["pcm"], F.col("codec"), F.col("k0")).count() == 0
+
+
+def test_audio_query_is_brute_force_of_every_turn(spark, tmp_path):
+    rows = [(c, t, "user", x) for c, t, x in [(0, 0, "some words of it"), (1, 0, "ADPCM " * 60), (1, 1, ""), (2, 1, None), (None, 2, "n"), (0, 2, "é" * 200)]]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.turn): (r.codec, r.pcm and np.frombuffer(r.pcm, "<i2").tolist()) for r in QUERIES["op8_telephony_audio"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for c, t, _, x in rows:
+        kind = ("mulaw", "alaw", "ima_adpcm")[((c or 0) + (t or 0)) % 3]
+        p = None if x is None else x.encode()
+        want = None if p is None else brute_resample({"mulaw": audio.MULAW, "alaw": audio.ALAW}[kind][list(p)] if kind != "ima_adpcm" else np.array(brute_adpcm(p, 256)), 2, 1)
+        assert got[c, t][0] == kind and (got[c, t][1] or None) == (want or None)
 
 
 # --- all ---------------------------------------------------------------------
