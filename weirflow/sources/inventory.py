@@ -27,6 +27,11 @@ def language(path: Column) -> Column:
     return c
 
 
+def text(content: str = "content") -> Column:
+    """Bytes as text; what isn't UTF-8 is replaced, as any tree has files that aren't text."""
+    return F.make_valid_utf8(F.col(content).cast("string"))
+
+
 def target(path: str) -> tuple[str, str | None]:
     """(root, file): a file is scanned alone, below the folder that it is in."""
     p = Path(path)
@@ -50,4 +55,5 @@ def coverage(files: DataFrame, converted: DataFrame) -> DataFrame:
     done = converted.select("path", F.col("error").isNull().alias("ok")).distinct()
     j = files.where("lang IS NOT NULL").join(done, "path", "left")
     ok = F.coalesce(F.col("ok"), F.lit(False))
-    return j.groupBy("lang").agg(F.count("*").alias("files"), F.count(F.when(ok, 1)).alias("converted"), F.count(F.when(~ok, 1)).alias("failed"))
+    more = [F.sum(c).alias(n) for c, n in (("size", "bytes"), ("lines", "lines")) if c in files.columns]
+    return j.groupBy("lang").agg(F.count("*").alias("files"), F.count(F.when(ok, 1)).alias("converted"), F.count(F.when(~ok, 1)).alias("failed"), *more)
