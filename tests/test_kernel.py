@@ -30,6 +30,11 @@ class Build:
         return Kernel(self.f, build([RULE | rule])[0], list(facts)).run()
 
 
+def origins(k):
+    """The facts that go out with their origins, without the way."""
+    return {fact: origin for fact, (origin, _) in k.out.items()}
+
+
 def call(callee, *args, name=None, **k):
     return {"op": "CALL", "callee": callee, "args": list(args), "name": name, **k}
 
@@ -96,12 +101,12 @@ def test_fields_and_containers():
 
 
 def test_globals_params_returns_memory():
-    assert line(SRC(), op("STORE", ["global", "G"], reg("a"))).run().out == {("global", "", "G"): "i1"}
+    assert origins(line(SRC(), op("STORE", ["global", "G"], reg("a"))).run()) == {("global", "", "G"): "i1"}
     b = line(op("LOAD", ["global", "G"], name="x"), call("sink", reg("x"), id="S"))
-    assert b.run([("global", "G", "o")]).findings == [{"sink": "S", "callee": "sink", "origin": "o", "confidence": "medium"}]
+    assert b.run([("global", "G", "o")]).findings == [{"sink": "S", "callee": "sink", "origin": "o", "confidence": "medium", "steps": ["o", "i1", "S"]}]
     assert not hits(b)
-    assert line(op("RET", reg("p")), params=["p"]).run([("param", "0", "o")]).out == {("ret", "", ""): "o"}
-    assert line(SRC(), op("FIELD_ADDR", reg("p"), name="f", field_index=0), op("STORE", reg("f"), reg("a")), params=["p"]).run().out == {("mem", "", "0"): "i1"}
+    assert origins(line(op("RET", reg("p")), params=["p"]).run([("param", "0", "o")])) == {("ret", "", ""): "o"}
+    assert origins(line(SRC(), op("FIELD_ADDR", reg("p"), name="f", field_index=0), op("STORE", reg("f"), reg("a")), params=["p"]).run()) == {("mem", "", "0"): "i1"}
     assert hits(line(call("g", reg("x"), targets=["g"]), call("sink", reg("x"), id="S")), [("mem", "g#0", "o")]) == ["S"]
 
 
@@ -114,7 +119,7 @@ def test_wrappers_in_dependencies():
     b = line(call("sink", reg("p"), id="S"), params=["p"])
     b.f["is_target"] = False
     k = b.run([("param", "0", "o")])
-    assert not k.findings and k.out == {("sink", "", "0"): "S"}
+    assert not k.findings and origins(k) == {("sink", "", "0"): "S"}
     assert hits(line(SRC(), call("g", reg("a"), targets=["g"], id="C")), [("sink", "g#0", "S")]) == ["C"]
     assert not hits(line(SRC(), call("g", const("x"), targets=["g"])), [("sink", "g#0", "S")])
 
@@ -144,15 +149,15 @@ def test_dynamic_hosts():
 def test_callbacks():
     b = line(call("", reg("x"), recv=reg("f")), params=["f", "x"])
     facts = [("param", "1", "o"), ("func", "0", "g")]
-    assert b.run(facts).out == {("param", "g", "0"): "o"}
+    assert origins(b.run(facts)) == {("param", "g", "0"): "o"}
     assert not b.run([*facts, ("func", "0", "h")]).out
     assert not b.run([*facts, ("opaque", "0", "?")]).out
     k = line(call("g", ["func", "h"], reg("y"), targets=["g"], passes_on=True)).run()
-    assert k.out == {("func", "g", "0", "h"): "h", ("opaque", "g", "1"): "?"}
+    assert origins(k) == {("func", "g", "0", "h"): "h", ("opaque", "g", "1"): "?"}
 
 
 def test_closures_maps_and_inert_operations():
-    assert line(SRC(), op("INTRINSIC", ["func", "g"], reg("a"), name="c", intrinsic="builtin.make_closure", n_params=3)).run().out == {("param", "g", "2"): "i1"}
+    assert origins(line(SRC(), op("INTRINSIC", ["func", "g"], reg("a"), name="c", intrinsic="builtin.make_closure", n_params=3)).run()) == {("param", "g", "2"): "i1"}
     assert hits(line(SRC(), op("INTRINSIC", reg("m"), const("k"), reg("a"), intrinsic="go.map.update"), call("sink", reg("m"), id="S"))) == ["S"]
     assert not hits(line(SRC(), op("INTRINSIC", reg("a"), const("k"), name="b", intrinsic="builtin.compare"), call("sink", reg("b"))))
 
@@ -160,3 +165,23 @@ def test_closures_maps_and_inert_operations():
 def test_untyped_calls_need_one_target():
     assert not line(SRC(), call("x", reg("a"), targets=["g", "h"], untyped=True)).run().out
     assert len(line(SRC(), call("x", reg("a"), targets=["g", "h"])).run().out) == 2
+
+
+def test_steps_from_source_to_sink():
+    (f,) = line(SRC(), op("BIN_OP", reg("a"), name="b"), op("CONVERT", reg("b"), name="c"), call("sink", reg("c"))).run().findings
+    assert f["steps"] == ["i1", "i2", "i3", "i4"]
+    b = line(call("sink", reg("q")), call("g", reg("q"), targets=["g"]), params=["p", "q"])
+    k = b.run([("param", "1", "o", "o\nway")])
+    assert k.findings[0]["steps"] == ["o", "way", "i1"] and k.out["param", "g", "0"] == ("o", "o\nway\ni2")
+    (f,) = line(call("g", reg("x"), name="r", targets=["g"]), call("sink", reg("r"))).run([("ret", "g", "o", "o\nback")]).findings
+    assert f["steps"] == ["o", "back", "i1", "i2"]
+    loop = Build().block(0, [], [1], SRC()).block(1, [0, 1], [1, 2], op("PHI", reg("a"), reg("w"), name="v"), op("BIN_OP", reg("v"), name="w")).block(2, [1], [], call("sink", reg("w")))
+    assert loop.run().findings[0]["steps"] == ["i1", "i2", "i3", "i4"]
+
+
+def test_further_arguments_go_to_the_last_parameter():
+    b = line(call("sink", reg("rest")), params=["p", "rest"])
+    b.f["rest"] = 1
+    assert len(b.run([("param", "4", "o")]).findings) == 1 and not b.run([("param", "0", "o")]).findings
+    b.f["rest"] = None
+    assert not b.run([("param", "4", "o")]).findings

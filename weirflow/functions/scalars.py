@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import pandas as pd
@@ -38,6 +39,109 @@ def position(file: Column, line: Column, col: Column) -> Column:
     return F.when(known, F.concat_ws(":", file, line.cast("string"), col.cast("string"))).otherwise("<unknown>")
 
 
+def verdict(reply: str) -> str | None:
+    """What a reviewer's reply says: the ``verdict`` of the outermost JSON object in it, or None."""
+    start, end = reply.find("{"), reply.rfind("}")
+    try:
+        said = json.loads(reply[start : end + 1]) if 0 <= start < end else None
+    except ValueError:
+        return None
+    return str(said.get("verdict", "")) if isinstance(said, dict) else None
+
+
+def false_positive(reply: Column) -> Column:
+    """The same for a column: whether a reply drops its finding. Only the exact word does."""
+    body = F.regexp_extract(reply, r"(?s)(\{.*\})", 1)
+    said = F.lower(F.trim(F.get_json_object(body, "$.verdict")))
+    return F.coalesce(said.isin("false_positive", "false-positive"), F.lit(False))
+
+
+def plain_name(path: Column) -> Column:
+    """A path without its groups in angle brackets, however deep, and without the separators that they leave."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+
+    def step(a: Column, c: Column) -> Column:
+        depth = F.when(c == "<", a["depth"] + 1).when(c == ">", F.greatest(a["depth"] - 1, F.lit(0))).otherwise(a["depth"])
+        keep = (a["depth"] == 0) & (c != "<") & (c != ">")
+        return F.struct(depth.alias("depth"), F.when(keep, F.concat(a["out"], c)).otherwise(a["out"]).alias("out"))
+
+    nested = F.aggregate(F.split(path, ""), start, step, lambda a: a["out"])
+    bare = F.when(path.rlike("[<>]"), nested).otherwise(path)
+    return F.regexp_replace(F.trim(F.regexp_replace(bare, ":{2,}", "::")), "^:+|:+$", "")
+
+
+def line_and_column(text: Column, offset: Column) -> tuple[Column, Column]:
+    """Line and column, both from 1, of a byte of a text, counted from 0. A line ends with CR, LF or both."""
+    raw = F.encode(text, "UTF-8")
+    # between CR and LF a line hasn't ended yet
+    torn = (F.hex(F.substring(raw, offset, F.lit(2))) == "0D0A") & (offset > 0)
+    before = F.decode(F.substring(raw, F.lit(1), offset - F.when(torn, 1).otherwise(0)), "ISO-8859-1")  # a character for each byte
+    ends = F.size(F.regexp_extract_all(before, F.lit("\r\n|\r|\n"), F.lit(0)))
+    return (ends + 1).cast("long"), (offset - F.length(F.regexp_extract(before, "(?s)^(.*[\r\n])", 1)) + 1).cast("long")
+
+
+def descriptor_params(descriptor: Column) -> Column:
+    """Parameter types of a JVM method descriptor, as written."""
+    body = F.regexp_extract(F.regexp_extract(descriptor, r"\(([^)]*)\)", 1), r"^((?:\[*(?:L[^;]*;|[^L\[]))*)", 1)  # as far as it is well formed
+    return F.regexp_extract_all(body, F.lit(r"\[*(?:L[^;]*;|[^L\[])"), F.lit(0))
+
+
+def slot_width(param: Column) -> Column:
+    """Local variables that a parameter takes: long and double take two."""
+    return F.when(param.isin("J", "D"), 2).otherwise(1)
+
+
+def humanised(n: Column) -> Column:
+    """Bytes for a reader, cut to one decimal."""
+    c = F.concat(n.cast("long").cast("string"), F.lit(" B"))
+    for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
+        c = F.when(n >= 1 << 10 * k, F.concat(F.format_string("%.1f", F.floor(n * 10 / (1 << 10 * k)) / 10), F.lit(f" {unit}"))).otherwise(c)
+    return c
+
+
+def first_sentence(text: Column) -> Column:
+    """Up to the first full stop that ends a sentence."""
+    end = r"(?s)^(.*?[.!?])(?:\s|\z)"
+    return F.when(text.rlike(end), F.regexp_extract(text, end, 1)).otherwise(text)
+
+
+def rust_format(token: str) -> str | None:
+    """The text of a compiled format template, {} for each argument: bytes below 0x80 are the length of a literal that
+    follows, 0xC0 is an argument, and what follows any other byte is unknown."""
+    m = re.fullmatch(r'\s*(?:const\s+)?b"(.*)"[^"]*', token, re.S)
+    plain = {"n": b"\n", "t": b"\t", "r": b"\r", "0": b"\0", "\\": b"\\", '"': b'"', "'": b"'"}
+    if not m:
+        return None
+    raw, body, at = bytearray(), m.group(1), 0
+    while at < len(body):
+        if body[at] != "\\":
+            raw += body[at].encode()
+            at += 1
+        elif re.match(r"x[0-9a-fA-F]{2}", body[at + 1 :]):
+            raw.append(int(body[at + 2 : at + 4], 16))
+            at += 4
+        elif body[at + 1 : at + 2] in plain and at + 1 < len(body):
+            raw += plain[body[at + 1]]
+            at += 2
+        else:
+            return None
+    out, at = bytearray(), 0
+    while at < len(raw):
+        b, at = raw[at], at + 1
+        if b < 0x80:
+            if at + b > len(raw):
+                return None
+            out += raw[at : at + b]
+            at += b
+        else:
+            out += b"{}"
+            at = at if b == 0xC0 else len(raw)
+    try:
+        return out.decode()
+    except UnicodeDecodeError:
+        return None
+
+
 def trailing_name(c: Column) -> Column:
     return F.regexp_extract(c, r"([^.:]*)$", 1)
 

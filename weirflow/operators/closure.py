@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,19 +47,34 @@ def summaries(instr: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fn, seqs, ks, opnds, callees = (b.column(c).to_pylist() for c in ("fn", "seqs", "ks", "opnds", "callees"))
-            out = []
-            for f, sq, k, op, ca in zip(fn, seqs, ks, opnds, callees):
-                for entry in (False, True):
-                    hot = {0} if entry else {s for s, x in zip(sq, k) if x == 0}
-                    for s, x, o in zip(sq, k, op):
-                        if x not in (0, 3) and o in hot:
-                            hot.add(s)
-                    if hot:
-                        calls = sorted({c for x, o, c in zip(k, op, ca) if 4 <= x <= 7 and o in hot})
-                        out.append((f, entry, sorted(hot), calls, [s for s, x, o in zip(sq, k, op) if x in (1, 2) and s in hot and o in hot]))
-            cols = list(zip(*out)) or [[]] * 5
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.bool_(), *[pa.list_(pa.int64())] * 3))], ["fn", "from_entry", "keys", "callees", "sinks"])
+            if not b.num_rows:
+                continue
+            first = np.concatenate([[0], np.cumsum(b.column("seqs").value_lengths().to_numpy())])
+            seq, k, opnd, callee = (b.column(c).flatten().to_numpy() for c in ("seqs", "ks", "opnds", "callees"))
+            n = len(seq)
+            row = np.repeat(np.arange(b.num_rows), np.diff(first))
+            # an instruction points to the one of its operand, or to n, the parameter, or to n + 1, nothing known;
+            # sources and sanitizers end a chain, and chains are followed by doubling
+            at = np.searchsorted(row * (1 << 32) + seq, row * (1 << 32) + opnd) if n else row
+            at = np.minimum(at, n - 1)
+            at = np.where(opnd == 0, n, np.where((seq[at] == opnd) & (row[at] == row), at, n + 1))
+            end = np.append(np.where((k == 0) | (k == 3), np.arange(n), at), [n, n + 1])
+            while (end[end] != end).any():
+                end = end[end]
+            ends = [np.append(k == 0, [False, False])[end], end == n]
+            for entry, hot in zip((False, True), ends):
+                fed = hot[at]  # the operand is hot
+                keys = np.flatnonzero(hot[:n])
+                call = np.flatnonzero((k >= 4) & (k <= 7) & fed)
+                sink = np.flatnonzero(((k == 1) | (k == 2)) & hot[:n])
+                u = np.unique(np.stack([row[call], callee[call]], 1), axis=0)
+                of = np.arange(b.num_rows) if entry else np.unique(row[keys])
+                key_row, key = row[keys], seq[keys]
+                if entry:  # the parameter itself
+                    o = np.argsort(np.concatenate([of, key_row]), kind="stable")
+                    key_row, key = np.concatenate([of, key_row])[o], np.concatenate([np.zeros(len(of), np.int64), key])[o]
+                lists = [pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(r, of), len(r)), pa.int32()), pa.array(v, pa.int64())) for r, v in ((key_row, key), (u[:, 0], u[:, 1]), (row[sink], seq[sink]))]
+                yield pa.record_batch([b.column("fn").take(pa.array(of)), pa.array(np.full(len(of), entry)), *lists], ["fn", "from_entry", "keys", "callees", "sinks"])
 
     rows = F.sort_array(F.collect_list(F.struct("seq", "k", "opnd", "callee_fn")))
     g = instr.groupBy("fn").agg(rows.alias("r")).select("fn", F.col("r.seq").alias("seqs"), F.col("r.k").alias("ks"), F.col("r.opnd").alias("opnds"), F.col("r.callee_fn").alias("callees"))
@@ -83,6 +99,11 @@ def tainted(instr: DataFrame, functions: DataFrame, scope: DataFrame | None = No
     return own.unionByName(via).unionByName(bare).distinct()
 
 
+def at(instr: DataFrame, tainted: DataFrame, kinds: str) -> DataFrame:
+    """Instructions of the kinds whose operand is tainted."""
+    return instr.where(kinds).join(tainted.select("fn", F.col("key").alias("opnd")), ["fn", "opnd"], "left_semi")
+
+
 def entered_functions(instr: DataFrame, functions: DataFrame, roots: DataFrame) -> DataFrame:
     """Functions that roots reach over resolved calls, roots included."""
     edges = instr.where("k BETWEEN 4 AND 7").select("fn", F.col("callee_fn").alias("n_fn")).distinct().join(functions.select(F.col("fn").alias("n_fn")), "n_fn", "left_semi")
@@ -128,20 +149,29 @@ def dominators(blocks: DataFrame) -> DataFrame:
     """(fn, block, dom): the blocks that every path from the entry to a block passes, of the blocks that are reached.
     blocks: (fn, block, succs array<long>, entry boolean). A function's graph is small and is one row."""
 
+    def pairs(at: tuple, succs: tuple, entry: int) -> tuple[list[int], list[int]]:
+        dom = _dominator_sets(dict(zip(at, succs)), entry)
+        order = list(dom)
+        own = [(n, m) for n, bits in dom.items() for k, m in enumerate(order) if bits >> k & 1]
+        return [n for n, _ in own], [m for _, m in own]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, tuple[list[int], list[int]]] = {}  # small graphs are alike
         for b in batches:
             fns, nodes, doms = [], [], []
             for f, at, succs, entry in zip(*(b.column(c).to_pylist() for c in ("fn", "nodes", "succs", "entry"))):
-                dom = _dominator_sets(dict(zip(at, succs)), entry)
-                order = list(dom)
-                for n, bits in dom.items():
-                    own = [m for k, m in enumerate(order) if bits >> k & 1]
-                    fns += [f] * len(own)
-                    nodes += [n] * len(own)
-                    doms += own
+                graph = (tuple(at), tuple(map(tuple, succs)), entry)
+                if graph not in known:
+                    if len(known) >= 1 << 14:
+                        known.clear()
+                    known[graph] = pairs(*graph)
+                n, m = known[graph]
+                fns += [f] * len(n)
+                nodes += n
+                doms += m
             yield pa.record_batch([pa.array(c, pa.int64()) for c in (fns, nodes, doms)], ["fn", "block", "dom"])
 
-    g = blocks.groupBy("fn").agg(F.collect_list(F.struct("block", "succs")).alias("r"), F.min(F.when(F.col("entry"), F.col("block"))).alias("entry"))
+    g = blocks.groupBy("fn").agg(F.sort_array(F.collect_list(F.struct("block", "succs"))).alias("r"), F.min(F.when(F.col("entry"), F.col("block"))).alias("entry"))
     return g.select("fn", F.col("r.block").alias("nodes"), F.col("r.succs").alias("succs"), "entry").mapInArrow(run, "fn long, block long, dom long")
 
 

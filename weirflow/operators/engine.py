@@ -26,13 +26,14 @@ from pyspark.sql import functions as F
 
 from weirflow.functions.globs import matches
 from weirflow.functions.guards import Arg, Guard
+from weirflow.operators import names
 from weirflow.operators.kernel import Kernel
 from weirflow.rules import Rule
 from weirflow.session import cut
 
 #: A function of the program: body is JSON of what the kernel reads; calls, reads and indirect are what rounds join on.
 FUNCTION = "fn string, method_name string, lang string, is_target boolean, body string, calls array<struct<id:string,callee:string,method_name:string,untyped:boolean>>, reads array<string>, indirect boolean"
-_OUT = "rule_id string, fn string, kind string, to string, key string, origin string, callee string, confidence string"
+_OUT = "rule_id string, fn string, kind string, to string, key string, origin string, path string, callee string, confidence string"
 
 
 def resolved(functions: DataFrame) -> DataFrame:
@@ -42,19 +43,21 @@ def resolved(functions: DataFrame) -> DataFrame:
     keys = functions.select(F.col("fn").alias("target"), "method_name", "lang")
     exact = calls.join(keys.select("target"), calls["callee"] == keys["target"]).select("fn", "id", "target")
     rest = calls.join(exact.select("id"), "id", "left_anti")
-    name = F.substring_index("target", ":", -1)
-    parts = F.split(name, "\\.")
-    tails = keys.where(F.size(parts) > 1).select("target", F.substring_index("target", ":", 1).alias("p"), F.explode(F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))).alias("tail"))
-    one = tails.where(F.col("tail").contains(".")).groupBy(F.concat_ws(":", "p", "tail").alias("callee")).agg(F.min("target").alias("target"), F.count("*").alias("n")).where("n = 1")
+    scope = lambda c: F.substring_index(c, ":", 1).alias("scope")
+    path = lambda c: F.translate(F.substring_index(c, ":", -1), "/", ".").alias("path")
+    one = names.import_targets(keys.select("target", scope("target"), path("target")), rest.select("callee", scope("callee"), path("callee")))
     tail = rest.join(one, "callee").select("fn", "id", "target")
     rest = rest.join(tail.select("id"), "id", "left_anti").where("method_name <> ''")
-    impl = keys.where("method_name <> ''").groupBy("method_name").agg(F.collect_list("target").alias("targets"))
-    cha = rest.join(impl, "method_name").where("NOT untyped OR size(targets) = 1").select("fn", "id", F.explode("targets").alias("target"))
-    return exact.unionByName(tail).unionByName(cha).distinct()
+    named = keys.where("method_name <> ''").select("method_name", "target")
+    only = named.groupBy("method_name").agg(F.min("target").alias("target"), F.count("*").alias("n")).where("n = 1").drop("n")
+    typed, untyped = rest.where("NOT untyped").join(named, "method_name"), rest.where("untyped").join(only, "method_name")
+    every = [d.select("fn", "id", "target") for d in (exact, tail, typed, untyped)]
+    return every[0].unionByName(every[1]).unionByName(every[2]).unionByName(every[3]).distinct()
 
 
 def analyze(functions: DataFrame, rules: list[Rule], scope: DataFrame | None = None) -> DataFrame:
-    """(rule_id, fn, sink, callee, origin, confidence, severity, cwe, message), one for each rule and sink.
+    """(rule_id, fn, sink, callee, origin, steps, confidence, severity, cwe, message), one for each rule and sink; steps are
+    the places from the origin to the sink.
 
     scope: (fn) to which seeding is limited; what it reaches is followed everywhere."""
     spark = functions.sparkSession
@@ -68,49 +71,59 @@ def analyze(functions: DataFrame, rules: list[Rule], scope: DataFrame | None = N
     readers = cut(functions.select("fn", F.explode("reads").alias("key")).distinct())
 
     def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        having: dict[str, list[int]] = {}  # the rules that a name is a source of: a name is tested once a task
         for b in batches:
             out = []
             for fn, lang, body in zip(*(b.column(c).to_pylist() for c in ("fn", "lang", "body"))):
                 f = json.loads(body)
-                names = {i.get("callee") for x in f["blocks"] for i in x["instrs"] if i.get("callee")} | set(f.get("seeds", {}).values())
-                out += [(r.id, fn) for r in sent.value if r.speaks(lang) and any(r.is_("sources", n) for n in names)]
+                hit: set[int] = set()
+                for n in {i.get("callee") for x in f["blocks"] for i in x["instrs"] if i.get("callee")} | set(f.get("seeds", {}).values()):
+                    if n not in having:
+                        having[n] = [k for k, r in enumerate(sent.value) if r.is_("sources", n)]
+                    hit.update(having[n])
+                out += [(sent.value[k].id, fn) for k in sorted(hit) if sent.value[k].speaks(lang)]
             yield pa.record_batch([pa.array([o[k] for o in out], pa.string()) for k in (0, 1)], ["rule_id", "fn"])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = {r.id: r for r in sent.value}
         for b in batches:
-            out = []
+            out, parsed, f = [], None, {}
             for row in b.to_pylist():
-                f = json.loads(row["body"])
-                f |= {"key": row["fn"], "is_target": row["is_target"]}
-                at: dict[str, list[str]] = {}
-                for t in row["targets"] or []:
-                    at.setdefault(t["id"], []).append(t["target"])
-                for x in f["blocks"]:
-                    for i in x["instrs"]:
-                        if i.get("id") in at:
-                            i["targets"] = sorted(at[i["id"]])
-                        i["passes_on"] = i.get("id") in (row["passes"] or [])
-                k = Kernel(f, by[row["rule_id"]], [(x["kind"], x["key"], x["origin"]) for x in row["facts"] or []]).run()
-                out += [(row["rule_id"], row["fn"], "finding", "", x["sink"], x["origin"], x["callee"], x["confidence"]) for x in k.findings]
-                out += [(row["rule_id"], row["fn"], kind, to, key, o, "", "") for (kind, to, key, *_), o in k.out.items()]
-            yield pa.record_batch([pa.array([o[c] for o in out], pa.string()) for c in range(8)], ["rule_id", "fn", "kind", "to", "key", "origin", "callee", "confidence"])
+                if row["fn"] != parsed:  # the rules of a function come one after another
+                    parsed, f = row["fn"], prepared(row)
+                k = Kernel(f, by[row["rule_id"]], [(x["kind"], x["key"], x["origin"], x["path"]) for x in row["facts"] or []]).run()
+                out += [(row["rule_id"], row["fn"], "finding", "", x["sink"], x["origin"], "\n".join(x["steps"]), x["callee"], x["confidence"]) for x in k.findings]
+                out += [(row["rule_id"], row["fn"], kind, to, key, o, path, "", "") for (kind, to, key, *_), (o, path) in k.out.items()]
+            yield pa.record_batch([pa.array([o[c] for o in out], pa.string()) for c in range(9)], ["rule_id", "fn", "kind", "to", "key", "origin", "path", "callee", "confidence"])
+
+    def prepared(row: dict) -> dict:
+        f = json.loads(row["body"]) | {"key": row["fn"], "is_target": row["is_target"]}
+        at: dict[str, list[str]] = {}
+        for t in row["targets"] or []:
+            at.setdefault(t["id"], []).append(t["target"])
+        passes = set(row["passes"] or [])
+        for x in f["blocks"]:
+            for i in x["instrs"]:
+                if i.get("id") in at:
+                    i["targets"] = sorted(at[i["id"]])
+                i["passes_on"] = i.get("id") in passes
+        return f
 
     frontier = bodies.select("fn", "lang", "body").mapInArrow(seeded, "rule_id string, fn string")
     frontier = cut(frontier.join(scope, "fn", "left_semi") if scope is not None else frontier)
-    facts = spark.createDataFrame([], "rule_id string, fn string, kind string, key string, origin string")
+    facts = spark.createDataFrame([], "rule_id string, fn string, kind string, key string, origin string, path string")
     found, round_ = [], 0
     identity = ["rule_id", "fn", "kind", "key"]
     while not frontier.isEmpty():
-        known = facts.join(frontier, ["rule_id", "fn"], "left_semi").groupBy("rule_id", "fn").agg(F.collect_list(F.struct("kind", "key", "origin")).alias("facts"))
-        out = cut(frontier.join(bodies, "fn").join(known, ["rule_id", "fn"], "left").mapInArrow(step, _OUT))
+        known = facts.join(frontier, ["rule_id", "fn"], "left_semi").groupBy("rule_id", "fn").agg(F.collect_list(F.struct("kind", "key", "origin", "path")).alias("facts"))
+        out = cut(frontier.join(known, ["rule_id", "fn"], "left").join(bodies, "fn").sortWithinPartitions("fn").mapInArrow(step, _OUT))
         found.append(out.where("kind = 'finding'").withColumn("round", F.lit(round_)))
-        direct = out.where("kind IN ('param', 'func', 'opaque')").select("rule_id", F.col("to").alias("fn"), "kind", "key", "origin")
+        direct = out.where("kind IN ('param', 'func', 'opaque')").select("rule_id", F.col("to").alias("fn"), "kind", "key", "origin", "path")
         up = out.where("kind IN ('ret', 'mem', 'sink')").withColumnRenamed("fn", "src").join(callers, "src")
-        up = up.select("rule_id", "fn", "kind", F.when(F.col("kind") == "ret", F.col("src")).otherwise(F.concat_ws("#", "src", "key")).alias("key"), "origin")
-        wide = out.where("kind = 'global'").drop("fn").join(readers, "key").select("rule_id", "fn", "kind", "key", "origin")
+        up = up.select("rule_id", "fn", "kind", F.when(F.col("kind") == "ret", F.col("src")).otherwise(F.concat_ws("#", "src", "key")).alias("key"), "origin", "path")
+        wide = out.where("kind = 'global'").drop("fn").join(readers, "key").select("rule_id", "fn", "kind", "key", "origin", "path")
         # a parameter may hold several functions, all else has one origin
-        new = direct.unionByName(up).unionByName(wide).groupBy(*identity, F.when(F.col("kind") == "func", F.col("origin")).alias("_each")).agg(F.min("origin").alias("origin")).drop("_each")
+        new = direct.unionByName(up).unionByName(wide).groupBy(*identity, F.when(F.col("kind") == "func", F.col("origin")).alias("_each")).agg(F.min(F.struct("origin", "path")).alias("m")).select(*identity, "m.*")
         old = facts.select(*identity, F.when(F.col("kind") == "func", F.col("origin")).alias("_o"))
         new = new.withColumn("_o", F.when(F.col("kind") == "func", F.col("origin")))
         new = cut(new.join(old, [new[c].eqNullSafe(old[c]) for c in (*identity, "_o")], "left_anti").drop("_o"))
@@ -121,12 +134,26 @@ def analyze(functions: DataFrame, rules: list[Rule], scope: DataFrame | None = N
         round_ += 1
     rows = spark.createDataFrame([(r.id, r.severity, r.cwe, r.message, r.confidence) for r in taint], "rule_id string, severity string, cwe string, message string, _most string")
     if not found:
-        return spark.createDataFrame([], "rule_id string, fn string, sink string, callee string, origin string, confidence string, severity string, cwe string, message string")
+        return spark.createDataFrame([], "rule_id string, fn string, sink string, callee string, origin string, steps array<string>, confidence string, severity string, cwe string, message string")
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
-    first = every.groupBy("rule_id", F.col("key").alias("sink")).agg(F.min(F.struct("round", "origin", "fn", "callee", "confidence")).alias("m"))
-    return first.join(F.broadcast(rows), "rule_id").select("rule_id", "m.fn", "sink", "m.callee", "m.origin", F.when(F.col("_most") == "low", "low").otherwise(F.col("m.confidence")).alias("confidence"), "severity", "cwe", "message")
+    first = every.groupBy("rule_id", F.col("key").alias("sink")).agg(F.min(F.struct("round", "origin", "fn", "callee", "confidence", "path")).alias("m"))
+    return first.join(F.broadcast(rows), "rule_id").select("rule_id", "m.fn", "sink", "m.callee", "m.origin", F.split("m.path", "\n").alias("steps"), F.when(F.col("_most") == "low", "low").otherwise(F.col("m.confidence")).alias("confidence"), "severity", "cwe", "message")
+
+
+def constants(functions: DataFrame) -> DataFrame:
+    """(fn, lang, at, text) of the string constants of functions; ``at`` is the instruction that has it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for fn, lang, body in zip(*(b.column(c).to_pylist() for c in ("fn", "lang", "body"))):
+                for i in (i for x in json.loads(body)["blocks"] for i in x["instrs"] if i.get("id")):
+                    out += [(fn, lang, i["id"], v[1]) for v in [*i.get("operands", []), *i.get("args", [])] if v[0] == "const" and isinstance(v[1], str)]
+            yield pa.record_batch([pa.array([o[c] for o in out], pa.string()) for c in range(4)], ["fn", "lang", "at", "text"])
+
+    return functions.select("fn", "lang", "body").mapInArrow(run, "fn string, lang string, at string, text string")
 
 
 def dangerous(functions: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -137,18 +164,22 @@ def dangerous(functions: DataFrame, rules: list[Rule]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
 
+        banning: dict[str, list[int]] = {}  # the rules that a name is banned by: a name is tested once a task
         for b in batches:
             out = []
             for fn, lang, body in zip(*(b.column(c).to_pylist() for c in ("fn", "lang", "body"))):
                 f = json.loads(body) | {"key": fn}
-                for r in sent.value:
-                    if not r.speaks(lang):
-                        continue
-                    k = Kernel(f, r, [])
-                    for x in f["blocks"]:
-                        for i in x["instrs"]:
-                            if not i.get("callee") or not any(matches(i["callee"], c) for c in r.callees):
-                                continue
+                sites: dict[int, list[dict]] = {}
+                for i in (i for x in f["blocks"] for i in x["instrs"] if i.get("callee")):
+                    if i["callee"] not in banning:
+                        banning[i["callee"]] = [n for n, r in enumerate(sent.value) if any(matches(i["callee"], c) for c in r.callees)]
+                    for n in banning[i["callee"]]:
+                        sites.setdefault(n, []).append(i)
+                for n, calls in sorted(sites.items()):
+                    r = sent.value[n]
+                    if r.speaks(lang):
+                        k = Kernel(f, r, [])
+                        for i in calls:
                             args = i.get("args", [])
                             args = args[1:] if not i.get("is_invoke") and i.get("method_name") and not i.get("recv") else args
                             seen: list[Arg] = [k.arg(v, {}, [256]) for v in args]

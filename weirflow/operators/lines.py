@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: (rule, severity, expression) in the syntax that Java, RE2 and Python share.
 SECRETS = [
@@ -30,6 +33,49 @@ def secrets(lines: DataFrame, keys: list[str]) -> DataFrame:
     return lines.where(lead).select(*keys, "line", F.explode(F.filter(hits, lambda h: h["match"] != "")).alias("h")).select(*keys, "line", "h.*")
 
 
+def matching(texts: DataFrame, keys: list[str], rules: list[tuple[str, str]], text: str = "text") -> DataFrame:
+    """(keys, line, rule_id): lines that a rule's expression matches. A text in which none does isn't cut into lines."""
+    schema = ", ".join(f"{k} {t}" for k, t in texts.select(*keys).dtypes) + ", line long, rule_id string"
+    if not rules:
+        return texts.sparkSession.createDataFrame([], schema)
+    holds = F.lit(False)
+    for _, x in rules:
+        holds = holds | F.col(text).rlike(x)
+    hits = F.filter(F.array(*[F.when(F.col("text").rlike(x), F.lit(r)) for r, x in rules]), lambda h: h.isNotNull())
+    return numbered(texts.where(holds), keys, text).select(*keys, "line", F.explode(hits).alias("rule_id"))
+
+
+def grep(texts: DataFrame, key: str, text: str, pattern: str, most: int = 50, cap: int = 8000) -> DataFrame:
+    """(key, line, hit): the first lines that match, ``most`` of them, and no further one after ``cap`` bytes."""
+    hits = numbered(texts.where(F.col(text).rlike(pattern)), [key], text).where(F.col("text").rlike(pattern))
+    first = hits.select(key, "line", F.trim(F.col("text"), F.lit(" \t\r")).alias("hit")).orderBy(key, "line").limit(most)
+    before = F.sum(F.octet_length("hit")).over(Window.orderBy(key, "line")) - F.octet_length("hit")  # ``most`` rows
+    return first.withColumn("_before", before).where(F.col("_before") <= cap).drop("_before")
+
+
+def raw_outputs(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys, callee, expression, line) of what components (``component_sinks``) and ERB templates put into a page raw."""
+    names = [f"k{i}" for i in range(len(keys))]
+    kinds = dict(texts.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, found = [], []
+            for r, t in enumerate(b.column("text").to_pylist()):
+                own = component_sinks(t or "") + erb_outputs(t or "")
+                at += [r] * len(own)
+                found += own
+            cols = zip(*found) if found else ([], [], [])
+            yield pa.record_batch([*(b.column(n).take(pa.array(at, pa.int64())) for n in names), *(pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int64())))], [*names, "callee", "expression", "line"])
+
+    given = texts.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(text).alias("text")).where(F.col("text").rlike(r"v-html|:(href|src)\s*=|\{@html|<%=="))
+    return given.mapInArrow(run, ", ".join(f"{n} {kinds[k]}" for n, k in zip(names, keys)) + ", callee string, expression string, line long").toDF(*keys, "callee", "expression", "line")
+
+
+def erb_outputs(text: str) -> list[tuple[str, str, int]]:
+    return [("erb_raw", m.group(1).strip(), text.count("\n", 0, m.start()) + 1) for m in re.finditer(r"<%==(.*?)-?%>", text, re.S)]
+
+
 def exempt(path):
     """Vendored code, fixtures, translations and schemas hold no secrets of one's own."""
     return path.rlike(_EXEMPT)

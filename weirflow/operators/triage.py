@@ -69,6 +69,12 @@ def in_order(findings: DataFrame) -> list[Column]:
     return [severity_rank(F.col("severity")).desc(), *known, F.asc("ord")]
 
 
+def rule_rows(findings: DataFrame) -> DataFrame:
+    """(rule_id, n, worst, place): rules by worst severity, number of findings and id."""
+    g = findings.groupBy("rule_id").agg(F.count("*").alias("n"), F.max(severity_rank(F.col("severity"))).cast("long").alias("worst"))
+    return g.withColumn("place", F.row_number().over(Window.orderBy(F.desc("worst"), F.desc("n"), "rule_id")))  # a row for each rule
+
+
 def gate(findings: DataFrame, threshold: str) -> DataFrame:
     """(active, failing): findings that aren't suppressed, and those at the threshold or above."""
     active = ~F.col("suppressed")

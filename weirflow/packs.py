@@ -21,7 +21,7 @@ PASSING = {
     "javascript": ["js:*.concat", "js:*.replace", "js:*.trim", "js:*.toString", "js:*.slice", "js:String", "js:path.join", "js:JSON.stringify"],
     "java": ["*String.format", "*String.concat", "*StringBuilder.append", "*StringBuilder.toString", "*String.trim", "*String.replace*"],
     "ruby": ["ruby:*.to_s", "ruby:*.strip", "ruby:*.gsub", "ruby:*.join", "ruby:format"],
-    "rust": ["rust:alloc::fmt::format*", "*::to_string", "*::to_owned", "*::as_str", "*::clone", "*::into"],
+    "rust": [*(f"rust:{m}" for m in ("nth", "next", "into_iter", "deref", "as_ref", "into", "from", "clone", "index", "to_string")), "*::unwrap", "*::expect", "*::unwrap_or_default", "rust:alloc::fmt::format*", "rust:*format", "*::to_string", "*::to_owned", "*::as_str", "*::clone", "*::into"],
     "c": ["c:strcpy", "c:strcat", "c:sprintf", "c:snprintf", "c:strdup", "c:memcpy"],
 }
 ALWAYS = ["builtin.append", "builtin.format", "builtin.identity"]
@@ -44,7 +44,7 @@ CLASSES: dict[str, tuple[str, str, str, dict[str, tuple[list, list, list]], str
         "javascript": (["js:child_process.exec#0", "js:child_process.execSync#0", "js:shelljs.exec#0"], ["js:shell-quote.quote"], []),
         "java": (["*Runtime.exec#0", "*ProcessBuilder.<init>#0"], [], []),
         "ruby": (["ruby:system#0", "ruby:exec#0", "ruby:Open3.*#0", "ruby:IO.popen#0"], ["ruby:Shellwords.escape", "ruby:Shellwords.shellescape"], []),
-        "rust": (["rust:std::process::Command::new#0", "rust:std::process::Command::arg#0"], [], []),
+        "rust": (["rust:*Command::new#0", "rust:*Command::arg#1"], [], []),
         "c": (["c:system#0", "c:popen#0", "c:execl*#0", "c:execv*#0"], [], []),
     }, None),
     "path-traversal": ("high", "CWE-22", "untrusted path", {

@@ -54,6 +54,7 @@ class Rule:
     const_arg: tuple[int, str] | None = None
     matches: str | None = None
     when: str | None = None
+    request_objects: list[str] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         self._seen: dict[tuple[str, str], bool] = {}
@@ -77,7 +78,7 @@ class Rule:
         return not self.languages or lang.lower() in {x.lower() for x in self.languages}
 
 
-_LISTS = ("languages", "sources", "sanitizers", "propagators", "validators", "callees")
+_LISTS = ("languages", "sources", "sanitizers", "propagators", "validators", "callees", "request_objects")
 
 
 def _merged(base: dict, own: dict) -> dict:
@@ -129,6 +130,11 @@ def check(rules: list[Rule]) -> None:
         missing = [n for n in need if not getattr(r, n)]
         if missing:
             raise RuleError(f"{r.id}: {', '.join(missing)} missing")
+        if r.matches is not None:
+            try:
+                re.compile(r.matches)
+            except re.error as e:
+                raise RuleError(f"{r.id}: matches {r.matches!r}: {e}") from e
         for g in [r.when, *[s.when for s in r.sinks]]:
             if g and Guard(g).error:
                 raise RuleError(f"{r.id}: guard {g!r}: {Guard(g).error}")
