@@ -7,5 +7,5 @@ from functools import cache
 def register() -> None:
     from importlib import import_module
 
-    for m in ("match", "graph", "taint", "findings", "text", "engine"):
+    for m in ("match", "graph", "taint", "findings", "text", "engine", "names"):
         import_module(f"weirflow.plans.{m}")

@@ -11,7 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weirflow.session import table
+from weirflow.session import table, written
+
+#: A third of the functions have a method name of their own, the others share one with the rest of their sixteen, so
+#: both kinds of call grow with the table. SQL and Spark read the same text.
+METHOD = "CASE WHEN {0} % 3 = 0 THEN 'M' || {0} ELSE 'G' || CAST(floor({0} / 16) AS BIGINT) END"
 
 LANGS = ("go", "python", "javascript", "java")
 SOURCE, SINKS, SANITIZER, CALLS = 0, (1, 2), 3, (4, 5, 6, 7)
@@ -25,7 +29,7 @@ def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("fn"),
         module.alias("module"),
         F.element_at(F.array(*map(F.lit, LANGS)), (F.col("o_custkey") % 4 + 1).cast("int")).alias("lang"),
-        F.concat(F.lit("M"), (F.col("o_orderkey") % 97).cast("string")).alias("method_name"),
+        F.expr(METHOD.format("o_orderkey")).alias("method_name"),
         (F.col("o_custkey") % 5 != 0).alias("is_target"),
     )
 
@@ -57,10 +61,15 @@ def instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SQL = """
+def program(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The instructions as a table, for queries that go over them several times."""
+    return written(instructions(spark, sf_dir))
+
+
+SQL = f"""
 WITH RECURSIVE func AS (
   SELECT o_orderkey AS fn, 'app/m' || (o_custkey % 16) AS module, ['go','python','javascript','java'][o_custkey % 4 + 1] AS lang,
-    'M' || (o_orderkey % 97) AS method_name, o_custkey % 5 <> 0 AS is_target
+    {METHOD.format('o_orderkey')} AS method_name, o_custkey % 5 <> 0 AS is_target
   FROM orders),
 lines AS (
   SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS seq
@@ -115,3 +124,8 @@ RULES_SQL = "rules(rule_id, ord, severity, cwe, languages) AS (VALUES " + ", ".j
 PATTERNS_SQL = "patterns(rule_id, role, ord, pattern, args) AS (VALUES " + ", ".join(f"('{r}', '{role}', {o}, '{p}', '{a}')" for r, role, o, p, a in PATTERNS) + ")"
 #: distinct callees with the rules and roles whose glob they match
 CLASSES_SQL = "classes AS (SELECT DISTINCT callee, rule_id, role, ord, pattern, args FROM (SELECT DISTINCT callee FROM instr) JOIN patterns ON callee GLOB pattern)"
+#: what the sources of a function reach inside it
+INTRA_SQL = ", own AS (SELECT fn, seq AS key FROM instr WHERE k = 0 UNION SELECT i.fn, i.seq FROM own o JOIN instr i ON i.fn = o.fn AND i.opnd = o.key AND i.k NOT IN (0, 3))"
+#: edges of taint, and (fn, key) of every tainted register
+EDGES_SQL = ", edges AS (SELECT fn, opnd AS key, fn AS n_fn, seq AS n_key FROM instr WHERE k NOT IN (0, 3) UNION SELECT fn, opnd, callee_fn, 0 FROM instr WHERE k BETWEEN 4 AND 7 AND callee_fn IN (SELECT fn FROM func))"
+TAINT_SQL = EDGES_SQL + ", t AS (SELECT fn, seq AS key FROM instr WHERE k = 0 UNION SELECT n_fn, n_key FROM t JOIN edges USING (fn, key))"

@@ -14,10 +14,10 @@ from weirflow.functions.guards import Arg, Guard
 from weirflow.operators import engine
 from weirflow.plans import derived
 from weirflow.plans.derived import SQL
-from weirflow.plans.taint import _TAINT
+from weirflow.plans.derived import TAINT_SQL as _TAINT
 from weirflow.rules import build
 from weirflow.session import table
-from weirflow.sources.python_frontend import _CALLS
+from weirflow.sources.ssa import CALLS
 from weirflow.streaming import new_findings
 
 
@@ -47,18 +47,33 @@ def program(spark, sf_dir) -> DataFrame:
                         calls.append({"id": at, "callee": f"f:{x['callee_fn']}", "method_name": "", "untyped": False})
                 body = {"params": ["t0"], "blocks": [{"index": 0, "preds": [], "succs": [], "instrs": instrs}], "seeds": {}}
                 out.append((f"f:{fn}", "", lang, True, json.dumps(body), calls, [], False))
-            kinds = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), _CALLS, pa.list_(pa.string()), pa.bool_()]
+            kinds = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), CALLS, pa.list_(pa.string()), pa.bool_()]
             yield pa.record_batch([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], ["fn", "method_name", "lang", "is_target", "body", "calls", "reads", "indirect"])
 
     return g.mapInArrow(run, engine.FUNCTION)
 
 
+_DERIVED = {"id": "derived", "severity": "high", "sources": ["lib.source"], "sanitizers": ["lib.clean"], "sinks": ["lib.sink"]}
+
+
 @query("engine_taint", SQL + _TAINT + " SELECT 'f:' || instr.fn AS fn, instr.fn || ':' || seq AS sink FROM instr JOIN t ON t.fn = instr.fn AND t.key = opnd WHERE k IN (1, 2)")
 def engine_taint(spark, sf_dir):
     """The flow-sensitive engine over the derived program: functions are straight lines without kills, so it must find
     what the closure finds."""
-    rule = {"id": "derived", "severity": "high", "sources": ["lib.source"], "sanitizers": ["lib.clean"], "sinks": ["lib.sink"]}
-    return engine.analyze(program(spark, sf_dir), build([rule])).select("fn", "sink")
+    return engine.analyze(program(spark, sf_dir), build([_DERIVED])).select("fn", "sink")
+
+
+@query(
+    "engine_paths",
+    SQL + ", own AS (SELECT fn, seq AS key FROM instr WHERE k = 0 UNION SELECT i.fn, i.seq FROM own o JOIN instr i ON i.fn = o.fn AND i.opnd = o.key AND i.k NOT IN (0, 3))"
+    ", walk AS (SELECT i.fn, i.seq AS sink, i.seq, i.opnd, i.k, 0 AS back FROM instr i JOIN own ON own.fn = i.fn AND own.key = i.opnd WHERE i.k IN (1, 2)"
+    " UNION ALL SELECT w.fn, w.sink, i.seq, i.opnd, i.k, w.back + 1 FROM walk w JOIN instr i ON i.fn = w.fn AND i.seq = w.opnd WHERE w.k <> 0)"
+    " SELECT fn || ':' || sink AS sink, (max(back) OVER (PARTITION BY fn, sink) - back)::BIGINT AS step, fn || ':' || seq || CASE WHEN back = 0 OR k = 0 THEN '' ELSE 'v' END AS place FROM walk",
+)
+def engine_paths(spark, sf_dir):
+    """The steps of findings whose taint never leaves its function, from source to sink."""
+    found = engine.analyze(program(spark, sf_dir), build([_DERIVED])).where("confidence = 'high'")
+    return found.select("sink", F.posexplode("steps")).select("sink", F.col("pos").cast("long").alias("step"), F.col("col").alias("place"))
 
 
 _GUARDS = {

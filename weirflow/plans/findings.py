@@ -8,36 +8,45 @@ from pyspark.sql.window import Window
 
 from weirflow.catalog import query
 from weirflow.functions.scalars import fingerprint, relative, sarif_level, sarif_score, severity_rank
-from weirflow.operators import triage
-from weirflow.plans import derived
-from weirflow.plans.derived import SQL
+from weirflow.operators import closure, rulejoin, triage
+from weirflow.plans import derived, match
+from weirflow.plans.derived import CLASSES_SQL, INTRA_SQL, PATTERNS_SQL, RULES_SQL, SQL
+from weirflow.plans.match import DANGEROUS_SQL
 from weirflow.session import table
 
 _RANK = "(list_position(['info','low','medium','high','critical'], severity))"
 FIND = (
-    SQL + ", finding AS (SELECT 'r' || (seq % 4) AS rule_id, ['info','low','medium','high','critical'][line % 5 + 1] AS severity, CASE WHEN line % 3 = 0 THEN '' ELSE 'CWE-' || seq END AS cwe,"
-    " fn, seq, callee, lang, CASE WHEN line % 17 <> 0 THEN file END AS file, CASE WHEN line % 17 <> 0 THEN line END AS line, CASE WHEN line % 17 <> 0 THEN col END AS col, fn * 1000 + seq AS ord,"
-    " substr(sha256('r' || (seq % 4) || chr(0) || file || chr(0) || callee), 1, 16) AS fingerprint, (fn % 7 = 0) AS suppressed FROM instr WHERE k IN (1, 2))"
+    SQL + DANGEROUS_SQL + INTRA_SQL + f", {RULES_SQL}, {PATTERNS_SQL}, {CLASSES_SQL}, first AS (SELECT callee, arg_min(rule_id, r.ord) AS rule_id FROM classes JOIN rules r USING (rule_id) WHERE role = 'sink' GROUP BY callee),"
+    " found AS (SELECT rule_id, severity, CASE rule_id WHEN 'weak-ring' THEN 'CWE-327' ELSE '' END AS cwe, fn, callee, file, line, col, line * 8 + CASE rule_id WHEN 'weak-ring' THEN 0 ELSE 1 END AS ord FROM dangerous"
+    " UNION ALL SELECT r.rule_id, r.severity, r.cwe, i.fn, i.callee, i.file, i.line, i.col, i.line * 8 + 2 + r.ord FROM instr i JOIN own ON own.fn = i.fn AND own.key = i.opnd JOIN first USING (callee) JOIN rules r ON r.rule_id = first.rule_id WHERE i.k IN (1, 2)),"
+    " finding AS (SELECT rule_id, severity, cwe, fn, callee, split_part(callee, ':', 1) AS lang, CASE WHEN line % 17 <> 0 THEN file END AS file, CASE WHEN line % 17 <> 0 THEN line END AS line, CASE WHEN line % 17 <> 0 THEN col END AS col,"
+    " ord, substr(sha256(rule_id || chr(0) || file || chr(0) || callee), 1, 16) AS fingerprint, fn % 7 = 0 AS suppressed FROM found)"
 )
 
 
 def findings(spark, sf_dir) -> DataFrame:
-    i = derived.instructions(spark, sf_dir).where("k IN (1, 2)")
-    sev = F.element_at(F.array(*map(F.lit, ("info", "low", "medium", "high", "critical"))), (F.col("line") % 5 + 1).cast("int"))
-    known = F.col("line") % 17 != 0
-    rule = F.concat(F.lit("r"), (F.col("seq") % 4).cast("string"))
-    return i.select(
-        rule.alias("rule_id"), sev.alias("severity"), F.when(F.col("line") % 3 == 0, "").otherwise(F.concat(F.lit("CWE-"), F.col("seq").cast("string"))).alias("cwe"), "fn", "seq", "callee", "lang",
-        F.when(known, F.col("file")).alias("file"), F.when(known, F.col("line")).alias("line"), F.when(known, F.col("col")).alias("col"), (F.col("fn") * 1000 + F.col("seq")).alias("ord"),
-        fingerprint(rule, F.col("file"), F.col("callee")).alias("fingerprint"), (F.col("fn") % 7 == 0).alias("suppressed"),
+    """Findings of the derived program: banned calls, and sinks that a source reaches inside their function, each for the
+    first rule that its name is a sink of. Some places are unknown and some functions ignored."""
+    i = derived.program(spark, sf_dir)
+    banned = match.dangerous(i).drop("pos").withColumns({"cwe": F.when(F.col("rule_id") == "weak-ring", "CWE-327").otherwise(""), "ord": F.col("line") * 8 + F.when(F.col("rule_id") == "weak-ring", 0).otherwise(1)})
+    rules = F.broadcast(derived.rules(spark).select("rule_id", "severity", "cwe", F.col("ord").alias("_at")))  # rules, not data
+    classes = rulejoin.classes(i, derived.patterns(spark)).where("role = 'sink'").select("callee", "rule_id")
+    first = classes.join(rules, "rule_id").groupBy("callee").agg(F.min_by(F.struct("rule_id", "severity", "cwe", "_at"), "_at").alias("r")).select("callee", "r.*")
+    hot = closure.summaries(i).where("NOT from_entry").select("fn", F.explode("sinks").alias("seq"))
+    flows = i.join(hot, ["fn", "seq"], "left_semi").join(first, "callee").withColumn("ord", F.col("line") * 8 + 2 + F.col("_at"))
+    cols = ["rule_id", "severity", "cwe", "fn", "callee", "file", "line", "col", "ord"]
+    known = lambda c: F.when(F.col("line") % 17 != 0, F.col(c)).alias(c)
+    return banned.select(*cols).unionByName(flows.select(*cols)).select(
+        "rule_id", "severity", "cwe", "fn", "callee", F.substring_index("callee", ":", 1).alias("lang"), known("file"), known("line"), known("col"), "ord",
+        fingerprint(F.col("rule_id"), F.col("file"), F.col("callee")).alias("fingerprint"), (F.col("fn") % 7 == 0).alias("suppressed"),
     )
 
 
-@query("severity_override", FIND + " SELECT ord, rule_id, CASE rule_id WHEN 'r1' THEN 'critical' WHEN 'r2' THEN 'info' ELSE severity END AS severity FROM finding WHERE rule_id <> 'r3'")
+@query("severity_override", FIND + " SELECT ord, rule_id, CASE rule_id WHEN 'red-const' THEN 'critical' WHEN 'small-command' THEN 'info' ELSE severity END AS severity FROM finding WHERE rule_id <> 'promo-injection'")
 def severity_override(spark, sf_dir):
     """Rules switched off go; others may get another severity."""
-    off = spark.createDataFrame([("r3",)], "rule_id string")
-    change = spark.createDataFrame([("r1", "critical"), ("r2", "info")], "rule_id string, new string")
+    off = spark.createDataFrame([("promo-injection",)], "rule_id string")
+    change = spark.createDataFrame([("red-const", "critical"), ("small-command", "info")], "rule_id string, new string")
     f = findings(spark, sf_dir).join(F.broadcast(off), "rule_id", "left_anti").join(F.broadcast(change), "rule_id", "left")  # settings, not data
     return f.select("ord", "rule_id", F.coalesce("new", "severity").alias("severity"))
 
@@ -64,13 +73,12 @@ def path_filter(spark, sf_dir):
 def finding_order(spark, sf_dir):
     """A place for every finding. One window over all would be one task, so rows are ranged into sorted partitions
     and each partition starts from the count of those before."""
-    f = findings(spark, sf_dir).withColumn("rank", severity_rank(F.col("severity")))
-    keys = triage.in_order(f)
-    s = f.repartitionByRange(*keys).sortWithinPartitions(*keys).select("ord", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
-    s = s.withColumn("i", F.col("m") - F.col("p").cast("long") * (1 << 33))
     from weirflow.session import written
 
-    s = written(s)
+    f = written(findings(spark, sf_dir).select("severity", "file", "line", "col", "ord"))  # ranging reads its input twice
+    keys = triage.in_order(f)
+    s = f.repartitionByRange(*keys).sortWithinPartitions(*keys).select("ord", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
+    s = written(s.withColumn("i", F.col("m") - F.col("p").cast("long") * (1 << 33)))
     n = s.groupBy("p").agg(F.count("*").alias("n"))
     before = n.select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("before"))  # a row for each partition
     return s.join(F.broadcast(before), "p").select("ord", (F.col("before") + F.col("i") + 1).alias("place"))
@@ -92,6 +100,12 @@ def rule_summary(spark, sf_dir):
     return g.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 4))  # a row for each rule
 
 
+@query("rule_rows", FIND + f", r AS (SELECT rule_id, count(*) AS n, max({_RANK})::BIGINT AS worst FROM finding GROUP BY rule_id) SELECT rule_id, n, worst, row_number() OVER (ORDER BY worst DESC, n DESC, rule_id) AS place FROM r")
+def rule_rows(spark, sf_dir):
+    """Rules as a report lists them: the worst first, then the most frequent."""
+    return triage.rule_rows(findings(spark, sf_dir))
+
+
 @query("severity_pivot", FIND + " SELECT lang, " + ", ".join(f"count(*) FILTER (severity = '{s}') AS n_{s}" for s in ("critical", "high", "medium", "low", "info")) + ", count(DISTINCT file) AS files FROM finding GROUP BY lang")
 def severity_pivot(spark, sf_dir):
     return findings(spark, sf_dir).groupBy("lang").agg(*[F.count(F.when(F.col("severity") == s, 1)).alias(f"n_{s}") for s in ("critical", "high", "medium", "low", "info")], F.countDistinct("file").alias("files"))
@@ -102,20 +116,26 @@ def gate_count(spark, sf_dir):
     return triage.gate(findings(spark, sf_dir), "high")
 
 
+#: What a scan of a text for poor or toxic writing reports, by expression.
+_MARKS = {"toxic": r"(?i)\b(?:idiot|moron|pathetic|scum|stupid|trash|worthless)s?\b", "poor": r"[!?$#*]{3,}"}
+
+
 @query(
     "precision_recall",
-    "WITH e AS (SELECT doc_id, 'toxic' AS rule_id FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id, 'poor' FROM labels WHERE quality = 0),"
-    " g AS (SELECT doc_id, 'toxic' AS rule_id, 2 AS n FROM labels WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'poor', 1 FROM labels WHERE doc_id % 5 = 0),"
+    "WITH e AS (SELECT doc_id, 'toxic' AS rule_id FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id, 'poor' FROM labels WHERE quality = 0), d AS (SELECT DISTINCT doc_id, text FROM documents JOIN labels USING (doc_id)),"
+    " g AS (" + " UNION ALL ".join(f"SELECT doc_id, '{r}' AS rule_id, sum(len(regexp_extract_all(text, '{x}'))) AS n FROM d WHERE regexp_matches(text, '{x}') GROUP BY doc_id" for r, x in _MARKS.items()) + "),"
     " c AS (SELECT coalesce(e.rule_id, g.rule_id) AS rule_id, sum(CASE WHEN e.doc_id IS NOT NULL AND g.doc_id IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS tp, sum(CASE WHEN e.doc_id IS NULL THEN n ELSE 0 END)::BIGINT AS fp, sum(CASE WHEN g.doc_id IS NULL THEN 1 ELSE 0 END)::BIGINT AS fn"
     " FROM e FULL JOIN g ON e.doc_id = g.doc_id AND e.rule_id = g.rule_id GROUP BY 1)"
     " SELECT rule_id, tp, fp, fn, round(tp / (tp + fp)::DOUBLE, 6) AS p, round(tp / (tp + fn)::DOUBLE, 6) AS r FROM c",
 )
 def precision_recall(spark, sf_dir):
-    """Expected against found rules of each sample: hits and misses count rules, false alarms count findings."""
+    """Expected against found rules of each labelled text: hits and misses count rules, false alarms count findings."""
     la = table(spark, sf_dir, "labels")
     tag = lambda d, r: d.select("doc_id", F.lit(r).alias("rule_id"))
     e = tag(la.where("toxic = 1"), "toxic").union(tag(la.where("quality = 0"), "poor")).withColumn("e", F.lit(True))
-    g = tag(la.where("doc_id % 3 = 0"), "toxic").withColumn("n", F.lit(2)).union(tag(la.where("doc_id % 5 = 0"), "poor").withColumn("n", F.lit(1)))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").join(la.select("doc_id").distinct(), "doc_id", "left_semi").distinct()
+    counts = F.array(*[F.struct(F.lit(r).alias("rule_id"), F.size(F.regexp_extract_all("text", F.lit(x), F.lit(0))).alias("n")) for r, x in _MARKS.items()])
+    g = d.select("doc_id", F.explode(counts).alias("c")).select("doc_id", "c.*").where("n > 0").groupBy("doc_id", "rule_id").agg(F.sum("n").alias("n"))
     return score(e, g)
 
 
@@ -179,14 +199,14 @@ def fragment_merge(spark, sf_dir):
 
 @query(
     "suffix_import_resolution",
-    SQL + ", names AS (SELECT DISTINCT replace(replace(callee, ':', '/'), '/', '.') AS nm FROM instr), suf AS (SELECT nm, array_to_string(string_split(nm, '.')[i:], '.') AS s, i FROM names, range(1, 5) r(i)),"
+    SQL + ", names AS (SELECT DISTINCT replace(replace(callee, ':', '/'), '/', '.') AS nm FROM instr), suf AS (SELECT nm, array_to_string(string_split(nm, '.')[i:], '.') AS s FROM (SELECT nm, unnest(range(1, len(string_split(nm, '.')) + 1)) AS i FROM names)),"
     " uniq AS (SELECT s, min(nm) AS nm FROM suf GROUP BY s HAVING count(DISTINCT nm) = 1) SELECT s AS name, nm AS target FROM uniq",
 )
 def suffix_import_resolution(spark, sf_dir):
     """Dotted suffixes that one module alone ends in, and that module."""
     n = derived.instructions(spark, sf_dir).select(F.translate("callee", ":/", "..").alias("full")).distinct()
     parts = F.split("full", "\\.")
-    s = n.select("full", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(4), F.size(parts))), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))).alias("name"))
+    s = n.select("full", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))).alias("name"))
     return s.groupBy("name").agg(F.min("full").alias("target"), F.max("full").alias("_most")).where("target = _most").drop("_most")
 
 

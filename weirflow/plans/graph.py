@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from weirflow.catalog import query
 from weirflow.operators import closure, rulejoin
 from weirflow.plans import derived
-from weirflow.plans.derived import CLASSES_SQL, PATTERNS_SQL, RULES_SQL, SQL
+from weirflow.plans.derived import CLASSES_SQL, METHOD, PATTERNS_SQL, RULES_SQL, SQL
 
 
 def direct_calls(instr: DataFrame, functions: DataFrame) -> DataFrame:
@@ -20,14 +20,14 @@ def direct_calls(instr: DataFrame, functions: DataFrame) -> DataFrame:
 
 def dynamic_calls(instr: DataFrame) -> DataFrame:
     """Calls by method name alone: kind 7, for the method that the derived callee number names."""
-    return instr.where("k = 7").select("fn", "seq", "module", F.concat(F.lit("M"), (F.col("callee_fn") % 97).cast("string")).alias("method_name"))
+    return instr.where("k = 7").select("fn", "seq", "module", F.expr(METHOD.format("callee_fn")).alias("method_name"))
 
 
 def methods(functions: DataFrame) -> DataFrame:
-    return functions.where("fn < 140").select(F.col("fn").alias("target"), "method_name", F.col("module").alias("owner"))
+    return functions.select(F.col("fn").alias("target"), "method_name", F.col("module").alias("owner"))
 
 
-_DYNAMIC = ", dyn AS (SELECT fn, seq, module, 'M' || (callee_fn % 97) AS method_name FROM instr WHERE k = 7), methods AS (SELECT fn AS target, method_name, module AS owner FROM func WHERE fn < 140)"
+_DYNAMIC = f", dyn AS (SELECT fn, seq, module, {METHOD.format('callee_fn')} AS method_name FROM instr WHERE k = 7), methods AS (SELECT fn AS target, method_name, module AS owner FROM func)"
 
 
 @query("call_graph_direct", SQL + " SELECT DISTINCT fn, callee_fn FROM instr WHERE k BETWEEN 4 AND 7 AND callee_fn IN (SELECT fn FROM func)")
@@ -110,8 +110,10 @@ def callback_singletons(spark, sf_dir):
 
 @query("def_use_edges", SQL + " SELECT a.fn, b.seq AS def, a.seq AS use FROM instr a JOIN instr b ON a.fn = b.fn AND a.opnd = b.seq")
 def def_use_edges(spark, sf_dir):
-    """An operand is an earlier register of the same function, so the edge needs no join."""
-    return derived.instructions(spark, sf_dir).where("opnd > 0").select("fn", F.col("opnd").alias("def"), F.col("seq").alias("use"))
+    """A use is an operand that names a register which an instruction of the same function defines."""
+    i = derived.instructions(spark, sf_dir)
+    defs = i.select("fn", F.col("seq").alias("def"))
+    return i.select("fn", F.col("opnd").alias("def"), F.col("seq").alias("use")).join(defs, ["fn", "def"])
 
 
 @query("nonescaping_allocs", SQL + " SELECT fn, seq FROM instr a WHERE k BETWEEN 13 AND 16 AND NOT EXISTS (SELECT 1 FROM instr u WHERE u.fn = a.fn AND u.opnd = a.seq AND u.k NOT IN (8, 9, 10))")

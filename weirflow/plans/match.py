@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from weirflow.catalog import query
 from weirflow.functions.globs import any_of, predicate
 from weirflow.functions.scalars import fingerprint, owner_class, position, trailing_name
-from weirflow.operators import rulejoin, triage
+from weirflow.operators import closure, rulejoin, triage
 from weirflow.plans import derived
-from weirflow.plans.derived import CLASSES_SQL, PATTERNS_SQL, RULES_SQL, SQL
+from weirflow.plans.derived import CLASSES_SQL, PATTERNS_SQL, RULES_SQL, SQL, TAINT_SQL
 
 SHAPES = {
     "exact": "go:lib/LARGE.Brand#5.small_ring",
@@ -140,12 +140,14 @@ def dangerous_calls(spark, sf_dir):
 
 @query(
     "dangerous_minus_taint",
-    SQL + DANGEROUS_SQL + ", taint AS (SELECT DISTINCT file || ':' || line || ':' || col AS pos, callee FROM instr WHERE k >= 4 AND seq % 3 = 0)"
+    SQL + DANGEROUS_SQL + TAINT_SQL + ", taint AS (SELECT DISTINCT file || ':' || line || ':' || col AS pos, callee FROM instr JOIN t ON t.fn = instr.fn AND t.key = opnd WHERE k >= 4)"
     " SELECT rule_id, pos, callee FROM dangerous d WHERE NOT EXISTS (SELECT 1 FROM taint t WHERE t.pos = d.pos AND t.callee = d.callee)",
 )
 def dangerous_minus_taint(spark, sf_dir):
-    i = derived.instructions(spark, sf_dir)
-    taint = i.where("k >= 4 AND seq % 3 = 0").select(position(F.col("file"), F.col("line"), F.col("col")).alias("pos"), "callee")
+    """Banned calls but those that are given a tainted value, which are findings of their own."""
+    i = derived.program(spark, sf_dir)
+    hot = closure.at(i, closure.tainted(i, derived.functions(spark, sf_dir)), "k >= 4")
+    taint = hot.select(position(F.col("file"), F.col("line"), F.col("col")).alias("pos"), "callee")
     return triage.without_located(dangerous(i), taint).select("rule_id", "pos", "callee")
 
 

@@ -8,21 +8,16 @@ from pyspark.sql import functions as F
 from weirflow.catalog import query
 from weirflow.operators import closure
 from weirflow.plans import derived, graph
+from weirflow.plans.derived import EDGES_SQL as _EDGES
+from weirflow.plans.derived import INTRA_SQL as _INTRA
 from weirflow.plans.derived import SQL
+from weirflow.plans.derived import TAINT_SQL as _TAINT
 
-_INTRA = ", own AS (SELECT fn, seq AS key FROM instr WHERE k = 0 UNION SELECT i.fn, i.seq FROM own o JOIN instr i ON i.fn = o.fn AND i.opnd = o.key AND i.k NOT IN (0, 3))"
 _ENTRY = ", entry AS (SELECT fn, 0::BIGINT AS key FROM func UNION SELECT i.fn, i.seq FROM entry o JOIN instr i ON i.fn = o.fn AND i.opnd = o.key AND i.k NOT IN (0, 3))"
-_EDGES = ", edges AS (SELECT fn, opnd AS key, fn AS n_fn, seq AS n_key FROM instr WHERE k NOT IN (0, 3) UNION SELECT fn, opnd, callee_fn, 0 FROM instr WHERE k BETWEEN 4 AND 7 AND callee_fn IN (SELECT fn FROM func))"
-_TAINT = _EDGES + ", t AS (SELECT fn, seq AS key FROM instr WHERE k = 0 UNION SELECT n_fn, n_key FROM t JOIN edges USING (fn, key))"
 
 
 def _program(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    return derived.instructions(spark, sf_dir), derived.functions(spark, sf_dir)
-
-
-def _at(instr: DataFrame, tainted: DataFrame, kinds: str) -> DataFrame:
-    """Instructions of the kinds whose operand is tainted."""
-    return instr.where(kinds).join(tainted.select("fn", F.col("key").alias("opnd")), ["fn", "opnd"], "left_semi")
+    return derived.program(spark, sf_dir), derived.functions(spark, sf_dir)
 
 
 @query("taint_intra", SQL + _INTRA + " SELECT fn, key FROM own")
@@ -39,7 +34,7 @@ def taint_interproc(spark, sf_dir):
 @query("taint_sinks", SQL + _TAINT + " SELECT instr.fn, seq, callee, line FROM instr JOIN t ON t.fn = instr.fn AND t.key = opnd WHERE k IN (1, 2)")
 def taint_sinks(spark, sf_dir):
     i, f = _program(spark, sf_dir)
-    return _at(i, closure.tainted(i, f), "k IN (1, 2)").select("fn", "seq", "callee", "line")
+    return closure.at(i, closure.tainted(i, f), "k IN (1, 2)").select("fn", "seq", "callee", "line")
 
 
 @query(
@@ -69,16 +64,16 @@ def return_taint(spark, sf_dir):
 def global_taint(spark, sf_dir):
     """Reads of a global that some function stores a tainted value to."""
     i, f = _program(spark, sf_dir)
-    g = _at(i, closure.tainted(i, f), "k = 8").select(F.col("part").alias("name")).distinct()
+    g = closure.at(i, closure.tainted(i, f), "k = 8").select(F.col("part").alias("name")).distinct()
     return i.where("k BETWEEN 9 AND 12").select(F.col("part").alias("name"), "fn", "seq").join(g, "name", "left_semi")
 
 
 @query("outparam_fill", SQL + _INTRA + " SELECT DISTINCT c.fn, c.seq FROM instr c JOIN (SELECT DISTINCT i.fn FROM instr i JOIN own o ON o.fn = i.fn AND o.key = i.opnd WHERE k = 10) w ON c.callee_fn = w.fn WHERE c.k BETWEEN 4 AND 7")
 def outparam_fill(spark, sf_dir):
     """Calls whose argument comes back filled: the callee stores a tainted value into memory of its parameter (kind 10)."""
-    i = derived.instructions(spark, sf_dir)
+    i = derived.program(spark, sf_dir)
     own = closure.summaries(i).where("NOT from_entry").select("fn", F.explode("keys").alias("key"))
-    writers = _at(i, own, "k = 10").select(F.col("fn").alias("callee_fn")).distinct()
+    writers = closure.at(i, own, "k = 10").select(F.col("fn").alias("callee_fn")).distinct()
     return i.where("k BETWEEN 4 AND 7").join(writers, "callee_fn", "left_semi").select("fn", "seq")
 
 
@@ -89,7 +84,7 @@ def outparam_fill(spark, sf_dir):
 )
 def sink_wrappers(spark, sf_dir):
     """Target call sites of dependency functions that hand their parameter to a sink, with the first such sink."""
-    i = derived.instructions(spark, sf_dir)
+    i = derived.program(spark, sf_dir)
     s = closure.summaries(i).where("from_entry").select("fn", F.explode("sinks").alias("seq"))
     w = i.where("NOT is_target").join(s, ["fn", "seq"], "left_semi").groupBy(F.col("fn").alias("callee_fn")).agg(F.min("line").alias("sink_line"))
     return i.where("k BETWEEN 4 AND 7 AND is_target").join(w, "callee_fn").select("fn", "seq", "callee_fn", "sink_line")
@@ -103,7 +98,7 @@ def confidence_assignment(spark, sf_dir):
     """High where the taint never left the function, medium where it crossed a call."""
     i, f = _program(spark, sf_dir)
     own = closure.summaries(i).where("NOT from_entry").select("fn", F.explode("keys").alias("opnd"), F.lit(True).alias("own"))
-    sinks = _at(i, closure.tainted(i, f), "k IN (1, 2)")
+    sinks = closure.at(i, closure.tainted(i, f), "k IN (1, 2)")
     return sinks.join(own, ["fn", "opnd"], "left").select("fn", "seq", F.when(F.col("own"), "high").otherwise("medium").alias("confidence"))
 
 
@@ -114,7 +109,7 @@ def confidence_assignment(spark, sf_dir):
     " SELECT fn, sink, (max(back) OVER (PARTITION BY fn, sink) - back)::BIGINT AS step, seq FROM walk",
 )
 def taint_path_steps(spark, sf_dir):
-    i = derived.instructions(spark, sf_dir)
+    i = derived.program(spark, sf_dir)
     own = closure.summaries(i).where("NOT from_entry").select("fn", F.explode("sinks").alias("key"))
     return closure.paths(i, own)
 
@@ -145,7 +140,7 @@ def strong_update(spark, sf_dir):
 )
 def field_sensitive_reads(spark, sf_dir):
     """Reads of the field that a tainted store went to (base and field number), not of its siblings."""
-    i = derived.instructions(spark, sf_dir)
+    i = derived.program(spark, sf_dir)
     own = closure.summaries(i).where("NOT from_entry").select("fn", F.explode("keys").alias("seq"))
     path = F.concat(F.lit("t"), F.col("opnd").cast("string"), F.lit("#f"), (F.col("block") % 3).cast("string")).alias("path")
     w = i.where("k = 8").join(own, ["fn", "seq"], "left_semi").groupBy("fn", path).agg(F.min("seq").alias("at"))
@@ -160,7 +155,7 @@ def field_sensitive_reads(spark, sf_dir):
 )
 def guarded_sinks(spark, sf_dir):
     """Sinks in a block that a validator's block (kind 12) dominates; only functions that have both are looked at."""
-    i = derived.instructions(spark, sf_dir)
+    i = derived.program(spark, sf_dir)
     both = i.groupBy("fn").agg(F.max(F.col("k") == 12).alias("g"), F.max(F.col("k").isin(1, 2)).alias("s")).where("g AND s").select("fn")
     some = i.join(both, "fn", "left_semi")
     from pyspark.sql.window import Window
