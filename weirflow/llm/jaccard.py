@@ -349,13 +349,13 @@ def classes_of(members: DataFrame) -> DataFrame:
 
 
 def placed(pairs: DataFrame, places: int) -> DataFrame:
-    """Written (x, y, at): where each pair is looked at. Pairs with the same least neighbour (for near copies of one
-    document: all) go to one place, so that what they need of a class is sent there once; large ones are split into
+    """Written (x, y, at): where each pair is looked at. Pairs whose x have the same least neighbour (for near copies of
+    one document: all) go to one place, so that what they need of a class is sent there once; large ones are split into
     blocks."""
-    pairs = written(pairs)
-    both = pairs.select("x", "y").union(pairs.select("y", "x")).toDF("v", "w")
-    near = both.groupBy("v").agg(F.least("v", F.min("w")).alias("near"))
-    hub = written(pairs.join(near.toDF("x", "na"), "x").join(near.toDF("y", "nb"), "y").select("x", "y", F.least("na", "nb").alias("hub")))
+    pairs = written(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))
+    both = pairs.union(pairs.select("y", "x")).toDF("v", "w")
+    near = both.groupBy("v").agg(F.least("v", F.min("w")).alias("hub"))
+    hub = written(pairs.join(near.toDF("x", "hub"), "x"))
     large = hub.groupBy("hub").agg(F.ceil(F.sqrt(F.count("*") / BLOCK_PAIRS)).alias("k")).where("k > 1")
     k = F.coalesce("k", F.lit(1))
     at = F.pmod(F.xxhash64("hub", F.pmod("x", k), F.pmod("y", k)), F.lit(places)).cast("int")
@@ -419,9 +419,13 @@ def verified(docs: DataFrame, found: DataFrame, classes: DataFrame, places: int)
     """Written (x, y, links): class x has ``links`` further documents as links, or with y x and y are connected. The edges
     of a place are a forest."""
     members = classes.select("grp", "cls")
-    groups = found.where("doc_id IS NULL").select("a", "b").distinct()
+    # spread by a once: both distinct pairs and the join on a find them there
+    groups = found.where("doc_id IS NULL").select("a", "b").repartition("a").distinct()
     several = members.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select(F.col("grp").alias("a"), F.col("grp").alias("b"))
-    expanded = groups.union(several).join(members.toDF("a", "x"), "a").join(members.toDF("b", "y"), "b").where("a <> b OR x < y").select("x", "y")
+    a, b = members.toDF("a", "x"), members.toDF("b", "y")
+    across = groups.where("a <> b").join(a, "a").join(b, "b").select("x", "y")
+    within = several.join(a, "a").join(b, "b").where("x < y").select("x", "y")
+    expanded = across.union(within)
     pairs = placed(expanded, places)
     bitmap = found.where("marks IS NOT NULL").groupBy(F.col("b").alias("cls")).agg(F.first("size").alias("size"), F.first("marks").alias("marks"))
     marks = sent_to(pairs).join(bitmap, "cls").select("to", "cls", "size", "marks")

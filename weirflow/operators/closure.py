@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.session import cut
+from weirflow.session import written
 
 #: Rounds between two checkpoints of the whole reached set, and steps along the edges in a round.
 EVERY, STEPS = 8, 4
@@ -22,20 +22,20 @@ def reach(start: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     jobs. A frontier under Spark's broadcast threshold is broadcast by its measured size (AQE), a larger one is
     shuffled; lineage is cut by reliable checkpoints."""
     nxt = [f"n_{k}" for k in keys]
-    seen = new = cut(start.select(*keys).distinct())
+    seen = new = written(start.select(*keys).distinct())
     rounds = 0
     while True:
         step, steps = new, None
         for _ in range(STEPS):
             step = step.join(edges, keys).select(*[F.col(n).alias(k) for n, k in zip(nxt, keys)]).distinct()
             steps = step if steps is None else steps.unionByName(step)
-        new = cut(steps.distinct().join(seen, keys, "left_anti"))
+        new = written(steps.distinct().join(seen, keys, "left_anti"))
         if new.isEmpty():
             return seen
         rounds += 1
         seen = seen.unionByName(new)
         if rounds % EVERY == 0:
-            seen = cut(seen)
+            seen = written(seen)
 
 
 def summaries(instr: DataFrame) -> DataFrame:
@@ -84,14 +84,14 @@ def summaries(instr: DataFrame) -> DataFrame:
 def tainted(instr: DataFrame, functions: DataFrame, scope: DataFrame | None = None) -> DataFrame:
     """(fn, key) of every tainted register: sources, what they reach in their function, and what the parameters of
     called functions reach. With ``scope`` (fn) only functions of the scope are entered or seeded."""
-    s = cut(summaries(instr))
+    s = written(summaries(instr))
     known = functions.select("fn")
     if scope is not None:
         known = known.join(scope, "fn", "left_semi")
-        s = cut(s.join(scope, "fn", "left_semi"))
+        s = written(s.join(scope, "fn", "left_semi"))
     called = s.select("fn", "from_entry", F.explode("callees").alias("n_fn")).join(known.withColumnRenamed("fn", "n_fn"), "n_fn", "left_semi")
     start = called.where("NOT from_entry").select(F.col("n_fn").alias("fn"))
-    entered = reach(start, cut(called.where("from_entry").select("fn", "n_fn").distinct()), ["fn"])
+    entered = reach(start, written(called.where("from_entry").select("fn", "n_fn").distinct()), ["fn"])
     own = s.where("NOT from_entry").select("fn", F.explode("keys").alias("key"))
     via = s.where("from_entry").join(entered, "fn", "left_semi").select("fn", F.explode("keys").alias("key"))
     # a function without instructions has no summary, its parameter is tainted all the same
@@ -107,7 +107,7 @@ def at(instr: DataFrame, tainted: DataFrame, kinds: str) -> DataFrame:
 def entered_functions(instr: DataFrame, functions: DataFrame, roots: DataFrame) -> DataFrame:
     """Functions that roots reach over resolved calls, roots included."""
     edges = instr.where("k BETWEEN 4 AND 7").select("fn", F.col("callee_fn").alias("n_fn")).distinct().join(functions.select(F.col("fn").alias("n_fn")), "n_fn", "left_semi")
-    return reach(roots, cut(edges.select("fn", "n_fn")), ["fn"])
+    return reach(roots, written(edges.select("fn", "n_fn")), ["fn"])
 
 
 def _dominator_sets(succ: dict[int, list[int]], entry: int) -> dict[int, int]:

@@ -29,7 +29,7 @@ from weirflow.functions.guards import Arg, Guard
 from weirflow.operators import names
 from weirflow.operators.kernel import Kernel
 from weirflow.rules import Rule
-from weirflow.session import cut
+from weirflow.session import written
 
 #: A function of the program: body is JSON of what the kernel reads; calls, reads and indirect are what rounds join on.
 FUNCTION = "fn string, method_name string, lang string, is_target boolean, body string, calls array<struct<id:string,callee:string,method_name:string,untyped:boolean>>, reads array<string>, indirect boolean"
@@ -63,12 +63,12 @@ def analyze(functions: DataFrame, rules: list[Rule], scope: DataFrame | None = N
     spark = functions.sparkSession
     taint = [r for r in rules if r.kind == "taint"]
     sent = spark.sparkContext.broadcast(taint)  # rules, not data
-    calls = cut(resolved(functions))
+    calls = written(resolved(functions))
     targets = calls.groupBy("fn").agg(F.collect_list(F.struct("id", "target")).alias("targets"))
     passes = calls.join(functions.where("indirect").select(F.col("fn").alias("target")), "target", "left_semi").groupBy("fn").agg(F.collect_set("id").alias("passes"))
-    bodies = cut(functions.select("fn", "lang", "is_target", "body").join(targets, "fn", "left").join(passes, "fn", "left"))
-    callers = cut(calls.select(F.col("target").alias("src"), "fn").distinct())
-    readers = cut(functions.select("fn", F.explode("reads").alias("key")).distinct())
+    bodies = written(functions.select("fn", "lang", "is_target", "body").join(targets, "fn", "left").join(passes, "fn", "left"))
+    callers = written(calls.select(F.col("target").alias("src"), "fn").distinct())
+    readers = written(functions.select("fn", F.explode("reads").alias("key")).distinct())
 
     def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         having: dict[str, list[int]] = {}  # the rules that a name is a source of: a name is tested once a task
@@ -110,13 +110,13 @@ def analyze(functions: DataFrame, rules: list[Rule], scope: DataFrame | None = N
         return f
 
     frontier = bodies.select("fn", "lang", "body").mapInArrow(seeded, "rule_id string, fn string")
-    frontier = cut(frontier.join(scope, "fn", "left_semi") if scope is not None else frontier)
+    frontier = written(frontier.join(scope, "fn", "left_semi") if scope is not None else frontier)
     facts = spark.createDataFrame([], "rule_id string, fn string, kind string, key string, origin string, path string")
     found, round_ = [], 0
     identity = ["rule_id", "fn", "kind", "key"]
     while not frontier.isEmpty():
         known = facts.join(frontier, ["rule_id", "fn"], "left_semi").groupBy("rule_id", "fn").agg(F.collect_list(F.struct("kind", "key", "origin", "path")).alias("facts"))
-        out = cut(frontier.join(known, ["rule_id", "fn"], "left").join(bodies, "fn").sortWithinPartitions("fn").mapInArrow(step, _OUT))
+        out = written(frontier.join(known, ["rule_id", "fn"], "left").join(bodies, "fn").sortWithinPartitions("fn").mapInArrow(step, _OUT))
         found.append(out.where("kind = 'finding'").withColumn("round", F.lit(round_)))
         direct = out.where("kind IN ('param', 'func', 'opaque')").select("rule_id", F.col("to").alias("fn"), "kind", "key", "origin", "path")
         up = out.where("kind IN ('ret', 'mem', 'sink')").withColumnRenamed("fn", "src").join(callers, "src")
@@ -126,10 +126,10 @@ def analyze(functions: DataFrame, rules: list[Rule], scope: DataFrame | None = N
         new = direct.unionByName(up).unionByName(wide).groupBy(*identity, F.when(F.col("kind") == "func", F.col("origin")).alias("_each")).agg(F.min(F.struct("origin", "path")).alias("m")).select(*identity, "m.*")
         old = facts.select(*identity, F.when(F.col("kind") == "func", F.col("origin")).alias("_o"))
         new = new.withColumn("_o", F.when(F.col("kind") == "func", F.col("origin")))
-        new = cut(new.join(old, [new[c].eqNullSafe(old[c]) for c in (*identity, "_o")], "left_anti").drop("_o"))
+        new = written(new.join(old, [new[c].eqNullSafe(old[c]) for c in (*identity, "_o")], "left_anti").drop("_o"))
         facts = facts.unionByName(new)
         if round_ % 6 == 5:
-            facts = cut(facts)
+            facts = written(facts)
         frontier = new.select("rule_id", "fn").distinct()
         round_ += 1
     rows = spark.createDataFrame([(r.id, r.severity, r.cwe, r.message, r.confidence) for r in taint], "rule_id string, severity string, cwe string, message string, _most string")
