@@ -51,11 +51,19 @@ def cut(df: DataFrame) -> DataFrame:
 #: Tables in the shared folder, in the order in which they were written.
 _tables: list[str] = []
 
+#: Else shuffle files stay until the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def written(df: DataFrame) -> DataFrame:
-    """The same rows as a Parquet table in the shared folder."""
-    path = f"{shared_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """The same rows as a Parquet table in the shared folder. The shuffle files of the step go once it is written."""
+    path, conf = f"{shared_dir(df.sparkSession)}/t-{uuid.uuid4().hex}", df.sparkSession.conf
+    before = conf.get(_CLEANUP)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_CLEANUP, before)
     _tables.append(path)
     return df.sparkSession.read.parquet(path)
 
