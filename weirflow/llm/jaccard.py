@@ -45,7 +45,7 @@ from pyspark.sql.window import Window
 
 from weirflow.llm.labelled import keyed
 from weirflow.llm.textkit import Words, mix, ngram_hash, slices, unpack
-from weirflow.session import by_bucket, spread_keys, width, written
+from weirflow.session import by_bucket, finished, made, spread_keys, width, written
 
 N = 3
 NUM, DEN = 3, 5  # threshold
@@ -351,15 +351,16 @@ def classes_of(members: DataFrame) -> DataFrame:
 def placed(pairs: DataFrame, places: int) -> DataFrame:
     """Written (x, y, at): where each pair is looked at. Pairs whose x have the same least neighbour (for near copies of
     one document: all) go to one place, so that what they need of a class is sent there once; large ones are split into
-    blocks."""
+    blocks. The tables on the way there are deleted."""
+    since = made()
     pairs = written(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))
     both = pairs.union(pairs.select("y", "x")).toDF("v", "w")
     near = both.groupBy("v").agg(F.least("v", F.min("w")).alias("hub"))
-    hub = written(pairs.join(near.toDF("x", "hub"), "x"))
+    hub = finished(pairs.join(near.toDF("x", "hub"), "x"), since)
     large = hub.groupBy("hub").agg(F.ceil(F.sqrt(F.count("*") / BLOCK_PAIRS)).alias("k")).where("k > 1")
     k = F.coalesce("k", F.lit(1))
     at = F.pmod(F.xxhash64("hub", F.pmod("x", k), F.pmod("y", k)), F.lit(places)).cast("int")
-    return written(hub.join(large, "hub", "left").select("x", "y", at.alias("at")))
+    return finished(hub.join(large, "hub", "left").select("x", "y", at.alias("at")), since)
 
 
 def sent_to(pairs: DataFrame) -> DataFrame:
