@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +38,12 @@ def reach(start: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
             seen = written(seen)
 
 
-def summaries(instr: DataFrame) -> DataFrame:
+def summaries(instr: DataFrame, keep: str = "false", carried: Sequence[str] = ()) -> DataFrame:
     """Per function, what its own source instructions reach and what its parameter reaches:
-    (fn, from_entry, keys array<long>, callees array<long>, sinks array<long>).
+    (fn, from_entry, keys array<long>, callees array<long>, sinks array<long>, last long, kept array<struct>).
+
+    last is the last instruction. kept, in the row of the parameter, are the instructions for which ``keep`` holds: the
+    columns ``carried``, and whether its operand is reached by own sources (own) and by the parameter (entry).
 
     A function is small, so its inside is closed in one pass here and rounds are spent on calls between functions
     only. instr: (fn, seq, k, opnd, callee_fn); an operand is an earlier instruction or 0, the parameter."""
@@ -74,31 +77,60 @@ def summaries(instr: DataFrame) -> DataFrame:
                     o = np.argsort(np.concatenate([of, key_row]), kind="stable")
                     key_row, key = np.concatenate([of, key_row])[o], np.concatenate([np.zeros(len(of), np.int64), key])[o]
                 lists = [pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(r, of), len(r)), pa.int32()), pa.array(v, pa.int64())) for r, v in ((key_row, key), (u[:, 0], u[:, 1]), (row[sink], seq[sink]))]
-                yield pa.record_batch([b.column("fn").take(pa.array(of)), pa.array(np.full(len(of), entry)), *lists], ["fn", "from_entry", "keys", "callees", "sinks"])
-
-    rows = F.sort_array(F.collect_list(F.struct("seq", "k", "opnd", "callee_fn")))
-    g = instr.groupBy("fn").agg(rows.alias("r")).select("fn", F.col("r.seq").alias("seqs"), F.col("r.k").alias("ks"), F.col("r.opnd").alias("opnds"), F.col("r.callee_fn").alias("callees"))
-    return g.mapInArrow(run, "fn long, from_entry boolean, keys array<long>, callees array<long>, sinks array<long>")
-
-
-def tainted(instr: DataFrame, functions: DataFrame, scope: DataFrame | None = None) -> DataFrame:
-    """(fn, key) of every tainted register: sources, what they reach in their function, and what the parameters of
-    called functions reach. With ``scope`` (fn) only functions of the scope are entered or seeded."""
-    s = written(summaries(instr))
+                lists.append(b.column("last").take(pa.array(of)))
+                if carried:
+                    some = np.flatnonzero(b.column("kept").flatten().is_valid().to_numpy(False)) if entry else np.zeros(0, np.int64)
+                    values = b.column("kept").flatten().take(pa.array(some)).flatten()
+                    values = pa.StructArray.from_arrays([*values, *(pa.array(x[at[some]]) for x in ends)], [*carried, "own", "entry"])
+                    lists.append(pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(row[some], of), len(some)), pa.int32()), values))
+                yield pa.record_batch([b.column("fn").take(pa.array(of)), pa.array(np.full(len(of), entry)), *lists], names)
+
+    names = ["fn", "from_entry", "keys", "callees", "sinks", "last", *(["kept"] if carried else [])]
+    flow = F.struct("seq", "k", "opnd", "callee_fn", *([F.when(F.expr(keep), F.struct(*carried)).alias("kept")] if carried else []))
+    g = instr.groupBy("fn").agg(F.sort_array(F.collect_list(flow)).alias("r"))
+    g = g.select("fn", *[F.col(f"r.{c}").alias(a) for c, a in (("seq", "seqs"), ("k", "ks"), ("opnd", "opnds"), ("callee_fn", "callees"))], F.array_max("r.seq").alias("last"), *([F.col("r.kept")] if carried else []))
+    kept = "".join(f", {c}:{instr.schema[c].dataType.simpleString()}" for c in carried)[2:]
+    return g.mapInArrow(run, "fn long, from_entry boolean, keys array<long>, callees array<long>, sinks array<long>, last long" + (f", kept array<struct<{kept},own:boolean,entry:boolean>>" if carried else ""))
+
+
+def entered(instr: DataFrame, functions: DataFrame, scope: DataFrame | None = None, keep: str = "false", carried: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """The summaries as a table, and (fn) of the functions whose parameter is tainted. instr passes once."""
+    s = written(summaries(instr, keep, carried))
     known = functions.select("fn")
     if scope is not None:
         known = known.join(scope, "fn", "left_semi")
         s = written(s.join(scope, "fn", "left_semi"))
     called = s.select("fn", "from_entry", F.explode("callees").alias("n_fn")).join(known.withColumnRenamed("fn", "n_fn"), "n_fn", "left_semi")
+    called = written(called)
     start = called.where("NOT from_entry").select(F.col("n_fn").alias("fn"))
-    entered = reach(start, written(called.where("from_entry").select("fn", "n_fn").distinct()), ["fn"])
+    return s, reach(start, called.where("from_entry").select("fn", "n_fn"), ["fn"])
+
+
+def tainted(instr: DataFrame, functions: DataFrame, scope: DataFrame | None = None) -> DataFrame:
+    """(fn, key) of every tainted register: sources, what they reach in their function, and what the parameters of
+    called functions reach. With ``scope`` (fn) only functions of the scope are entered or seeded."""
+    s, into = entered(instr, functions, scope)
     own = s.where("NOT from_entry").select("fn", F.explode("keys").alias("key"))
-    via = s.where("from_entry").join(entered, "fn", "left_semi").select("fn", F.explode("keys").alias("key"))
+    via = s.where("from_entry").join(into, "fn", "left_semi").select("fn", F.explode("keys").alias("key"))
     # a function without instructions has no summary, its parameter is tainted all the same
-    bare = entered.select("fn", F.lit(0).cast("long").alias("key"))
+    bare = into.select("fn", F.lit(0).cast("long").alias("key"))
     return own.unionByName(via).unionByName(bare).distinct()
 
 
+def fed(instr: DataFrame, functions: DataFrame, keep: str, carried: Sequence[str]) -> DataFrame:
+    """(fn, columns carried, own) of the instructions for which ``keep`` holds and whose operand is tainted; own is
+    whether by a source of the function itself. Which they are is known from the summary of a function and from whether
+    its parameter is tainted, so instr passes once."""
+    s, into = entered(instr, functions, None, keep, carried)
+    return hot(s, into).drop("entry")
+
+
+def hot(s: DataFrame, into: DataFrame) -> DataFrame:
+    """The kept instructions of summaries whose operand is tainted."""
+    rows = s.where("from_entry").select("fn", F.explode(F.filter("kept", lambda x: x["own"] | x["entry"])).alias("_k")).select("fn", "_k.*")
+    return rows.where("own").unionByName(rows.where("NOT own").join(into, "fn", "left_semi"))
+
+
 def at(instr: DataFrame, tainted: DataFrame, kinds: str) -> DataFrame:
     """Instructions of the kinds whose operand is tainted."""
     return instr.where(kinds).join(tainted.select("fn", F.col("key").alias("opnd")), ["fn", "opnd"], "left_semi")

@@ -34,31 +34,42 @@ def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(fn, seq, k, opnd, callee_fn, callee, block, file, line, col, part, back)."""
+def instructions(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """(fn, seq, k, opnd, callee_fn, callee, block, file, line, col, part, back, lang, module, is_target, method_name), or
+    the columns that are named.
+
+    Parts are joined first, each with the number of its rows, and lines are numbered after that: what follows, joins and
+    groups by fn too, finds the rows where they are and shuffles nothing more."""
     li, f = table(spark, sf_dir, "lineitem"), functions(spark, sf_dir)
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    held = [c for c, of in (("p_name", ("callee", "part")), ("p_brand", ("callee",)), ("p_type", ("callee",))) if not columns or set(of) & set(columns)]
+    rows = F.collect_list(F.struct(*held or [F.lit(True).alias("one")])).alias("_parts")
+    p = table(spark, sf_dir, "part").groupBy("p_partkey").agg(rows)
     n = table(spark, sf_dir, "orders").agg(F.count("*").alias("n"))  # one row
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate"]
     seq = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)).cast("long")
-    li = li.select("l_orderkey", *order).withColumn("seq", seq)
-    return (
-        li.join(f, li["l_orderkey"] == f["fn"]).join(p, li["l_partkey"] == p["p_partkey"]).crossJoin(F.broadcast(n))
-        .select(
-            "fn", "seq",
-            ((F.col("l_partkey") * 31 + F.col("l_suppkey")) % 23).alias("k"),
-            F.when(F.col("seq") > 1, 1 + F.try_mod(F.col("l_partkey") + F.col("l_suppkey"), F.col("seq") - 1)).otherwise(0).cast("long").alias("opnd"),
-            (1 + (F.col("l_partkey") * 7919 + F.col("l_suppkey") * 104729) % F.col("n")).alias("callee_fn"),
-            F.concat("lang", F.lit(":lib/"), "p_type", F.lit("."), "p_brand", F.lit("."), F.translate("p_name", " ", "_")).alias("callee"),
-            F.col("l_linenumber").cast("long").alias("block"),
-            F.concat("module", F.lit(".src")).alias("file"),
-            (F.col("fn") * 100 + F.col("seq")).alias("line"),
-            (1 + F.col("l_linenumber")).cast("long").alias("col"),
-            F.col("p_name").alias("part"),
-            (F.col("l_partkey") % 11 == 0).alias("back"),
-            "lang", "module", "is_target", "method_name",
-        )
-    )
+    li = li.select("l_orderkey", *order).join(p, F.col("l_partkey") == F.col("p_partkey"), "left")
+    li = li.withColumn("seq", seq).select("l_orderkey", "seq", "l_partkey", "l_suppkey", "l_linenumber", F.explode("_parts").alias("_part"))
+    name = lambda c: F.col(f"_part.{c}")
+    found = {
+        "fn": F.col("fn"), "seq": F.col("seq"),
+        "k": (F.col("l_partkey") * 31 + F.col("l_suppkey")) % 23,
+        "opnd": F.when(F.col("seq") > 1, 1 + F.try_mod(F.col("l_partkey") + F.col("l_suppkey"), F.col("seq") - 1)).otherwise(0).cast("long"),
+        "callee_fn": 1 + (F.col("l_partkey") * 7919 + F.col("l_suppkey") * 104729) % F.col("n"),
+        "callee": lambda: F.concat("lang", F.lit(":lib/"), name("p_type"), F.lit("."), name("p_brand"), F.lit("."), F.translate(name("p_name"), " ", "_")),
+        "block": F.col("l_linenumber").cast("long"),
+        "file": F.concat("module", F.lit(".src")),
+        "line": F.col("fn") * 100 + F.col("seq"),
+        "col": (1 + F.col("l_linenumber")).cast("long"),
+        "part": lambda: name("p_name"),
+        "back": F.col("l_partkey") % 11 == 0,
+        "lang": F.col("lang"), "module": F.col("module"), "is_target": F.col("is_target"), "method_name": F.col("method_name"),
+    }
+    at = li.join(f, li["l_orderkey"] == f["fn"]).crossJoin(F.broadcast(n))
+    return at.select(*[(v() if callable(v) else v).alias(c) for c, v in found.items() if not columns or c in columns])
+
+
+#: What the closure of a function reads.
+FLOW = ("fn", "seq", "k", "opnd", "callee_fn")
 
 
 def program(spark: SparkSession, sf_dir: str) -> DataFrame:

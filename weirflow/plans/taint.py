@@ -12,12 +12,14 @@ from weirflow.plans.derived import EDGES_SQL as _EDGES
 from weirflow.plans.derived import INTRA_SQL as _INTRA
 from weirflow.plans.derived import SQL
 from weirflow.plans.derived import TAINT_SQL as _TAINT
+from weirflow.session import written
 
 _ENTRY = ", entry AS (SELECT fn, 0::BIGINT AS key FROM func UNION SELECT i.fn, i.seq FROM entry o JOIN instr i ON i.fn = o.fn AND i.opnd = o.key AND i.k NOT IN (0, 3))"
 
 
-def _program(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    return derived.program(spark, sf_dir), derived.functions(spark, sf_dir)
+def _program(spark, sf_dir, *columns) -> tuple[DataFrame, DataFrame]:
+    """What the closure reads of the instructions and further columns, and the functions. Each is gone over once."""
+    return derived.instructions(spark, sf_dir, *derived.FLOW, *columns), derived.functions(spark, sf_dir)
 
 
 @query("taint_intra", SQL + _INTRA + " SELECT fn, key FROM own")
@@ -33,8 +35,8 @@ def taint_interproc(spark, sf_dir):
 
 @query("taint_sinks", SQL + _TAINT + " SELECT instr.fn, seq, callee, line FROM instr JOIN t ON t.fn = instr.fn AND t.key = opnd WHERE k IN (1, 2)")
 def taint_sinks(spark, sf_dir):
-    i, f = _program(spark, sf_dir)
-    return closure.at(i, closure.tainted(i, f), "k IN (1, 2)").select("fn", "seq", "callee", "line")
+    i, f = _program(spark, sf_dir, "callee", "line")
+    return closure.fed(i, f, "k IN (1, 2)", ["seq", "callee", "line"]).drop("own")
 
 
 @query(
@@ -55,17 +57,21 @@ def param_taint(spark, sf_dir):
 @query("return_taint", SQL + _TAINT + " SELECT fn FROM (SELECT fn, max(seq) AS key FROM instr GROUP BY fn) JOIN t USING (fn, key)")
 def return_taint(spark, sf_dir):
     """Functions whose last register, what they return, is tainted."""
-    i, f = _program(spark, sf_dir)
-    last = i.groupBy("fn").agg(F.max("seq").alias("key"))
-    return last.join(closure.tainted(i, f), ["fn", "key"], "left_semi").select("fn")
+    s, into = closure.entered(*_program(spark, sf_dir))
+    s = s.where(F.array_contains("keys", F.col("last"))).select("fn", "from_entry")
+    own = s.where("NOT from_entry").select("fn")
+    return own.unionByName(s.where("from_entry").select("fn").join(into, "fn", "left_semi")).distinct()
 
 
 @query("global_taint", SQL + _TAINT + ", g AS (SELECT DISTINCT part AS name FROM instr JOIN t ON t.fn = instr.fn AND t.key = opnd WHERE k = 8) SELECT DISTINCT name, i.fn, i.seq FROM instr i JOIN g ON i.part = name WHERE k BETWEEN 9 AND 12")
 def global_taint(spark, sf_dir):
     """Reads of a global that some function stores a tainted value to."""
-    i, f = _program(spark, sf_dir)
-    g = closure.at(i, closure.tainted(i, f), "k = 8").select(F.col("part").alias("name")).distinct()
-    return i.where("k BETWEEN 9 AND 12").select(F.col("part").alias("name"), "fn", "seq").join(g, "name", "left_semi")
+    i, f = _program(spark, sf_dir, "part")
+    s, into = closure.entered(i, f, None, "k BETWEEN 8 AND 12", ["seq", "k", "part"])
+    # names as a table of known size: few are broadcast, and reads of a common name stay where they are
+    g = written(closure.hot(s, into).where("k = 8").select(F.col("part").alias("name")).distinct())
+    reads = F.array_distinct(F.transform(F.filter("kept", lambda x: x["k"] > 8), lambda x: F.struct(x["part"].alias("name"), x["seq"].alias("seq"))))
+    return s.where("from_entry").select("fn", F.explode(reads).alias("r")).select("r.name", "fn", "r.seq").join(g, "name", "left_semi")
 
 
 @query("outparam_fill", SQL + _INTRA + " SELECT DISTINCT c.fn, c.seq FROM instr c JOIN (SELECT DISTINCT i.fn FROM instr i JOIN own o ON o.fn = i.fn AND o.key = i.opnd WHERE k = 10) w ON c.callee_fn = w.fn WHERE c.k BETWEEN 4 AND 7")
@@ -97,9 +103,7 @@ def sink_wrappers(spark, sf_dir):
 def confidence_assignment(spark, sf_dir):
     """High where the taint never left the function, medium where it crossed a call."""
     i, f = _program(spark, sf_dir)
-    own = closure.summaries(i).where("NOT from_entry").select("fn", F.explode("keys").alias("opnd"), F.lit(True).alias("own"))
-    sinks = closure.at(i, closure.tainted(i, f), "k IN (1, 2)")
-    return sinks.join(own, ["fn", "opnd"], "left").select("fn", "seq", F.when(F.col("own"), "high").otherwise("medium").alias("confidence"))
+    return closure.fed(i, f, "k IN (1, 2)", ["seq"]).select("fn", "seq", F.when(F.col("own"), "high").otherwise("medium").alias("confidence"))
 
 
 @query(
