@@ -133,6 +133,14 @@ def dangerous(instr: DataFrame) -> DataFrame:
     return triage.one_per(found, ["rule_id", "pos"], ["fn", "callee"])
 
 
+_SITE = ["callee", "part", "file", "line", "col"]
+
+
+def maybe_banned():
+    """Calls with a banned name, whatever their constants: all that ``dangerous`` finds, and all with such a callee."""
+    return (F.col("k") >= 4) & any_of(F.col("callee"), [g for _, globs, _ in BANNED for g in globs])
+
+
 @query("dangerous_calls", SQL + DANGEROUS_SQL + " SELECT rule_id, severity, pos, fn, callee FROM dangerous")
 def dangerous_calls(spark, sf_dir):
     return dangerous(derived.instructions(spark, sf_dir)).select("rule_id", "severity", "pos", "fn", "callee")
@@ -145,10 +153,11 @@ def dangerous_calls(spark, sf_dir):
 )
 def dangerous_minus_taint(spark, sf_dir):
     """Banned calls but those that are given a tainted value, which are findings of their own."""
-    i = derived.program(spark, sf_dir)
-    hot = closure.at(i, closure.tainted(i, derived.functions(spark, sf_dir)), "k >= 4")
-    taint = hot.select(position(F.col("file"), F.col("line"), F.col("col")).alias("pos"), "callee")
-    return triage.without_located(dangerous(i), taint).select("rule_id", "pos", "callee")
+    i = derived.instructions(spark, sf_dir, *derived.FLOW, *_SITE).withColumn("banned", maybe_banned())
+    s, into = closure.entered(i, derived.functions(spark, sf_dir), None, "banned", ["k", *_SITE])
+    sites = s.where("from_entry").select("fn", F.explode("kept").alias("_k")).select("fn", "_k.*")
+    taint = closure.hot(s, into).select(position(F.col("file"), F.col("line"), F.col("col")).alias("pos"), "callee")
+    return triage.without_located(dangerous(sites), taint).select("rule_id", "pos", "callee")
 
 
 @query("fingerprint", SQL + DANGEROUS_SQL + " SELECT rule_id, pos, substr(sha256(rule_id || chr(0) || file || chr(0) || file || chr(0) || fn || chr(0) || callee), 1, 16) AS fingerprint FROM dangerous")
