@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,41 +15,28 @@ from weirflow.plans import derived
 from weirflow.plans.derived import SQL
 from weirflow.plans.derived import TAINT_SQL as _TAINT
 from weirflow.rules import build
-from weirflow.session import table
-from weirflow.sources.ssa import CALLS
+from weirflow.session import table, written
 from weirflow.streaming import new_findings
 
 
 def program(spark, sf_dir) -> DataFrame:
     """The derived program as functions of the engine. A source is a call; a sink and a call pass their operand on."""
-    i = derived.instructions(spark, sf_dir)
-    rows = F.sort_array(F.collect_list(F.struct("seq", "k", "opnd", "callee_fn"))).alias("r")
-    f = derived.functions(spark, sf_dir)
-    g = f.select("fn", "lang").join(i.groupBy("fn").agg(rows), "fn", "left")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for fn, lang, r in zip(*(b.column(c).to_pylist() for c in ("fn", "lang", "r"))):
-                instrs, calls = [], []
-                for x in r or []:
-                    s, k, o = x["seq"], x["k"], ["reg", f"t{x['opnd']}"]
-                    at = f"{fn}:{s}"
-                    if k in (0, 3):
-                        instrs.append({"op": "CALL", "name": f"t{s}", "callee": "lib.source" if k == 0 else "lib.clean", "args": [o], "id": at})
-                        continue
-                    instrs.append({"op": "BIN_OP", "name": f"t{s}", "operands": [o], "id": f"{at}v"})
-                    if k in (1, 2):
-                        instrs.append({"op": "CALL", "callee": "lib.sink", "args": [o], "id": at})
-                    elif 4 <= k <= 7:
-                        instrs.append({"op": "CALL", "callee": f"f:{x['callee_fn']}", "args": [o], "id": at})
-                        calls.append({"id": at, "callee": f"f:{x['callee_fn']}", "method_name": "", "untyped": False})
-                body = {"params": ["t0"], "blocks": [{"index": 0, "preds": [], "succs": [], "instrs": instrs}], "seeds": {}}
-                out.append((f"f:{fn}", "", lang, True, json.dumps(body), calls, [], False))
-            kinds = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), CALLS, pa.list_(pa.string()), pa.bool_()]
-            yield pa.record_batch([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], ["fn", "method_name", "lang", "is_target", "body", "calls", "reads", "indirect"])
-
-    return g.mapInArrow(run, engine.FUNCTION)
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    fn, seq, k, reg, target = (F.col(c) for c in ("fn", "seq", "k", "opnd", "callee_fn"))
+    call = lambda name, to: text('{"op": "CALL", ', *name, '"callee": "', *to, '", "args": [["reg", "t', reg, '"]], "id": "', fn, ":", seq, '"}')
+    named = ('"name": "t', seq, '", ')
+    plain = text('{"op": "BIN_OP", ', *named, '"operands": [["reg", "t', reg, '"]], "id": "', fn, ":", seq, 'v"}')
+    instr = (
+        F.when(k == 0, call(named, ["lib.source"])).when(k == 3, call(named, ["lib.clean"])).when(k.isin(1, 2), text(plain, ", ", call((), ["lib.sink"])))
+        .when(k.between(4, 7), text(plain, ", ", call((), ["f:", target]))).otherwise(plain)
+    )
+    empty = F.lit("").alias("method_name")
+    made = F.when(k.between(4, 7), F.struct(text(fn, ":", seq).alias("id"), text("f:", target).alias("callee"), empty, F.lit(False).alias("untyped")))
+    i = derived.instructions(spark, sf_dir, *derived.FLOW).select("fn", F.struct("seq", instr.alias("text"), made.alias("call")).alias("r"))
+    f = derived.functions(spark, sf_dir).select("fn", "lang").join(i.groupBy("fn").agg(F.sort_array(F.collect_list("r")).alias("r")), "fn", "left")
+    body = text('{"params": ["t0"], "blocks": [{"index": 0, "preds": [], "succs": [], "instrs": [', F.coalesce(F.array_join("r.text", ", "), F.lit("")), ']}], "seeds": {}}')
+    calls = F.coalesce(F.array_compact("r.call"), F.array())
+    return written(f.select(text("f:", fn).alias("fn"), empty, "lang", F.lit(True).alias("is_target"), body.alias("body"), calls.alias("calls"), F.array().cast("array<string>").alias("reads"), F.lit(False).alias("indirect")))
 
 
 _DERIVED = {"id": "derived", "severity": "high", "sources": ["lib.source"], "sanitizers": ["lib.clean"], "sinks": ["lib.sink"]}
